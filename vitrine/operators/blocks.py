@@ -41,14 +41,19 @@ def blocked_top_k(
     k: int,
     query_rows: int = 2048,
     item_rows: int = 20_000,
+    sized_by: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """Best k items per query.
 
     ``queries`` has ``lane, qid`` and ``items`` has ``lane, id`` plus what ``score_cell`` needs;
     ``score_cell(queries, items, k)`` returns ``lane, qid, id, score`` with its best k per query.
+    ``sized_by`` are cheaper tables of the same queries and items to count blocks from.
     """
-    q_blocks = _block_counts(queries, "qid", query_rows, "q_blocks")
-    i_blocks = _block_counts(items, "id", item_rows, "i_blocks")
+    # Fresh column identities: both sides may derive from one table.
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
+    counted_q, counted_i = sized_by or (queries, items)
+    q_blocks = _block_counts(counted_q, "qid", query_rows, "q_blocks")
+    i_blocks = _block_counts(counted_i, "id", item_rows, "i_blocks")
     sizes = q_blocks.join(i_blocks, "lane")
     spread = lambda count: F.sequence(F.lit(0), count - 1)
     q = (

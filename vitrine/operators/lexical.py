@@ -33,14 +33,20 @@ class TextIndex:
 
 
 def field_texts(products: DataFrame) -> DataFrame:
-    """One row per product and indexed field, list fields joined to one text."""
-    fields = F.array(
+    """One row per product and indexed field, list fields joined to one text.
+
+    Descriptions are a branch of their own, so that plans over the short fields never read them.
+    """
+    short = F.array(
         F.struct(F.lit("name").alias("field"), F.col("name").alias("text")),
         F.struct(F.lit("category").alias("field"), F.array_join("category", " ").alias("text")),
         F.struct(F.lit("soft_category").alias("field"), F.array_join("soft_category", " ").alias("text")),
-        F.struct(F.lit("description").alias("field"), F.col("description").alias("text")),
     )
-    return products.select("tenant", "id", F.inline(fields)).filter("text is not null")
+    return (
+        products.select("tenant", "id", F.inline(short))
+        .unionByName(products.select("tenant", "id", F.lit("description").alias("field"), F.col("description").alias("text")))
+        .filter("text is not null")
+    )
 
 
 def postings(products: DataFrame) -> DataFrame:
@@ -103,9 +109,8 @@ def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
             lambda i: F.concat(F.substring("token", F.lit(1), i - 1), F.substring("token", i + 1, F.length("token"))),
         )
         keys = F.array_distinct(F.concat(F.array("token"), cuts))
-        return df.select("tenant", "token").distinct().select(
-            "tenant", F.col("token").alias(name), F.explode(keys).alias("cut")
-        )
+        words = df.select("tenant", "token").distinct().withColumn("cut", F.explode(keys))
+        return words.withColumnRenamed("token", name)
 
     pairs = keyed(left, "token").join(keyed(right, "other"), ["tenant", "cut"])
     edits = F.levenshtein("token", "other", 1)
@@ -116,17 +121,30 @@ def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(query_tokens: DataFrame, index: TextIndex) -> DataFrame:
-    """(tenant, token, field, term, weight): index terms a query token reaches, weight x idf."""
-    pairs = one_edit_pairs(query_tokens, index.tokens.filter(F.col("field").isin(*FUZZY_WEIGHT)))
+def reachable_terms(query_tokens: DataFrame, index: TextIndex) -> DataFrame:
+    """(tenant, token, term, edits): the token itself and index tokens of fuzzy fields one edit away."""
     exact = query_tokens.select("tenant", "token").distinct()
-    reach = pairs.filter("edits = 1").select("tenant", "token", F.col("other").alias("term"), F.lit(1).alias("edits"))
-    reach = reach.unionByName(exact.select("tenant", "token", F.col("token").alias("term"), F.lit(0).alias("edits")))
+    near = one_edit_pairs(exact, index.tokens.filter(F.col("field").isin(*FUZZY_WEIGHT))).filter("edits = 1")
+    return near.select("tenant", "token", F.col("other").alias("term"), F.lit(1).alias("edits")).unionByName(
+        exact.select("tenant", "token", F.col("token").alias("term"), F.lit(0).alias("edits"))
+    )
+
+
+def term_weights(reach: DataFrame, index: TextIndex) -> DataFrame:
+    """(tenant, token, field, term, weight): index terms a query token reaches, weight x idf.
+
+    Index tokens are cut to the reached ones first, a filter Catalyst moves below the counting.
+    """
     as_map = lambda w: F.create_map(*[x for f, v in w.items() for x in (F.lit(f), F.lit(v))])
     weight = F.when(F.col("edits") == 0, as_map(EXACT_WEIGHT)[F.col("field")]).otherwise(
         F.coalesce(F.try_element_at(as_map(FUZZY_WEIGHT), F.col("field")), F.lit(0.0))
     )
-    terms = index.tokens.withColumnRenamed("token", "term").join(index.fields, ["tenant", "field"])
+    needed = reach.select("tenant", F.col("term").alias("token")).distinct()
+    terms = (
+        index.tokens.join(needed, ["tenant", "token"], "left_semi")
+        .withColumnRenamed("token", "term")
+        .join(index.fields, ["tenant", "field"])
+    )
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return (
         reach.join(terms, ["tenant", "term"])
@@ -168,19 +186,19 @@ def retrieve(queries: DataFrame, lanes: DataFrame, index: TextIndex, k: int = PO
     words = queries.select(
         "lane", "qid", "tenant", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("token")
     )
-    weights = term_weights(words, index)
+    reach = reachable_terms(words, index)
     q = (
-        words.join(weights, ["tenant", "token"])
+        words.join(term_weights(reach, index), ["tenant", "token"])
         .groupBy("lane", "qid", "field", "term")
         .agg(F.sum("weight").alias("weight"))
     )
-    needed = weights.select("tenant", "field", F.col("term").alias("token")).distinct()
+    needed = reach.select("tenant", F.col("term").alias("token")).distinct()
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     items = (
-        index.postings.join(needed, ["tenant", "field", "token"], "left_semi")
+        index.postings.join(needed, ["tenant", "token"], "left_semi")
         .join(index.fields, ["tenant", "field"])
         .select("tenant", "id", "field", F.col("token").alias("term"), part.alias("part"))
         .join(lanes, ["tenant", "id"])
         .select("lane", "id", "field", "term", "part")
     )
-    return blocked_top_k(q, items, bm25_cell, k)
+    return blocked_top_k(q, items, bm25_cell, k, sized_by=(queries, lanes))

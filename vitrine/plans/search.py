@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators import fusion, lexical, tiers
+from vitrine.session import checkpointed
 
 
 def retrieve(searches: DataFrame, products: DataFrame, vectors: DataFrame, index: lexical.TextIndex | None = None):
@@ -42,8 +43,10 @@ def hybrid_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
 
 
 def ranked_pool(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
-    """Fused pool of every different in-stock query, scored and ranked by tiers."""
-    searches = requests.select("tenant", F.trim("query").alias("query"), F.lit(True).alias("in_stock")).distinct()
+    """Fused pool of every different (stock switch, query), scored and ranked by tiers."""
+    searches = requests.select(
+        "tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")
+    ).distinct()
     text, vec = retrieve(searches, products, vectors, index)
     pool = fusion.fuse(text, vec).withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
     return tiers.tiered(tiers.scored_pool(pool, products))
@@ -56,5 +59,6 @@ def tiered_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
 
 def expand_second_tier(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
     """Second-tier pages of every different query that has near-exact name matches."""
-    ranked = ranked_pool(requests, products, vectors, index)
+    # Read several times below and at most twice the pool size per query: written once.
+    ranked = checkpointed(ranked_pool(requests, products, vectors, index))
     return fusion.paged(tiers.second_tier(ranked, products), "rank")

@@ -163,7 +163,7 @@ def prefix_index(spark, sf):
 
 @query(
     "prefix_suggestions",
-    """, typed AS (SELECT DISTINCT tenant, lower(left(trim(query), 4)) AS prefix FROM requests_v),
+    """, typed AS (SELECT DISTINCT tenant, lower(trim(left(trim(query), 4))) AS prefix FROM requests_v),
 g AS (SELECT p.tenant, t.prefix, p.id, min(CASE p.field WHEN 'name' THEN 0 WHEN 'category' THEN 1 WHEN 'soft_category' THEN 2 ELSE 3 END) AS o
   FROM typed t JOIN postings_v p ON p.tenant = t.tenant AND starts_with(p.token, t.prefix) GROUP BY ALL)
 SELECT * FROM (SELECT g.tenant, g.prefix, g.id, CAST(row_number() OVER (PARTITION BY g.tenant, g.prefix ORDER BY o, g.id) AS BIGINT) AS position
@@ -176,10 +176,15 @@ def prefix_suggestions(spark, sf):
     return rows.select("tenant", "prefix", "id", F.col("position").cast("long").alias("position"))
 
 
-@query("fuzzy_tokens", "SELECT tenant, token, term AS other, edits FROM reach_v")
+@query(
+    "fuzzy_tokens",
+    """SELECT tenant, token, term AS other, edits FROM reach_v JOIN (SELECT DISTINCT tenant, token AS term FROM df_v WHERE field <> 'description')
+USING (tenant, term)""",
+)
 def fuzzy_tokens(spark, sf):
     words = _searches(spark, sf).select("tenant", F.explode(text.index_tokens(F.col("query"))).alias("token"))
-    return lexical.one_edit_pairs(words, _index(spark, sf).tokens)
+    fuzzy_fields = F.col("field").isin(*lexical.FUZZY_WEIGHT)
+    return lexical.one_edit_pairs(words, _index(spark, sf).tokens.filter(fuzzy_fields))
 
 
 @query("lexical_retrieval", "SELECT * FROM text_hits_v")
@@ -288,8 +293,13 @@ def product_alternatives(spark, sf):
     return catalog.alternatives(products, products, _index(spark, sf))
 
 
+def _stocked_requests(spark, sf):
+    """Requests that want products in stock, the storefront's default."""
+    return bind.requests(spark, sf).filter(F.coalesce("in_stock", F.lit(True)))
+
+
 def _ranked(spark, sf):
-    return search.ranked_pool(bind.requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    return search.ranked_pool(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
 
 
 @query("name_match_bonus", "SELECT tenant, query, id, CAST(bonus AS BIGINT) AS bonus FROM bonus_v")
@@ -346,7 +356,7 @@ def top_soft_categories(spark, sf):
     "SELECT tenant, query, id, CAST(boost AS BIGINT) AS similarity_boost, rank, rank // 20 + 1 AS batch FROM second_v WHERE rank < 65",
 )
 def second_tier(spark, sf):
-    rows = search.expand_second_tier(bind.requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    rows = search.expand_second_tier(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
     return rows.select("tenant", F.col("qid").alias("query"), "id", "similarity_boost", "rank", "batch")
 
 
@@ -355,15 +365,15 @@ def second_tier(spark, sf):
     "SELECT s.tenant, s.query, p.type AS category, count(*) AS products FROM second_v s JOIN products_v p ON p.id = s.id WHERE rank < 10 GROUP BY ALL",
 )
 def second_tier_categories(spark, sf):
-    rows = search.expand_second_tier(bind.requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    rows = search.expand_second_tier(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
     mix = tiers.category_mix(rows, bind.products(spark, sf))
     return mix.select(F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"), F.col("qid").alias("query"), "category", "products")
 
 
 @query(
     "result_pages",
-    """SELECT tenant, query, id, rank, rank // 20 + 1 AS batch, least(65, n) > (rank // 20 + 1) * 20 AS has_more, least(least(65, n), (rank // 20 + 1) * 20) AS total_delivered
-FROM (SELECT *, count(*) OVER (PARTITION BY tenant, query) AS n FROM tiered_v) WHERE rank < 65""",
+    """SELECT tenant, query, id, rank, rank // 20 + 1 AS batch, least(65, found) > (rank // 20 + 1) * 20 AS has_more, least(least(65, found), (rank // 20 + 1) * 20) AS total_delivered
+FROM (SELECT *, count(*) OVER (PARTITION BY tenant, query) AS found FROM tiered_v) WHERE rank < 65""",
 )
 def result_pages(spark, sf):
     rows = fusion.with_page_state(fusion.paged(_ranked(spark, sf)), ["lane", "qid"])

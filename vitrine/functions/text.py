@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # --- Fixed values -------------------------------------------------------------------------------
@@ -205,8 +206,6 @@ def opening_text(reason: Column, query: Column) -> Column:
 
 def normalize_nfkc(text: Column) -> Column:
     """NFKC has no Spark built-in: an Arrow UDF, skipped for rows that are plain ASCII."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def nfkc(values: pd.Series) -> pd.Series:
         return values.str.normalize("NFKC")

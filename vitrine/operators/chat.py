@@ -203,3 +203,10 @@ def exported(rows: DataFrame, *columns: str, max_chars: int = EXPORT_CHARS) -> D
         text.utf16_length(body) > max_chars, F.concat(text.utf16_left(body, max_chars), F.lit(EXPORT_MARKER))
     ).otherwise(body)
     return rows.withColumn("body", cut)
+
+
+def with_layout(cards: DataFrame, most: int = 5) -> DataFrame:
+    """More than five different cards in a reply are laid out as a grid."""
+    counts = cards.groupBy("reply_id").agg(F.count("*").alias("_cards"))
+    layout = F.when(F.col("_cards") > most, "grid").otherwise("recommendations")
+    return cards.join(counts, "reply_id").withColumn("layout", layout).drop("_cards")

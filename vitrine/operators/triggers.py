@@ -172,3 +172,23 @@ def prefix_suggestions(queries: DataFrame, prefix_index: DataFrame, products: Da
     best = needed.groupBy("tenant", "prefix", "id").agg(F.min(order).alias("field_order")).join(visible, ["tenant", "id"])
     w = Window.partitionBy("tenant", "prefix").orderBy("field_order", "id")
     return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
+
+
+def known_reason(reason: Column) -> Column:
+    """Only the known trigger reasons survive."""
+    return F.when(reason.isin(*text.TRIGGER_REASONS), reason)
+
+
+def understood(queries: DataFrame, products: DataFrame) -> DataFrame:
+    """Script, complexity, price filters, category and cleaned text of each different query.
+
+    The words of the extracted category are filter words and leave the cleaned query.
+    """
+    q = F.col("query")
+    asked = queries.select("tenant", "query").distinct()
+    found = asked.join(longest_category(asked, products), ["tenant", "query"], "left")
+    stop = text.index_tokens(F.coalesce("category", F.lit("")))
+    return found.select(
+        "tenant", "query", text.has_hebrew(q).alias("hebrew"), text.is_simple_query(q).alias("simple"),
+        text.price_filters(q).alias("filters"), "category", text.clean_query(q, stop).alias("cleaned"),
+    )

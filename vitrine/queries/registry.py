@@ -110,7 +110,7 @@ FROM chat_v GROUP BY conversation_id, conv_id""",
     "feedback_v": """
 SELECT CAST(event_id % 100 AS VARCHAR) AS conversation_id, CASE event_type WHEN 'click' THEN 'product_click'
   WHEN 'purchase' THEN 'add_to_cart' WHEN 'view' THEN 'opened' WHEN 'signup' THEN 'helpful' ELSE 'unknown_event' END AS event,
-  CAST(k AS VARCHAR) AS product_id, ts AS at FROM events_v""",
+  CAST(k AS VARCHAR) AS product_id, ts AS made_at FROM events_v""",
     "aliases_v": """
 SELECT CAST(c_custkey AS VARCHAR) AS old_session_id, CAST(c_custkey + 1 AS VARCHAR) AS new_session_id,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(c_custkey) AS ts FROM customer WHERE c_custkey % 5 IN (0, 1)""",

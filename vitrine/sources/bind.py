@@ -65,8 +65,9 @@ def products(
     return df.drop("p_partkey")
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "events")
+def events(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """The event log with its key parsed; ``source`` may be the same table as a stream."""
+    df = table(spark, sf_dir, "events") if source is None else source
     return df.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -78,7 +79,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def requests(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """The search log: views, with query text from the part the event points at."""
     part = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("k"),
@@ -89,7 +90,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lower("p_type").alias("type_text"),
         _first_word(F.col("p_name")).alias("word"),
     )
-    log = events(spark, sf_dir).filter("event_type = 'view'").join(part, "k")
+    log = events(spark, sf_dir, source).filter("event_type = 'view'").join(part, "k")
     variant, f = F.col("event_id") % 5, F.col("event_id") % 60
     no_list = F.lit(None).cast("array<string>")
     return log.select(
@@ -142,9 +143,9 @@ def cart(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def clicks(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     return (
-        events(spark, sf_dir)
+        events(spark, sf_dir, source)
         .filter("event_type = 'click'")
         .select(
             F.col("event_id").alias("click_id"),
@@ -155,10 +156,10 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rapid_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rapid_orders(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Orders in the shoppers' own sessions (one line each), from purchases."""
     return (
-        events(spark, sf_dir)
+        events(spark, sf_dir, source)
         .filter("event_type = 'purchase'")
         .select(
             F.col("event_id").alias("order_id"),
@@ -175,14 +176,14 @@ def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("query_id", "session_id", "ts", "query")
 
 
-def order_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_deliveries(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """Webhook deliveries: each order once, every tenth order a second time an hour later."""
-    o = table(spark, sf_dir, "orders").withColumn("created_at", F.col("o_orderdate").cast("timestamp"))
-    first = o.withColumn("received_at", F.col("created_at"))
-    again = o.filter("o_orderkey % 10 = 0").withColumn(
-        "received_at", F.col("created_at") + F.expr("INTERVAL 1 HOUR")
+    o = (table(spark, sf_dir, "orders") if source is None else source).withColumn("created_at", F.col("o_orderdate").cast("timestamp"))
+    hours = F.when(F.col("o_orderkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    sent = o.withColumn("late", F.explode(hours)).withColumn(
+        "received_at", F.col("created_at") + F.make_interval(hours=F.col("late"))
     )
-    return first.unionByName(again).select(
+    return sent.select(
         F.col("o_orderkey").alias("order_id"),
         F.concat(F.lit("s"), F.pmod("o_custkey", F.lit(3)).cast("string")).alias("tenant"),
         F.col("o_custkey").cast("string").alias("session_id"),
@@ -280,8 +281,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.join(shown, "k").select("query_id", "tenant", "session_id", "ts", "query", payload.alias("payload"))
 
 
-def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
+def chat_turns(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    c = table(spark, sf_dir, "conversations") if source is None else source
     return c.select(
         F.col("conv_id").cast("string").alias("conversation_id"),
         F.concat(F.lit("s"), F.pmod("conv_id", F.lit(3)).cast("string")).alias("tenant"),
@@ -328,8 +329,8 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
+def feedback(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    e = events(spark, sf_dir, source)
     kind = (
         F.when(F.col("event_type") == "click", "product_click")
         .when(F.col("event_type") == "purchase", "add_to_cart")
@@ -345,9 +346,9 @@ def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def conversation_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def conversation_writes(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
     """One write per chat turn: the state of the conversation after it."""
-    return chat_turns(spark, sf_dir).select(
+    return chat_turns(spark, sf_dir, source).select(
         "conversation_id",
         "tenant",
         F.when(F.col("conversation_id").cast("long") % 11 != 0, F.col("session_id")).alias("session_id"),
@@ -416,3 +417,112 @@ def name_pins(spark: SparkSession, sf_dir: str) -> DataFrame:
         .filter("pin_position <= 3")
         .drop("number")
     )
+
+
+def parked_triggers(spark: SparkSession, sf_dir: str, source: DataFrame | None = None) -> DataFrame:
+    """Triggers parked for conversations: some minutes before the first turn, some again at turn 2."""
+    number = F.col("conversation_id").cast("long")
+    early = F.col("ts") - F.make_interval(mins=(number % 45).cast("int"))
+    return (
+        chat_turns(spark, sf_dir, source)
+        .filter((F.col("turn") == 0) | ((F.col("turn") == 2) & (number % 3 == 0)))
+        .select(
+            "conversation_id",
+            F.when(F.col("turn") == 0, early).otherwise(F.col("ts")).alias("parked_at"),
+            F.when(number % 4 == 0, "no_results").when(number % 4 == 1, "out_of_stock")
+            .when(number % 4 == 2, "non_literal").otherwise("something_else").alias("trigger_reason"),
+            F.concat(F.lit("q"), F.col("turn").cast("string")).alias("trigger_query"),
+        )
+    )
+
+
+def _words(spark_column: Column, values: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (spark_column % len(values) + 1).cast("int"))
+
+
+RULE_WORDS = ["red", "blue", "hot", "cold", "small", "large", "old", "new"]
+RULE_TYPES = ["economy", "small", "promo", "standard", "medium", "large"]
+
+
+def _targeting(mode, patterns, match, zone=None, start=None, end=None) -> Column:
+    none = F.lit(None).cast("string")
+    window = F.when(
+        F.lit(zone is not None),
+        F.struct(
+            F.lit(zone).cast("string").alias("timezone"),
+            (F.lit(None) if start is None else start).cast("int").alias("startHour"),
+            (F.lit(None) if end is None else end).cast("int").alias("endHour"),
+        ),
+    )
+    return F.struct(
+        (F.lit(mode) if mode else none).cast("string").alias("mode"),
+        (F.array(*patterns) if patterns else F.lit(None)).cast("array<string>").alias("patterns"),
+        (F.lit(match) if match else none).cast("string").alias("matchType"),
+        window.alias("timeWindow"),
+    )
+
+
+def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experiment definitions as one JSON list per tenant, derived from the regions."""
+    n = F.col("r_regionkey")
+    lit = lambda *v: [F.lit(x) for x in v]
+    targeting = (
+        F.when(n == 1, _targeting("queryMatch", lit(" Red ", "blue"), "contains"))
+        .when(n == 2, _targeting("queryMatch", lit("zzzz qqqq"), "exact"))
+        .when(n == 3, _targeting("queryMatch", lit("ring", "widget"), "contains", "Asia/Jerusalem", F.lit(22), F.lit(6)))
+        .when(n == 4, _targeting(None, None, None, "America/New_York", F.lit(8), F.lit(20)))
+    )
+    patch = F.struct(
+        F.create_map(F.lit("red"), (n + 1).cast("double")).alias("softCategoriesBoost"),
+        F.create_map(n.cast("string"), (n + 1) / 100).alias("productBoosts"),
+        (1 + n / 10).alias("profileBoostMultiplier"),
+    )
+    arm = lambda key, weight, p: F.struct(F.lit(key).alias("key"), weight.cast("double").alias("weight"), p.alias("patch"))
+    arms = F.array(arm("control", n + 1, F.when(F.lit(False), patch)), arm("variant", F.lit(2), patch), arm("third", n % 2, patch))
+    definition = F.struct(
+        F.concat(F.lit("exp"), n.cast("string")).alias("id"),
+        (20.0 * (n + 1)).alias("trafficPct"),
+        arms.alias("arms"),
+        targeting.alias("targeting"),
+    )
+    every = table(spark, sf_dir, "region").withColumn("tenant", F.explode(F.array(*lit("s0", "s1", "s2"))))
+    return _listed(every, n, definition, F.col("tenant"), "experiments")
+
+
+def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merchandising rules as one JSON list per tenant, derived from the nations."""
+    n = F.col("n_nationkey")
+    word, kind = _words(n, RULE_WORDS), _words(n, RULE_TYPES)
+    condition = (
+        F.when(n % 4 == 1, _targeting("queryMatch", [word], "contains"))
+        .when(n % 4 == 2, _targeting("queryMatch", [kind], "exact"))
+        .when(n % 4 == 3, _targeting(None, None, None, "Europe/Paris", n % 24, n * 5 % 24))
+    )
+    pin = F.struct(word.alias("query"), F.array(n.cast("string"), (n + 1).cast("string")).alias("productIds"), F.lit(True).alias("enabled"))
+    association = F.struct(
+        F.array(word).alias("softCategories"), F.array(F.upper(kind)).alias("categories"), (n % 4 * 3).cast("int").alias("limit")
+    )
+    patch = F.struct(
+        F.create_map(word, n / 100).alias("softCategoriesBoost"),
+        F.when(n % 5 == 0, F.array(pin)).alias("pinnedResults"),
+        F.create_map((n % 5).cast("string"), n / 100).alias("productBoosts"),
+        F.when(n % 2 == 0, 1 + n / 100).alias("profileBoostMultiplier"),
+        F.when(n % 6 == 0, association).alias("categoryAssociation"),
+    )
+    definition = F.struct(F.concat(F.lit("rule"), n.cast("string")).alias("id"), condition.alias("condition"), patch.alias("patch"))
+    tenant = F.concat(F.lit("s"), (n % 3).cast("string"))
+    return _listed(table(spark, sf_dir, "nation"), n, definition, tenant, "rules")
+
+
+def _listed(rows: DataFrame, order: Column, definition: Column, tenant: Column, name: str) -> DataFrame:
+    entries = rows.select(tenant.alias("tenant"), F.struct(order.alias("place"), definition.alias("d")).alias("e"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct(F.col("e.place"), F.to_json("e.d").alias("j")))), lambda x: x["j"])
+    return entries.groupBy("tenant").agg(
+        F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias(name)
+    )
+
+
+def review_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of an external review for every third request; every fifth is turned down."""
+    q = F.col("query_id")
+    return requests(spark, sf_dir).filter(q % 3 == 0).select("query_id", (q % 5 != 0).alias("should_trigger"))

@@ -42,7 +42,8 @@ SELECT CAST(user_id AS VARCHAR) AS conversation_id, epoch_us(min(ts)) AS started
 )
 def stream_conversation_sessions(spark, sf):
     turns = bind.events(spark, sf, _stream(spark, sf, "events")).select("ts", F.col("session_id").alias("conversation_id"))
-    table = jobs.to_table(jobs.conversation_sessions(turns), "sessions", "append", final=True)
+    # Append would hold back the newest sessions; a drained finite log is read complete.
+    table = jobs.last_batch(jobs.to_table(jobs.conversation_sessions(turns), "sessions", "complete"))
     return table.select(
         "conversation_id", F.unix_micros("started").alias("started_us"), F.unix_micros("expires").alias("expires_us"), "turns"
     )

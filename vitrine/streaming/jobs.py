@@ -6,12 +6,15 @@ caller. ``to_table`` writes to the shared folder, idempotently per batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from vitrine.functions import matching
 from vitrine.operators import chat, experiments
 from vitrine.session import run_folder
 
+# The state store that keeps state on disk; custom state needs it.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     """A given table as a file stream; the schema comes from the file, never from inference."""
@@ -39,10 +42,16 @@ def to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | N
         .start()
     )
     query.awaitTermination()
-    wide = schema.add("batch_number", "int") if "batch_number" not in schema.names else schema
+    wide = T.StructType([*schema.fields, T.StructField("batch_number", T.IntegerType())])
     return spark.read.schema(wide).parquet(f"{folder}/data")
 
 
+def last_batch(table: DataFrame) -> DataFrame:
+    """The rows of the newest batch of a complete-mode table."""
+    newest = table.agg(F.max("batch_number").alias("batch_number"))
+    return table.join(newest, "batch_number", "left_semi").drop("batch_number")
+
+
 def latest(table: DataFrame, keys: list[str]) -> DataFrame:
     """Last emitted row per key of an update-mode table."""
     others = [c for c in table.columns if c not in (*keys, "batch_number")]
@@ -158,14 +167,8 @@ def upserted_conversations(writes: DataFrame, folder: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    progress = query.lastProgress
-    last = progress["batchId"] if progress else -1
-    while last >= 0:
-        try:
-            return spark.read.parquet(f"{folder}/version={last + 1}")
-        except Exception:  # an empty closing batch writes no version
-            last -= 1
-    raise ValueError("no batch was written")
+    last = max(batch["batchId"] for batch in query.recentProgress)
+    return spark.read.parquet(f"{folder}/version={last + 1}")
 
 
 def consumed_quota(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
@@ -175,6 +178,7 @@ def consumed_quota(hits: DataFrame, limit: int, window_seconds: int) -> DataFram
     """
     from vitrine.streaming.quota_state import QuotaProcessor
 
+    hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = "key string, hit_id long, opened long, count long, allowed boolean"
     return (
         hits.select("key", "hit_id", F.unix_micros("ts").alias("at"))

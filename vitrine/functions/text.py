@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
@@ -61,6 +63,11 @@ PRICE_RANGE = r"[0-9]+\s*(?:-|to)\s*[0-9]+"
 # -------------------------------------------------------------------------------------------------
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``then``."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def lookup(values: dict[str, str], key: Column) -> Column:
     """Value of a small fixed table, NULL where the key is missing."""
     chain = None
@@ -74,7 +81,7 @@ def js_trim(text: Column) -> Column:
 
 
 def collapse_spaces(text: Column) -> Column:
-    return js_trim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
+    return F.trim(F.regexp_replace(text, f"{WHITESPACE}+", " "))
 
 
 def utf16_length(text: Column) -> Column:
@@ -84,9 +91,16 @@ def utf16_length(text: Column) -> Column:
 
 def utf16_left(text: Column, units: int) -> Column:
     """First UTF-16 units; whole code points are enough unless the text leaves the basic plane."""
-    astral = utf16_length(text) > F.length(text)
-    binary_cut = F.decode(F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
-    return F.when(astral, binary_cut).otherwise(F.substring(text, 1, units))
+
+    def cut(t: Column) -> Column:
+        binary = F.decode(F.substring(F.encode(t, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
+        return (
+            F.when(F.length(t) * 2 <= units, t)
+            .when(utf16_length(t) > F.length(t), binary)
+            .otherwise(F.substring(t, 1, units))
+        )
+
+    return let(text, cut)
 
 
 def sanitize(text: Column, max_chars: int = MESSAGE_CHARS) -> Column:
@@ -103,19 +117,23 @@ def sanitize_id(raw: Column, max_chars: int = 64) -> Column:
 
 def junk_class(text: Column) -> Column:
     """First junk class that applies to an already sanitised message, else NULL."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    return (
-        F.when(F.coalesce(text, F.lit("")) == "", "empty")
-        .when(letters == 0, "no_letters")
-        .when(letters / utf16_length(text) < 0.35, "symbol_soup")
-        .when(text.rlike(r"(.)\1{9,}"), "repeated_char")
-        .when(
-            (F.size(words) > 3) & (F.size(F.array_distinct(F.transform(words, F.lower))) == 1),
-            "repeated_word",
+
+    def classify(t: Column) -> Column:
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}\p{N}]+", ""))
+        words = F.filter(F.split(t, " "), lambda w: w != "")
+        return (
+            F.when(F.coalesce(t, F.lit("")) == "", "empty")
+            .when(letters == 0, "no_letters")
+            .when(letters / utf16_length(t) < 0.35, "symbol_soup")
+            .when(t.rlike(r"(.)\1{9}"), "repeated_char")
+            .when(
+                (F.size(words) > 3) & (F.size(F.array_distinct(F.transform(words, F.lower))) == 1),
+                "repeated_word",
+            )
+            .when(t.rlike(r"[^ ]{61}"), "long_token")
         )
-        .when(F.exists(words, lambda w: F.length(w) > 60), "long_token")
-    )
+
+    return let(text, classify)
 
 
 def override_attempt(text: Column) -> Column:
@@ -125,22 +143,22 @@ def override_attempt(text: Column) -> Column:
 def strip_and_clip(text: Column, max_chars: int) -> Column:
     """Tags to spaces, spaces collapsed, empty to NULL, cut with an ellipsis."""
     clean = F.nullif(collapse_spaces(F.regexp_replace(text, "<[^>]*>", " ")), F.lit(""))
-    return F.when(
-        utf16_length(clean) > max_chars, F.concat(utf16_left(clean, max_chars), F.lit("…"))
-    ).otherwise(clean)
+    return let(
+        clean,
+        lambda c: F.when(utf16_length(c) > max_chars, F.concat(utf16_left(c, max_chars), F.lit("…"))).otherwise(c),
+    )
 
 
 def index_tokens(text: Column) -> Column:
     """Lower-cased word tokens of the text index."""
-    flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.filter(F.split(flat, " "), lambda w: w != "")
+    words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}\p{N}]+")
+    return F.array_remove(words, "")
 
 
 def literal_words(text: Column) -> Column:
     """Words for the literal-hit test: points stripped, at least two characters."""
     flat = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), HEBREW_POINTS, "")
-    flat = F.regexp_replace(flat, r"[^\p{L}\p{N}]+", " ")
-    return F.filter(F.split(flat, " "), lambda w: F.length(w) >= 2)
+    return F.filter(F.split(flat, r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 2)
 
 
 def as_list(value: Column) -> Column:

@@ -75,6 +75,10 @@ def blocked_top_k(
             return pd.DataFrame({"lane": [], "qid": [], "id": [], "score": []})
         return score_cell(left, right, k)
 
+    # Cells are small in bytes but heavy in work: a stated partition count keeps them apart where
+    # size-based coalescing would line them up in one task.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    q, i = q.repartition(tasks, *cell), i.repartition(tasks, *cell)
     partial = q.groupBy(*cell).cogroup(i.groupBy(*cell)).applyInPandas(run, RESULT)
     return ranked(partial, k)
 

@@ -207,7 +207,7 @@ def price_places(products: DataFrame) -> DataFrame:
         out = with_running(
             out.withColumn("_value", F.coalesce(value, F.lit(0.0))),
             ["tenant"],
-            F.struct("no_price", F.floor(F.col("_value"))),
+            F.struct("no_price", "_value", F.substring("id", 1, 2)),
             ["no_price", "_value", "id"],
             sums={name: F.lit(1).cast("long")},
         ).drop("_value")

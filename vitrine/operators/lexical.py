@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
+from vitrine.session import run_folder
 
 K1, B = 1.2, 0.75
 POOL = 80
@@ -61,38 +62,52 @@ def postings(products: DataFrame) -> DataFrame:
 
 
 def build_index(products: DataFrame) -> TextIndex:
-    post = postings(products)
+    """The index as one lazy plan, for catalogs read once; see ``stored_index`` for reuse."""
+    return statistics(postings(products))
+
+
+def statistics(post: DataFrame) -> TextIndex:
+    """Document counts per token and mean lengths per field, from postings."""
     tokens = post.groupBy("tenant", "field", "token").agg(F.count("*").alias("df"))
-    lengths = field_texts(products).select(
-        "tenant", "field", F.size(index_tokens(F.col("text"))).cast("long").alias("dl")
-    )
-    fields = lengths.filter("dl > 0").groupBy("tenant", "field").agg(
+    fields = post.groupBy("tenant", "field", "id").agg(F.max("dl").alias("dl")).groupBy("tenant", "field").agg(
         F.count("*").alias("docs"), (F.sum("dl") / F.count("*")).alias("avg_dl")
     )
     return TextIndex(post, tokens, fields)
 
 
-def write_index(index: TextIndex, folder: str) -> TextIndex:
-    """Store the index partitioned by field, so that a plan reads only the fields it scores."""
-    spark = index.postings.sparkSession
-    index.postings.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
-    index.tokens.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/tokens")
-    index.fields.write.mode("overwrite").parquet(f"{folder}/fields")
-    return TextIndex(*[spark.read.parquet(f"{folder}/{n}") for n in ("postings", "tokens", "fields")])
+def stored_index(products: DataFrame, folder: str | None = None) -> TextIndex:
+    """Build the index once and read it back: texts are tokenised a single time.
+
+    Postings are partitioned by field, so plans over the short fields skip the descriptions. Token
+    and field statistics are counted from the stored postings.
+    """
+    spark = products.sparkSession
+    folder = folder or run_folder(spark, "text-index")
+    postings(products).write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
+    post = spark.read.parquet(f"{folder}/postings").select("tenant", "field", "token", "id", "tf", "dl")
+    counted = statistics(post)
+    counted.tokens.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/tokens")
+    counted.fields.write.mode("overwrite").parquet(f"{folder}/fields")
+    tokens, fields = (spark.read.parquet(f"{folder}/{n}") for n in ("tokens", "fields"))
+    return TextIndex(post, tokens.select("tenant", "field", "token", "df"), fields)
 
 
 def prefixes(products: DataFrame) -> DataFrame:
     """Edge n-grams per field for prefix lookup."""
     longest = F.create_map(*[x for f, n in PREFIX_MAX.items() for x in (F.lit(f), F.lit(n))])
-    tokens = field_texts(products).select(
-        "tenant", "field", "id", F.explode(F.array_distinct(index_tokens(F.col("text")))).alias("token")
+    words = field_texts(products).select(
+        "tenant", "field", "id", F.array_distinct(index_tokens(F.col("text"))).alias("words")
     )
-    size = F.least(F.length("token"), longest[F.col("field")])
-    grams = F.when(
-        F.length("token") >= PREFIX_MIN,
-        F.transform(F.sequence(F.lit(PREFIX_MIN), size), lambda n: F.substring("token", F.lit(1), n)),
+    long_enough = F.filter("words", lambda w: F.length(w) >= PREFIX_MIN)
+    grams = F.transform(
+        long_enough,
+        lambda w: F.transform(
+            F.sequence(F.lit(PREFIX_MIN), F.least(F.length(w), longest[F.col("field")])),
+            lambda n: F.substring(w, F.lit(1), n),
+        ),
     )
-    return tokens.select("tenant", "field", "id", F.explode(grams).alias("prefix")).distinct()
+    # A row is one product field, so removing repeats inside it needs no shuffle.
+    return words.select("tenant", "field", "id", F.explode(F.array_distinct(F.flatten(grams))).alias("prefix"))
 
 
 def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

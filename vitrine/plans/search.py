@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from vitrine.operators import fusion, lexical, tiers
 from vitrine.session import checkpointed
@@ -10,7 +10,7 @@ from vitrine.session import checkpointed
 
 def retrieve(searches: DataFrame, products: DataFrame, vectors: DataFrame, index: lexical.TextIndex | None = None):
     """Lexical and vector hits for the different (tenant, stock switch, query) of ``searches``."""
-    index = index or lexical.build_index(products)
+    index = index or lexical.stored_index(products)
     keyed = searches.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
     asked = keyed.select("lane", "tenant", "query").distinct()
     return fusion.text_hits(asked, products, index), fusion.vector_hits(asked, products, vectors)
@@ -22,31 +22,31 @@ def hybrid_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
     One row per search and result; ``requests`` says how many log rows the search stands for. Join
     ``fusion.distinct_searches`` on its key columns to get back to single requests.
     """
-    searches = fusion.distinct_searches(requests)
+    # The different searches feed every branch below: reduced from the log once.
+    searches = checkpointed(fusion.distinct_searches(requests))
     text, vec = retrieve(searches, products, vectors, index)
-    lexical_count = text.groupBy("lane", "qid").agg(F.count("*").alias("lexical_matches"))
     attributes = products.select(
         "tenant", "id", "price", "category", "soft_category", "stock_status_canonical", "stock_status_legacy"
     )
+    lexical_matches = F.count("text_rank").over(Window.partitionBy("lane", "qid"))
     pool = (
         fusion.fuse(text, vec)
-        .withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
+        .select("*", lexical_matches.alias("lexical_matches"), F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"))
         .join(attributes, ["tenant", "id"])
         .drop("tenant")
     )
     asked = searches.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock"))).withColumn("qid", F.col("query"))
     rows = fusion.post_filter(asked.join(pool, ["lane", "qid"]))
-    best = fusion.limited(rows, fusion.result_order(fusion.fused_order()))
-    return best.join(lexical_count, ["lane", "qid"], "left").withColumn(
-        "lexical_matches", F.coalesce("lexical_matches", F.lit(0))
-    )
+    return fusion.limited(rows, fusion.result_order(fusion.fused_order()))
 
 
 def ranked_pool(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
     """Fused pool of every different (stock switch, query), scored and ranked by tiers."""
-    searches = requests.select(
-        "tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")
-    ).distinct()
+    searches = checkpointed(
+        requests.select(
+            "tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")
+        ).distinct()
+    )
     text, vec = retrieve(searches, products, vectors, index)
     pool = fusion.fuse(text, vec).withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
     return tiers.tiered(tiers.scored_pool(pool, products))

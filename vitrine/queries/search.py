@@ -117,12 +117,15 @@ def _searches(spark, sf):
     return keyed.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
 
 
-def _catalog(spark, sf):
-    return bind.products(spark, sf, description=True, embedding=True)
+_STORED: dict[tuple[str, str], lexical.TextIndex] = {}
 
 
 def _index(spark, sf):
-    return lexical.build_index(bind.products(spark, sf, description=True))
+    """The catalog's text index, built once per application and catalog and then read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = lexical.stored_index(bind.products(spark, sf, description=True))
+    return _STORED[key]
 
 
 def _attributes(spark, sf):
@@ -148,7 +151,7 @@ def text_postings(spark, sf):
     "SELECT d.tenant, d.field, d.token, d.df, f.docs, round(f.avg_dl, 6) AS avg_dl FROM df_v d JOIN fields_v f USING (tenant, field)",
 )
 def token_statistics(spark, sf):
-    index = _index(spark, sf)
+    index = lexical.build_index(bind.products(spark, sf, description=True))
     return index.tokens.join(index.fields, ["tenant", "field"]).withColumn("avg_dl", F.round("avg_dl", 6))
 
 
@@ -189,8 +192,7 @@ def fuzzy_tokens(spark, sf):
 
 @query("lexical_retrieval", "SELECT * FROM text_hits_v")
 def lexical_retrieval(spark, sf):
-    products = bind.products(spark, sf, description=True)
-    return _unlaned(fusion.text_hits(_searches(spark, sf), products, lexical.build_index(products)))
+    return _unlaned(fusion.text_hits(_searches(spark, sf), bind.products(spark, sf), _index(spark, sf)))
 
 
 @query("vector_retrieval", "SELECT * FROM vector_hits_v")
@@ -215,8 +217,7 @@ def approximate_vectors(spark, sf):
     "SELECT tenant, in_stock, query, id, round(rrf, 9) AS rrf, text_rank, vector_rank FROM pool_v",
 )
 def rank_fusion(spark, sf):
-    products = _catalog(spark, sf)
-    hits = search.retrieve(_searches(spark, sf), products, bind.query_vectors(spark, sf))
+    hits = search.retrieve(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf))
     pool = fusion.fuse(*hits)
     return pool.select(
         F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"),
@@ -233,7 +234,9 @@ def rank_fusion(spark, sf):
   ON t.tenant = h.tenant AND t.in_stock = h.in_stock AND t.query = h.query WHERE position <= want""",
 )
 def hybrid_search(spark, sf):
-    rows = search.hybrid_search(bind.requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    rows = search.hybrid_search(
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+    )
     return rows.select(
         "search_id", "requests", "tenant", "query", "in_stock", F.col("position").cast("long").alias("position"), "id",
         F.round("rrf", 9).alias("rrf"), "total_matched", "returned", "lexical_matches",
@@ -289,7 +292,7 @@ far AS (SELECT s.tenant, s.id AS source_id, 'text_similarity' AS method, h.id, h
 SELECT * FROM (SELECT * FROM near UNION ALL SELECT * FROM far) WHERE position <= 5""",
 )
 def product_alternatives(spark, sf):
-    products = _catalog(spark, sf)
+    products = _attributes(spark, sf)
     return catalog.alternatives(products, products, _index(spark, sf))
 
 
@@ -299,7 +302,9 @@ def _stocked_requests(spark, sf):
 
 
 def _ranked(spark, sf):
-    return search.ranked_pool(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    return search.ranked_pool(
+        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+    )
 
 
 @query("name_match_bonus", "SELECT tenant, query, id, CAST(bonus AS BIGINT) AS bonus FROM bonus_v")
@@ -356,7 +361,9 @@ def top_soft_categories(spark, sf):
     "SELECT tenant, query, id, CAST(boost AS BIGINT) AS similarity_boost, rank, rank // 20 + 1 AS batch FROM second_v WHERE rank < 65",
 )
 def second_tier(spark, sf):
-    rows = search.expand_second_tier(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    rows = search.expand_second_tier(
+        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+    )
     return rows.select("tenant", F.col("qid").alias("query"), "id", "similarity_boost", "rank", "batch")
 
 
@@ -365,7 +372,9 @@ def second_tier(spark, sf):
     "SELECT s.tenant, s.query, p.type AS category, count(*) AS products FROM second_v s JOIN products_v p ON p.id = s.id WHERE rank < 10 GROUP BY ALL",
 )
 def second_tier_categories(spark, sf):
-    rows = search.expand_second_tier(_stocked_requests(spark, sf), _catalog(spark, sf), bind.query_vectors(spark, sf))
+    rows = search.expand_second_tier(
+        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+    )
     mix = tiers.category_mix(rows, bind.products(spark, sf))
     return mix.select(F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"), F.col("qid").alias("query"), "category", "products")
 

@@ -52,7 +52,9 @@ def products(
     )
     if description:
         docs = table(spark, sf_dir, "documents")
-        df = df.join(
+        # Spread on the join key, which a shuffled join needs anyway: the text work that follows
+        # then runs in parallel however few files the catalog has.
+        df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey").join(
             docs.select(F.col("doc_id").alias("p_partkey"), F.col("text").alias("description")),
             "p_partkey",
             "left",

@@ -90,10 +90,16 @@ def utf16_length(text: Column) -> Column:
 
 
 def utf16_left(text: Column, units: int) -> Column:
-    """First UTF-16 units; whole code points are enough unless the text leaves the basic plane."""
+    """First UTF-16 units; whole code points are enough unless the text leaves the basic plane.
+
+    A surrogate pair the limit would split is left out, as a string cannot hold half of it.
+    """
 
     def cut(t: Column) -> Column:
-        binary = F.decode(F.substring(F.encode(t, "UTF-16BE"), 1, 2 * units), "UTF-16BE")
+        raw = F.encode(t, "UTF-16BE")
+        splits = F.hex(F.substring(raw, 2 * units - 1, 1)).between("D8", "DB")
+        whole = F.when(splits, 2 * units - 2).otherwise(2 * units)
+        binary = F.decode(F.substring(raw, F.lit(1), whole), "UTF-16BE")
         return (
             F.when(F.length(t) * 2 <= units, t)
             .when(utf16_length(t) > F.length(t), binary)

@@ -251,7 +251,20 @@ def store_quota(spark, sf):
     return rows.select("key", "hit_id", "opened", "count", "allowed")
 
 
-@query("request_quotas")
+def _both_quotas_twin() -> str:
+    """The twin of both quotas: each fold as a sub-select of its own."""
+    shopper = quota_twin(
+        "SELECT 's' || (user_id % 3) || ':' || session_id AS key, event_id AS hit_id, epoch_us(ts) AS hit_at FROM events_v", 40, 3600
+    )
+    store = quota_twin("SELECT 's' || (user_id % 3) AS key, event_id AS hit_id, epoch_us(ts) AS hit_at FROM events_v", 600, 600)
+    inner = lambda sql: "WITH " + sql.removeprefix(", ")
+    return f""", a AS ({inner(shopper)}), b AS ({inner(store)})
+SELECT a.hit_id, a.count AS shopper_count, b.count AS store_count,
+  CASE WHEN a.count > 40 THEN 'shopper' WHEN b.count > 600 THEN 'store' END AS scope,
+  CAST(CASE WHEN a.count > 40 THEN 3600 WHEN b.count > 600 THEN 600 END AS INTEGER) AS retry_after_seconds FROM a JOIN b USING (hit_id)"""
+
+
+@query("request_quotas", _both_quotas_twin())
 def request_quotas(spark, sf):
     hits = bind.events(spark, sf).select(
         F.col("event_id").alias("hit_id"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("tenant"), "session_id", "ts"

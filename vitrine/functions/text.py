@@ -116,6 +116,11 @@ def sanitize(text: Column, max_chars: int = MESSAGE_CHARS) -> Column:
     return utf16_left(collapse_spaces(clean), max_chars)
 
 
+def has_content(text: Column) -> Column:
+    """Whether anything is left after sanitising, from the first character that stays."""
+    return text.rlike(f"[^{WHITESPACE[1:-1]}{INVISIBLE[1:-1]}]")
+
+
 def sanitize_id(raw: Column, max_chars: int = 64) -> Column:
     clean = F.substring(js_trim(raw), 1, max_chars)
     return F.when(clean.rlike(ID_PATTERN), clean)

@@ -10,8 +10,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitrine.functions import predicates
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
 from vitrine.session import run_folder
@@ -53,8 +54,10 @@ def field_texts(products: DataFrame) -> DataFrame:
 def postings(products: DataFrame) -> DataFrame:
     """Token counts per product and field, with the field's length in tokens."""
     words = field_texts(products).select("tenant", "field", "id", index_tokens(F.col("text")).alias("words"))
+    # explode_outer: a plain explode makes Spark tokenise once more to test for empty lists.
     return (
-        words.select("tenant", "field", "id", F.size("words").cast("long").alias("dl"), F.explode("words").alias("token"))
+        words.select("tenant", "field", "id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("token"))
+        .filter("token is not null")
         .groupBy("tenant", "field", "token", "id", "dl")
         .agg(F.count("*").alias("tf"))
         .select("tenant", "field", "token", "id", "tf", "dl")
@@ -92,22 +95,55 @@ def stored_index(products: DataFrame, folder: str | None = None) -> TextIndex:
     return TextIndex(post, tokens.select("tenant", "field", "token", "df"), fields)
 
 
+def _longest_prefix() -> Column:
+    sizes = F.create_map(*[x for f, n in PREFIX_MAX.items() for x in (F.lit(f), F.lit(n))])
+    return sizes[F.col("field")]
+
+
+def _edge_grams(word: Column, longest: Column) -> Column:
+    """Prefixes of a word from the shortest indexed size on; too short words have none."""
+    return F.when(
+        F.length(word) >= PREFIX_MIN,
+        F.transform(
+            F.sequence(F.lit(PREFIX_MIN), F.least(F.length(word), longest)), lambda n: F.substring(word, F.lit(1), n)
+        ),
+    )
+
+
 def prefixes(products: DataFrame) -> DataFrame:
-    """Edge n-grams per field for prefix lookup."""
-    longest = F.create_map(*[x for f, n in PREFIX_MAX.items() for x in (F.lit(f), F.lit(n))])
+    """Edge n-grams per product and field."""
     words = field_texts(products).select(
         "tenant", "field", "id", F.array_distinct(index_tokens(F.col("text"))).alias("words")
     )
-    long_enough = F.filter("words", lambda w: F.length(w) >= PREFIX_MIN)
     grams = F.transform(
-        long_enough,
-        lambda w: F.transform(
-            F.sequence(F.lit(PREFIX_MIN), F.least(F.length(w), longest[F.col("field")])),
-            lambda n: F.substring(w, F.lit(1), n),
-        ),
+        F.filter("words", lambda w: F.length(w) >= PREFIX_MIN), lambda w: _edge_grams(w, _longest_prefix())
     )
     # A row is one product field, so removing repeats inside it needs no shuffle.
-    return words.select("tenant", "field", "id", F.explode(F.array_distinct(F.flatten(grams))).alias("prefix"))
+    listed = words.select("tenant", "field", "id", F.explode_outer(F.array_distinct(F.flatten(grams))).alias("prefix"))
+    return listed.filter("prefix is not null")
+
+
+def prefix_suggestions(queries: DataFrame, index: TextIndex, products: DataFrame, k: int = 10) -> DataFrame:
+    """First visible products per typed prefix, best field first, then id.
+
+    Only the vocabulary is cut into prefixes; the postings of the tokens that match are then read,
+    each once per typed prefix it answers.
+    """
+    order = F.when(F.col("field") == "name", 0).when(F.col("field") == "category", 1).when(
+        F.col("field") == "soft_category", 2
+    ).otherwise(3)
+    asked = queries.select("tenant", F.lower(F.trim("query")).alias("prefix")).distinct()
+    grams = index.tokens.select("tenant", "field", "token", F.explode(_edge_grams(F.col("token"), _longest_prefix())).alias("prefix"))
+    answering = grams.join(asked, ["tenant", "prefix"], "left_semi")
+    visible = products.filter(predicates.visible(F.col("hidden"))).select("tenant", "id")
+    best = (
+        index.postings.join(answering, ["tenant", "field", "token"])
+        .groupBy("tenant", "prefix", "id")
+        .agg(F.min(order).alias("field_order"))
+        .join(visible, ["tenant", "id"])
+    )
+    w = Window.partitionBy("tenant", "prefix").orderBy("field_order", "id")
+    return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
 
 
 def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -54,7 +54,7 @@ SELECT message_id, CASE WHEN letters = 0 THEN 'no_letters' WHEN letters / length
   WHEN len(list_filter(words, lambda w: length(w) > 60)) > 0 THEN 'long_token' END AS junk FROM l""",
 )
 def message_junk(spark, sf):
-    return chat.audited(bind.messages(spark, sf)).filter("clean <> ''").select("message_id", "junk")
+    return chat.audited(bind.messages(spark, sf)).filter(text.has_content(F.col("text"))).select("message_id", "junk")
 
 
 @query("override_attempts", f"SELECT message_id, regexp_matches(clean, '{OVERRIDES}') AS override_attempt FROM clean_v")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, fusion, lexical, tiers, triggers, vector
+from vitrine.operators import catalog, fusion, lexical, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -173,9 +173,8 @@ SELECT * FROM (SELECT g.tenant, g.prefix, g.id, CAST(row_number() OVER (PARTITIO
   FROM g JOIN shown_v s ON s.id = g.id) WHERE position <= 10""",
 )
 def prefix_suggestions(spark, sf):
-    products = bind.products(spark, sf, description=True)
     typed = bind.requests(spark, sf).select("tenant", F.substring(F.trim("query"), 1, 4).alias("query"))
-    rows = triggers.prefix_suggestions(typed, lexical.prefixes(products), products)
+    rows = lexical.prefix_suggestions(typed, _index(spark, sf), bind.products(spark, sf))
     return rows.select("tenant", "prefix", "id", F.col("position").cast("long").alias("position"))
 
 

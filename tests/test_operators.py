@@ -186,3 +186,27 @@ def test_second_tier_respects_categories_and_first_tier(spark):
         F.max(F.arrays_overlap("category", "shelf").cast("int")).alias("inside")
     )
     assert outside.filter("inside = 0").isEmpty()
+
+
+def test_append_log_ignores_known_keys(spark, tmp_path):
+    from vitrine.sources.sinks import append_new
+
+    folder = str(tmp_path / "log")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    append_new(rows(("a", 1), ("a", 1), ("b", 2)), folder, ["k"])
+    append_new(rows(("b", 9), ("c", 3)), folder, ["k"])
+    assert sorted(map(tuple, spark.read.parquet(folder).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_lexical_blocks_do_not_change_the_result(spark, monkeypatch):
+    """Many small cells give the same hits as one cell per lane."""
+    from vitrine.operators import lexical
+
+    products = bind.products(spark, SF, description=True)
+    searches = fusion.distinct_searches(bind.requests(spark, SF)).withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
+    index = lexical.stored_index(products)
+    whole = fusion.text_hits(searches, products, index)
+    plain = blocks.blocked_top_k
+    monkeypatch.setattr(lexical, "blocked_top_k", lambda *a, **k: plain(*a, **{**k, "query_rows": 9, "item_rows": 11}))
+    cells = fusion.text_hits(searches, products, index)
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, whole.collect()))

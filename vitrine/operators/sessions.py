@@ -28,7 +28,7 @@ def canonical_ids(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     )
     table = checkpointed(step.select("old_session_id", "to", F.col("to").alias("lowest")))
     total, before = table.count(), -1
-    for _ in range(max_rounds):
+    for done in range(1, max_rounds + 1):
         hop = table.select(
             F.col("old_session_id").alias("to"), F.col("to").alias("next"), F.col("lowest").alias("next_lowest")
         )
@@ -42,7 +42,7 @@ def canonical_ids(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         )
         running = table.filter("not ended").count()
         # What still runs after log2(total) rounds runs in a cycle.
-        if running == 0 or (running == before and 2 ** (_ + 1) > 2 * total):
+        if running == 0 or (running == before and 2**done > 2 * total):
             break
         before = running
     # An id still moving points into a cycle: all its members see the same lowest member.

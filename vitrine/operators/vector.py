@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.operators.blocks import best_rows, blocked_top_k, ranked
 
@@ -46,7 +48,7 @@ def _planes(dim: int, bits: int, seed: int) -> np.ndarray:
 
 
 def nearest_approx(
-    queries: DataFrame, items: DataFrame, k: int = POOL, bits: int = 4, probes: int = 9, seed: int = 7
+    queries: DataFrame, items: DataFrame, k: int = POOL, bits: int = 4, probes: int = 12, seed: int = 7
 ) -> DataFrame:
     """Approximate k nearest: items hashed by the signs of random projections, queries sent to the
     buckets closest to their own signature, exact cosine inside them.
@@ -75,8 +77,14 @@ def nearest_approx(
     return ranked(found, k)
 
 
-def norm(vector: Column) -> Column:
-    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+def embedded(queries: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
+    """Vectors of the different query texts from a user-supplied batch function text -> vector."""
+
+    @F.pandas_udf("array<float>")
+    def run(texts: pd.Series) -> pd.Series:
+        return embed(texts)
+
+    return queries.select("tenant", "query").distinct().withColumn("embedding", run("query"))
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -211,6 +211,43 @@ def approximate_vectors(spark, sf):
     return _unlaned(vector.nearest_approx(queries, items))
 
 
+@query("approximate_recall")
+def approximate_recall(spark, sf):
+    """How much of the exact neighbours the approximate search finds, per query."""
+    products = _attributes(spark, sf)
+    exact = fusion.vector_hits(_searches(spark, sf), products, bind.query_vectors(spark, sf))
+    searches = _searches(spark, sf).select("lane", "tenant", "query")
+    queries = searches.join(bind.query_vectors(spark, sf), ["tenant", "query"]).select(
+        "lane", F.col("query").alias("qid"), F.col("embedding").alias("vector")
+    )
+    items = fusion.stock_lanes(products.filter("embedding is not null"), strict=True).select(
+        "lane", "id", F.col("embedding").alias("vector")
+    )
+    return vector.recall(vector.nearest_approx(queries, items), exact)
+
+
+def hashed_words(texts):
+    """A stand-in embedding service: 16 signed word-hash counts per text."""
+    import zlib
+
+    import numpy as np
+    import pandas as pd
+
+    def one(value: str):
+        out = np.zeros(16, dtype=np.float32)
+        for word in value.split():
+            h = zlib.crc32(word.encode())
+            out[h % 16] += 1.0 if h & 16 else -1.0
+        return out
+
+    return pd.Series([one(t) for t in texts])
+
+
+@query("embedded_queries")
+def embedded_queries(spark, sf):
+    return vector.embedded(bind.requests(spark, sf), hashed_words)
+
+
 @query(
     "rank_fusion",
     "SELECT tenant, in_stock, query, id, round(rrf, 9) AS rrf, text_rank, vector_rank FROM pool_v",

@@ -174,7 +174,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     source = texts(docs)
     indexed = stored(source.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, anchor), f"doc_id long, blocks array<{_BLOCK}>"))
     blocks = indexed.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
-    anchors = (
+    # looked-up tables are written first: a join of two exchanges is one whose hot keys Spark can split
+    anchors = stored(
         blocks.groupBy("anchor")
         .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("content").alias("low"), F.max("content").alias("high"))
         .where(F.col("first") < F.col("last")).select("anchor", "first", (F.col("low") != F.col("high")).alias("varied"))
@@ -182,7 +183,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     shared = stored(blocks.join(anchors, "anchor"))
     whole = shared.where(~F.col("varied") & (F.col("doc_id") > F.col("first"))).select("doc_id", "start", "n")
     varied = shared.where("varied").drop("first", "varied")
-    firsts = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"))
+    firsts = stored(varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
     known = varied.join(firsts, ["anchor", "content"])
     equal = known.where(F.col("doc_id") > F.col("first")).select("doc_id", "start", "n")
     edges = known.where(F.col("doc_id") == F.col("first")).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("blocks"))
@@ -193,7 +194,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         dealt.join(keyed(edges), "_key", "left").select("doc_id", "text", F.coalesce("blocks", F.array().cast("array<struct<anchor:long,start:int,n:int>>")).alias("blocks"))
         .mapInArrow(_windows(window), "doc_id long, anchor long, content long, start int")
     )
-    earliest = windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last"))
+    earliest = stored(windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
     single = windows.join(earliest, ["anchor", "content"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
     matched = whole.unionByName(equal).unionByName(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("matched"))
     return (

@@ -189,7 +189,7 @@ def test_unigram_score(docs):
         tokens = [*words, None]
         score = sum(np.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in tokens)
         want[(i, held(i), len(tokens), sum(count[w] > 0 for w in tokens), total, round(float(score), 5))] += 1
-    for head in (1 << 20, 7):
+    for head in (1 << 19, 7):
         found = rows_of(context_tree.score(docs, head=head).withColumn("rounded", F.round("base_score", 5)))
         assert bag(found, "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "rounded") == want
 

@@ -31,7 +31,7 @@ from vitrine.llm.wordtape import mixed, ranges, slices, tape
 
 DEPTH = 4
 CONTEXTS = 1 << 16
-HEAD = 1 << 20
+HEAD = 1 << 19
 FOLDS = 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -44,7 +44,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, *columns: np.ndarray):
         keys = keys.astype(np.uint64)
-        self.mask = np.uint64((1 << max(4, int(2 * len(keys)).bit_length())) - 1)
+        self.mask = np.uint64((1 << max(4, int(1.4 * len(keys)).bit_length())) - 1)
         self.keys = np.full(int(self.mask) + 1, _EMPTY, np.uint64)
         self.columns = [np.zeros(int(self.mask) + 1, c.dtype) for c in columns]
         left, place = np.arange(len(keys)), mixed(keys) & self.mask
@@ -153,13 +153,20 @@ def tree_counts(grams: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
     return symbols.join(kept, ["depth", "context"])
 
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log of the gamma function for x >= 0.5: Stirling's series at x + 8, and the recurrence back."""
+    y = x + 8.0
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * y * y)) / (y * y)) / (y * y)) / y
+    product = x.copy()
+    for k in range(1, 8):
+        product *= x + k
+    # the product overflows for no count that a corpus can have (10^38 and more)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(product)
 
 
 def _log_estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    lg = lambda x: _lgamma(x).astype(np.float64)
-    return lg(n0 + 0.5) + lg(n1 + 0.5) - lg(n0 + n1 + 1.0) - math.log(math.pi)
+    return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
 def _key(depth: int, context: np.ndarray, low: np.ndarray) -> np.ndarray:

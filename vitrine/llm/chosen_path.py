@@ -34,7 +34,9 @@ THRESHOLD = 0.8
 WIDTH = 64
 #: Sets of a bucket or block that are compared by brute force.
 BUCKET = 512
-DEPTH = 8
+#: Levels of a tree. Sets that share a third of their values or less have left each other by then (at most (1/3 / 0.8)^4); more levels would
+#: only copy groups of near copies, which no level can part and which are compared in blocks in the end.
+DEPTH = 4
 RECALL = 0.99
 #: Standard deviations below the threshold at which an embedding still makes a candidate.
 SLACK = 3.5
@@ -102,7 +104,8 @@ def _value(sketch: Column, position: Column | int) -> Column:
 
 def _shared(paths: DataFrame) -> DataFrame:
     """(path, node, n) of the buckets that hold several nodes."""
-    sizes = paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+    # written first: a join of two exchanges is one whose hot keys Spark can split
+    sizes = stored(paths.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"))
     return paths.join(sizes, "path")
 
 
@@ -249,9 +252,9 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), bucket: int =
         # the sampled positions depend on the tree node alone
         positions = F.array(*(F.when(F.pmod(F.xxhash64("path", F.lit(k)), F.lit(1 << 20)) < F.lit(int((1 << 20) / (bound * WIDTH))), F.lit(k)) for k in range(WIDTH)))
         large = found.where(F.col("n") > bucket).join(nodes.select("node", "sketch"), "node")
-        level = large.select("node", "sketch", "path", F.explode(F.filter(positions, lambda k: k.isNotNull())).alias("k")).select(
+        level = stored(large.select("node", "sketch", "path", F.explode(F.filter(positions, lambda k: k.isNotNull())).alias("k")).select(
             "node", F.xxhash64("path", "k", _value(F.col("sketch"), F.col("k"))).alias("path")
-        )
+        ))
     rest = leaves[0]
     for leaf in leaves[1:]:
         rest = rest.unionByName(leaf)

@@ -6,11 +6,11 @@ A node's weighted probability is the mean of its own estimate and of its childre
 probability that follows mixes the estimates of all depths. code_bits_per_byte is the code length per byte.
 
 Learning counts all (DEPTH + 1)-grams and all words of the training texts with Spark. The tree is bounded, not the data:
-it has the `CONTEXTS` most frequent contexts of all depths (more exactly, those above the largest count that would exceed it), and at each of
+it has the most frequent contexts of all depths, at most `CONTEXTS`, and at each of
 its nodes one leaf for all other continuations, with their exact remaining counts. So the weights and estimates are those of a complete
 tree source, whatever the corpus. The tree is built in arrays from these bounded counts and sent to the workers.
 
-The unigram score needs the count of every word. The `HEAD` most frequent words are sent to the workers, a bounded table;
+The unigram score needs the count of every word. The most frequent words, at most `HEAD`, are sent to the workers, a bounded table;
 words outside it are joined with their counts by Spark. Words are told apart by 64-bit hashes.
 
 Null text: no words, only the end. Null id: hashed as the empty text, so held out. Without training texts all counts are zero and
@@ -134,9 +134,19 @@ def counts(training: DataFrame) -> DataFrame:
 
 
 def _above(rows: DataFrame, most: int) -> int:
-    """The least count that at most `most` rows reach."""
-    over = rows.select("n").orderBy(F.desc("n")).offset(most).limit(1).collect()
-    return over[0][0] + 1 if over else 1
+    """A count that at most `most` rows reach: the lowest step of a logarithmic scale of counts that fits.
+
+    Only the scale's steps, a few hundred, come to the driver.
+    """
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16).alias("step")
+    steps = rows.groupBy(step).agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("top")).collect()
+    reached, least = 0, max((s["top"] for s in steps), default=0) + 1
+    for s in sorted(steps, key=lambda s: -s["step"]):
+        reached += s["rows"]
+        if reached > most:
+            break
+        least = s["least"]
+    return least
 
 
 def tree_counts(grams: DataFrame, contexts: int = CONTEXTS) -> DataFrame:

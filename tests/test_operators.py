@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from vitrine.operators import attribution, blocks, fusion, quota, running, sessions, tiers, triggers, vector
+from vitrine.operators import attribution, blocks, experiments, fusion, quota, running, sessions, tiers, triggers, vector
 from vitrine.plans import search
 from vitrine.sources import bind
 from vitrine.streaming import jobs
@@ -210,3 +210,22 @@ def test_lexical_blocks_do_not_change_the_result(spark, monkeypatch):
     monkeypatch.setattr(lexical, "blocked_top_k", lambda *a, **k: plain(*a, **{**k, "query_rows": 9, "item_rows": 11}))
     cells = fusion.text_hits(searches, products, index)
     assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_association_limit_beyond_nine(spark):
+    products = spark.createDataFrame(
+        [("t", f"p{k:02d}", float(k), False, ["wine"], ["red"]) for k in range(40)],
+        "tenant string, id string, boost double, hidden boolean, category array<string>, soft_category array<string>",
+    )
+    asked = spark.createDataFrame([("t", "q", ["wine"], None, 20), ("t", "r", ["wine"], ["red"], 3)], "tenant string, query string, categories array<string>, soft_categories array<string>, limit int")
+    pins = [r.asDict() for r in experiments.association_pins(asked, products).collect()]
+    assert sorted(p["id"] for p in pins if p["query"] == "q") == [f"p{k}" for k in range(20, 40)]
+    assert sorted(p["id"] for p in pins if p["query"] == "r") == ["p37", "p38", "p39"]
+
+
+def test_as_of_long_ids(spark):
+    rows = [("k", 1, "x" * 45 + "a", "one"), ("k", 1, "x" * 45 + "b", "two")]
+    for order in (rows, rows[::-1]):
+        left = spark.createDataFrame([("k", 2)], "key string, at int").selectExpr("key", "timestamp_seconds(at) as at")
+        right = spark.createDataFrame(order, "key string, t int, id string, v string").selectExpr("key", "timestamp_seconds(t) as t", "id", "v")
+        assert running.as_of(left, right, ["key"], "at", "t", "id", ["v"]).first().v == "two"

@@ -162,12 +162,11 @@ def boosted(rows: DataFrame, boosts: DataFrame, soft_boosts: DataFrame, multipli
     )
 
 
-def association_pins(associations: DataFrame, products: DataFrame, most: int) -> DataFrame:
+def association_pins(associations: DataFrame, products: DataFrame) -> DataFrame:
     """Products of associated categories per query, highest boost first.
 
-    ``associations(tenant, query, categories, soft_categories, limit)``; ``most`` is the largest
-    limit. Every taxonomy value keeps its best ``most`` products first, which is enough for the
-    best of any union of values.
+    ``associations(tenant, query, categories, soft_categories, limit)``. Every taxonomy value keeps as
+    many of its best products as the largest limit that asks for it, which is enough for the best of any union of values.
     """
     visible = products.filter(predicates.visible(F.col("hidden")))
     values = visible.select(
@@ -179,8 +178,6 @@ def association_pins(associations: DataFrame, products: DataFrame, most: int) ->
             )
         ).alias("t"),
     ).select("tenant", "id", "boost", "t.*")
-    shelf = Window.partitionBy("tenant", "kind", "value").orderBy(F.desc_nulls_last("boost"), "id")
-    best = values.withColumn("n", F.row_number().over(shelf)).filter(F.col("n") <= most).drop("n")
     none = F.array().cast("array<string>")
     wanted = associations.withColumn(
         "limit", F.when(F.coalesce("limit", F.lit(0)) == 0, DEFAULT_ASSOCIATION_LIMIT).otherwise(F.col("limit"))
@@ -193,6 +190,9 @@ def association_pins(associations: DataFrame, products: DataFrame, most: int) ->
             )
         ).alias("t"),
     ).select("tenant", "query", "limit", "t.*")
+    most = wanted.groupBy("tenant", "kind", "value").agg(F.max("limit").alias("most"))
+    shelf = Window.partitionBy("tenant", "kind", "value").orderBy(F.desc_nulls_last("boost"), "id")
+    best = values.join(most, ["tenant", "kind", "value"]).withColumn("n", F.row_number().over(shelf)).filter(F.col("n") <= F.col("most")).drop("n", "most")
     found = wanted.join(best, ["tenant", "kind", "value"]).select("tenant", "query", "limit", "id", "boost").distinct()
     w = Window.partitionBy("tenant", "query").orderBy(F.desc_nulls_last("boost"), "id")
     return found.withColumn("pin_position", F.row_number().over(w)).filter(F.col("pin_position") <= F.col("limit")).drop("limit")

@@ -80,11 +80,11 @@ def as_of(
     """
     payload = F.struct(*values, F.col(right_ts).alias(f"matched_{right_ts}"))
     side_l = left.select(
-        *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast("string").alias("_id"),
+        *keys, F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[right_id].dataType).alias("_id"),
         F.struct(*left.columns).alias("_row"), F.lit(None).alias("_payload"),
     )
     side_r = right.select(
-        *keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.lpad(F.col(right_id).cast("string"), 40, "0").alias("_id"),
+        *keys, F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"), F.col(right_id).alias("_id"),
         F.lit(None).alias("_row"), payload.alias("_payload"),
     )
     row_type, payload_type = side_l.schema["_row"].dataType, side_r.schema["_payload"].dataType

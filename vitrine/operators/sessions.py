@@ -16,7 +16,7 @@ def alias_edges(raw: DataFrame) -> DataFrame:
     )
 
 
-def canonical_ids(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def canonical_ids(edges: DataFrame) -> DataFrame:
     """(old_session_id, session_id): the end of each rewrite chain.
 
     Each old id follows its newest rewrite. Pointers double every round, so a chain of n rewrites
@@ -27,8 +27,9 @@ def canonical_ids(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         F.max_by("new_session_id", F.struct("first_ts", "new_session_id")).alias("to")
     )
     table = checkpointed(step.select("old_session_id", "to", F.col("to").alias("lowest")))
-    total, before = table.count(), -1
-    for done in range(1, max_rounds + 1):
+    total, before, done = table.count(), -1, 0
+    while True:
+        done += 1
         hop = table.select(
             F.col("old_session_id").alias("to"), F.col("to").alias("next"), F.col("lowest").alias("next_lowest")
         )

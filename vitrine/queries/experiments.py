@@ -188,7 +188,7 @@ def association_pins(spark, sf):
         F.col("patch.categoryAssociation.softCategories").alias("soft_categories"),
         F.col("patch.categoryAssociation.limit").alias("limit"),
     ).distinct()
-    pins = experiments.association_pins(patched, bind.products(spark, sf), most=9)
+    pins = experiments.association_pins(patched, bind.products(spark, sf))
     part = lambda n: F.split_part("query", F.lit("\u0001"), F.lit(n))
     return pins.select("tenant", part(2).alias("query"), part(1).alias("rule_id"), "id", "pin_position")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -34,11 +35,14 @@ def pin_utc(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests on one
-    machine) is a temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset on one machine, as in
+    tests, is a temporary folder used; elsewhere its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         folder = getattr(spark, "_vitrine_folder", None)
         if folder is None:
             folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")

@@ -7,47 +7,45 @@ matched to openings and numbered in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from vitrine.operators.running import as_of
+from vitrine.operators.running import as_of, with_running
 from vitrine.session import checkpointed
 
 # --- Fixed values -------------------------------------------------------------------------------
 SHOPPER_LIMIT, SHOPPER_SECONDS = 40, 3600
 STORE_LIMIT, STORE_SECONDS = 600, 600
 # -------------------------------------------------------------------------------------------------
-FOLD_ROWS = 1_000_000
 
 
-def _folded_openings(times: DataFrame, window_us: int) -> DataFrame:
-    """Openings of keys with a bounded number of hit times: one ordered fold per key."""
-    per_key = times.groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("times"))
-    empty = F.array().cast("array<bigint>")
-    openings = F.aggregate(
-        "times",
-        F.struct(F.lit(None).cast("bigint").alias("open"), empty.alias("all")),
-        lambda acc, t: F.when(
-            acc["open"].isNull() | (t >= acc["open"] + window_us),
-            F.struct(t.alias("open"), F.concat(acc["all"], F.array(t)).alias("all")),
-        ).otherwise(acc),
-        lambda acc: acc["all"],
-    )
-    return per_key.select("key", F.explode(openings).alias("opened"))
-
-
-def _doubled_openings(times: DataFrame, window_us: int) -> DataFrame:
-    """Openings of very busy keys: the chain of openings is marked by pointer doubling.
+def openings(hits: DataFrame, window_seconds: int) -> DataFrame:
+    """(key, opened) in epoch microseconds for ``hits(key, at)``.
 
-    Each hit time points to the first one a window later; n windows take log2(n) joins, all of them
-    spread over (key, time).
+    A hit with no other hit of its key less than a window before it always opens a window, so a key's
+    times fall into runs that do not depend on each other. Inside a run each time points to the first
+    one a window later, and the chain of openings is marked by pointer doubling: the longest run of n
+    windows takes log2(n) joins on (key, time), whatever the number of hits of a key.
     """
-    ahead = lambda name, shift: times.select("key", (-(F.col("at") + shift)).alias(name), F.col("at").alias(f"{name}_at"))
-    pointers = as_of(
-        ahead("until", window_us), ahead("from", 0), ["key"], "until", "from", "from_at", ["from_at"],
-        chunk=lambda t: F.floor(t / (4 * window_us)),
+    window_us = window_seconds * 1_000_000
+    chunk = lambda t: F.floor(t / (4 * window_us))
+    times = checkpointed(hits.select("key", "at").distinct())
+    earlier = as_of(
+        times.withColumn("just_before", F.col("at") - 1), times.select("key", F.col("at").alias("last_at")),
+        ["key"], "just_before", "last_at", "last_at", ["last_at"], chunk=chunk,
+    )
+    opens_run = F.col("last_at").isNull() | (F.col("at") - F.col("last_at") >= window_us)
+    # As-of looks back, so the next hit a window later is looked for on the negated time line.
+    mirrored = earlier.select("key", "at", opens_run.alias("opens_run"), (-F.col("at")).alias("from"))
+    pointers = checkpointed(
+        as_of(
+            mirrored.withColumn("until", F.col("from") - window_us),
+            mirrored.select("key", "from", F.col("at").alias("to"), F.col("opens_run").alias("to_opens_run")),
+            ["key"], "until", "from", "from", ["to", "to_opens_run"], chunk=chunk,
+        ).select("key", "at", "opens_run", "to", "to_opens_run")
     )
-    jump = checkpointed(pointers.select("key", F.col("until_at").alias("at"), F.col("from_at").alias("to")).filter("to is not null"))
-    marked = checkpointed(times.groupBy("key").agg(F.min("at").alias("at")))
+    marked = pointers.filter("opens_run").select("key", "at")
+    # Pointers into the start of a run lead to what is marked already.
+    jump = pointers.filter("to is not null and not to_opens_run").select("key", "at", "to")
     while not jump.isEmpty():
         reached = marked.join(jump, ["key", "at"]).select("key", F.col("to").alias("at"))
         marked = checkpointed(marked.unionByName(reached).distinct())
@@ -56,48 +54,38 @@ def _doubled_openings(times: DataFrame, window_us: int) -> DataFrame:
     return marked.select("key", F.col("at").alias("opened"))
 
 
-def openings(hits: DataFrame, window_seconds: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
-    """(key, opened) in epoch microseconds for ``hits(key, at)``."""
-    window_us = window_seconds * 1_000_000
-    times = hits.select("key", "at").distinct()
-    sizes = times.groupBy("key").agg(F.count("*").alias("n"))
-    busy = sizes.filter(F.col("n") > fold_rows).select("key")
-    usual = _folded_openings(times.join(busy, "key", "left_anti"), window_us)
-    if busy.isEmpty():
-        return usual
-    return usual.unionByName(_doubled_openings(times.join(busy, "key", "left_semi"), window_us))
-
-
-def consumed(hits: DataFrame, limit: int, window_seconds: int, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def consumed(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
     """Each hit with its number in its window and whether it was allowed.
 
-    ``hits(key, ts, hit_id)``; every hit counts, denied ones too.
+    ``hits(key, ts, hit_id)``; every hit counts, denied ones too. Hits are numbered inside chunks of
+    a 64th of a window, so the window of a busy store is no single task.
     """
+    window_us = window_seconds * 1_000_000
     timed = hits.withColumn("at", F.unix_micros("ts"))
-    opened = openings(timed, window_seconds, fold_rows)
+    opened = openings(timed, window_seconds)
     placed = as_of(
-        timed, opened, ["key"], "at", "opened", "opened", ["opened"],
-        chunk=lambda t: F.floor(t / (4 * window_seconds * 1_000_000)),
+        timed, opened, ["key"], "at", "opened", "opened", ["opened"], chunk=lambda t: F.floor(t / (4 * window_us)),
     ).drop("matched_opened")
-    w = Window.partitionBy("key", "opened").orderBy("at", "hit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    part = F.floor((F.col("at") - F.col("opened")) * 64 / window_us)
+    numbered = with_running(placed, ["key", "opened"], part, ["at", "hit_id"], sums={"count": F.lit(1)})
     return (
-        placed.withColumn("count", F.count("*").over(w))
+        numbered.withColumn("count", F.col("count").cast("long"))
         .withColumn("allowed", F.col("count") <= limit)
         .drop("at")
     )
 
 
-def both_quotas(hits: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+def both_quotas(hits: DataFrame) -> DataFrame:
     """Shopper and store quota of each hit (both always consumed) and the scope of a denial.
 
     ``hits(hit_id, tenant, session_id, ts)``.
     """
     shopper = consumed(
         hits.select(F.concat_ws(":", "tenant", "session_id").alias("key"), "ts", "hit_id"),
-        SHOPPER_LIMIT, SHOPPER_SECONDS, fold_rows,
+        SHOPPER_LIMIT, SHOPPER_SECONDS,
     ).select("hit_id", F.col("count").alias("shopper_count"))
     store = consumed(
-        hits.select(F.col("tenant").alias("key"), "ts", "hit_id"), STORE_LIMIT, STORE_SECONDS, fold_rows
+        hits.select(F.col("tenant").alias("key"), "ts", "hit_id"), STORE_LIMIT, STORE_SECONDS
     ).select("hit_id", F.col("count").alias("store_count"))
     scope = F.when(F.col("shopper_count") > SHOPPER_LIMIT, "shopper").when(F.col("store_count") > STORE_LIMIT, "store")
     wait = F.when(F.col("scope") == "shopper", SHOPPER_SECONDS).when(F.col("scope") == "store", STORE_SECONDS)

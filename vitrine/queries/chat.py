@@ -244,10 +244,10 @@ def daily_quota(spark, sf):
     quota_twin("SELECT 's' || (user_id % 3) AS key, event_id AS hit_id, epoch_us(ts) AS hit_at FROM events_v", 600, 600),
 )
 def store_quota(spark, sf):
-    """Three very busy keys: the pointer-doubling path for keys beyond the fold size."""
+    """Three very busy keys."""
     tenant = F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string"))
     hits = bind.events(spark, sf).select(tenant.alias("key"), F.col("event_id").alias("hit_id"), "ts")
-    rows = quota.consumed(hits, quota.STORE_LIMIT, quota.STORE_SECONDS, fold_rows=1000)
+    rows = quota.consumed(hits, quota.STORE_LIMIT, quota.STORE_SECONDS)
     return rows.select("key", "hit_id", "opened", "count", "allowed")
 
 

@@ -6,12 +6,16 @@ caller. ``to_table`` writes to the shared folder, idempotently per batch.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from vitrine.functions import matching
 from vitrine.operators import chat, experiments
 from vitrine.session import run_folder
 
+BUCKETS = 64
 # The state store that keeps state on disk; custom state needs it.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -22,7 +26,22 @@ def read_table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+@contextmanager
+def _setting(spark, name: str, value: str | None):
+    """A session setting for as long as it takes to start a stream, which keeps its own copy."""
+    before = spark.conf.get(name, None)
+    if value is not None:
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        if value is not None:
+            spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def to_table(
+    stream: DataFrame, name: str, mode: str = "append", folder: str | None = None, state_store: str | None = None
+) -> DataFrame:
     """Drain a stream into a parquet folder and return it as a table with its batch number.
 
     A batch overwrites only its own sub-folder, so a replayed batch leaves no double rows.
@@ -34,13 +53,14 @@ def to_table(stream: DataFrame, name: str, mode: str = "append", folder: str | N
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/data/batch_number={number}")
 
-    query = (
+    writer = (
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .foreachBatch(write)
-        .start()
     )
+    with _setting(spark, "spark.sql.streaming.stateStore.providerClass", state_store):
+        query = writer.start()
     query.awaitTermination()
     wide = T.StructType([*schema.fields, T.StructField("batch_number", T.IntegerType())])
     return spark.read.schema(wide).parquet(f"{folder}/data")
@@ -97,7 +117,7 @@ def matched_triggers(triggers: DataFrame, turns: DataFrame, minutes: int = 30, d
     ).select("t.conversation_id", "t.turn", "t.ts", "p.parked_at", "p.trigger_reason")
 
 
-def enriched_orders(orders: DataFrame, clicks: DataFrame, days: int = 30) -> DataFrame:
+def enriched_orders(orders: DataFrame, clicks: DataFrame, days: int) -> DataFrame:
     """Orders joined to clicks of the same session and product in the days before."""
     left = orders.withWatermark("created_at", "1 day").alias("o")
     right = clicks.withWatermark("clicked_at", "1 day").alias("c")
@@ -135,30 +155,48 @@ def first_exposures(requests: DataFrame, definitions: DataFrame, bounds: DataFra
     )
 
 
-def upserted_conversations(writes: DataFrame, folder: str) -> DataFrame:
+def _newest(table: DataFrame) -> DataFrame:
+    """The rows of the newest version of every bucket; only partition columns are read to find them."""
+    newest = table.groupBy("bucket").agg(F.max("version").alias("version")).collect()  # at most BUCKETS rows
+    return table.filter(
+        F.concat_ws("/", "bucket", "version").isin([f"{r['bucket']}/{r['version']}" for r in newest])
+    )
+
+
+def upserted_conversations(writes: DataFrame, folder: str, buckets: int = BUCKETS) -> DataFrame:
     """Drain conversation writes into a table holding one row per conversation.
 
-    Plain parquet has no merge: each batch combines the last version with its new rows and writes
-    version ``number + 1``; a replayed batch starts from the same version again.
+    Plain parquet has no merge: the table is cut into buckets by conversation, and a batch combines
+    the newest version of the buckets it touches with its new rows and writes their version
+    ``number + 1``. A replayed batch starts from what was there before it and overwrites only its own
+    version. A restart with nothing new returns the table as it is. ``buckets`` belongs to the table
+    and must stay the same for a folder.
     """
     spark = writes.sparkSession
+    data = f"{folder}/data"
+    row = chat.latest_conversations(spark.createDataFrame([], writes.schema)).schema
+    stored = T.StructType([*row.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
 
     def merge(batch: DataFrame, number: int) -> None:
-        fresh = chat.latest_conversations(batch)
+        fresh = chat.latest_conversations(batch).withColumn("bucket", F.pmod(F.hash("conversation_id"), F.lit(buckets)))
         if number > 0:
-            old = spark.read.parquet(f"{folder}/version={number}")
-            both = old.unionByName(fresh)
-            fields = [c for c in fresh.columns if c not in ("conversation_id", "created_at", "updated_at")]
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS rows
+            before = spark.read.schema(stored).parquet(data).filter(F.col("bucket").isin(touched) & (F.col("version") <= number))
+            fields = [c for c in row.names if c not in ("conversation_id", "created_at", "updated_at")]
             fresh = (
-                both.groupBy("conversation_id")
+                _newest(before).drop("version").unionByName(fresh)
+                .groupBy("bucket", "conversation_id")
                 .agg(
                     F.min("created_at").alias("created_at"),
                     F.max("updated_at").alias("updated_at"),
                     F.max_by(F.struct(*fields), F.struct("updated_at", "turns")).alias("last"),
                 )
-                .select("conversation_id", "created_at", "updated_at", "last.*")
+                .select("conversation_id", "created_at", "updated_at", "last.*", "bucket")
             )
-        fresh.write.mode("overwrite").parquet(f"{folder}/version={number + 1}")
+        (
+            fresh.withColumn("version", F.lit(number + 1).cast("long"))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "version").parquet(data)
+        )
 
     query = (
         writes.writeStream.option("checkpointLocation", f"{folder}/checkpoint")
@@ -167,26 +205,33 @@ def upserted_conversations(writes: DataFrame, folder: str) -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    last = max(batch["batchId"] for batch in query.recentProgress)
-    return spark.read.parquet(f"{folder}/version={last + 1}")
+    try:
+        table = spark.read.schema(stored).parquet(data)
+    except AnalysisException as error:  # the source has never had a row
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], row)
+    return _newest(table).select(*row.names)
 
 
-def consumed_quota(hits: DataFrame, limit: int, window_seconds: int) -> DataFrame:
-    """Quota per key with state (window opening, count); hits count in arrival order.
+def consumed_quota(hits: DataFrame, limit: int, window_seconds: int, delay: str = "1 day") -> DataFrame:
+    """Quota per key with state (window opening, count) that ends with its window.
 
-    ``hits(key, ts, hit_id)``. The state is two numbers per key and expires with its window.
+    ``hits(key, ts, hit_id)``. Hits of one micro-batch count in time order, micro-batches in the order
+    of their arrival; hits later than the delay are dropped, as in every stream with a watermark. To
+    be started with ``state_store=ROCKSDB``.
     """
     from vitrine.streaming.quota_state import QuotaProcessor
 
-    hits.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     schema = "key string, hit_id long, opened long, count long, allowed boolean"
     return (
-        hits.select("key", "hit_id", F.unix_micros("ts").alias("at"))
+        hits.withWatermark("ts", delay)
+        .select("key", F.col("hit_id").cast("long").alias("hit_id"), F.unix_micros("ts").alias("at"), "ts")
         .groupBy("key")
         .transformWithStateInPandas(
             statefulProcessor=QuotaProcessor(limit, window_seconds),
             outputStructType=schema,
             outputMode="append",
-            timeMode="None",
+            timeMode="EventTime",
         )
     )

@@ -178,22 +178,20 @@ def reranked(results: DataFrame, external: DataFrame, keys: list[str]) -> DataFr
 def pinned_first(results: DataFrame, pins: DataFrame) -> DataFrame:
     """Pinned products ahead of the ranked ones for the verbatim query, no product twice.
 
-    ``results(tenant, query, id, rank)``, ``pins(tenant, query, id, pin_position)``.
+    ``results(tenant, in_stock, query, id, rank)``, ``pins(tenant, query, id, pin_position)``; pins hold
+    for searches with and without the stock switch.
     """
-    asked = results.select("tenant", "query").distinct()
+    search = ["tenant", "in_stock", "query"]
+    asked = results.select(*search).distinct()
     merged = (
-        results.select("tenant", "query", "id", "rank", F.lit(None).cast("int").alias("pin_position"))
+        results.select(*search, "id", "rank", F.lit(None).cast("int").alias("pin_position"))
         .unionByName(
-            pins.join(asked, ["tenant", "query"], "left_semi").select(
-                "tenant", "query", "id", F.lit(None).cast("int").alias("rank"), "pin_position"
-            )
+            pins.join(asked, ["tenant", "query"]).select(*search, "id", F.lit(None).cast("int").alias("rank"), "pin_position")
         )
-        .groupBy("tenant", "query", "id")
+        .groupBy(*search, "id")
         .agg(F.min("rank").alias("rank"), F.min("pin_position").alias("pin_position"))
     )
-    w = Window.partitionBy("tenant", "query").orderBy(
-        F.asc_nulls_last("pin_position"), F.asc_nulls_last("rank"), "id"
-    )
+    w = Window.partitionBy(*search).orderBy(F.asc_nulls_last("pin_position"), F.asc_nulls_last("rank"), "id")
     return merged.withColumn("position", F.row_number().over(w))
 
 

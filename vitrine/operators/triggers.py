@@ -113,10 +113,11 @@ def grounding(triggers: DataFrame, products: DataFrame) -> DataFrame:
     )
 
 
-def longest_category(queries: DataFrame, products: DataFrame, max_words: int = 4) -> DataFrame:
+def longest_category(queries: DataFrame, products: DataFrame) -> DataFrame:
     """The longest catalog category or tag phrase found in each different query text.
 
-    ``queries(tenant, query)``. Word n-grams meet the vocabulary by equality.
+    ``queries(tenant, query)``. Word n-grams, as long as the store's longest phrase, meet the
+    vocabulary by equality.
     """
     vocabulary = (
         products.select("tenant", F.explode(F.concat("category", "soft_category")).alias("value"))
@@ -125,11 +126,15 @@ def longest_category(queries: DataFrame, products: DataFrame, max_words: int = 4
         .groupBy("tenant", "phrase")
         .agg(F.min("value").alias("category"))
     )
+    longest = vocabulary.groupBy("tenant").agg(F.max(F.size(F.split("phrase", " "))).alias("most_words"))
     words = text.index_tokens(F.col("query"))
-    asked = queries.select("tenant", "query").distinct().withColumn("words", words).filter(F.size("words") > 0)
+    asked = (
+        queries.select("tenant", "query").distinct().withColumn("words", words).filter(F.size("words") > 0)
+        .join(longest, "tenant")
+    )
     grams = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.least(F.size("words"), F.lit(max_words))),
+            F.sequence(F.lit(1), F.least(F.size("words"), F.col("most_words"))),
             lambda n: F.transform(
                 F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.array_join(F.slice("words", i, n), " ")
             ),

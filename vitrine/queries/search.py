@@ -83,30 +83,30 @@ SELECT *, CASE WHEN n = '' OR q = '' THEN 0 WHEN n = q THEN 100000 WHEN c <> ''
   WHEN length(q) >= 3 AND length(n) >= 3 AND len(list_filter(nw, lambda x: length(x) >= 3 AND (greatest(length(q), length(x)) - levenshtein(q, x)) / greatest(length(q), length(x)) >= 0.75)) > 0 THEN 12000
   ELSE 0 END AS bonus
 FROM (SELECT *, left(n, 30) AS n30, string_split(n, ' ') AS nw, len(list_filter(w, lambda x: length(x) > 2 AND contains(n, x))) AS hits
-  FROM (SELECT p.tenant, p.query, p.id, p.rrf, p.text_rank, p.vector_rank, lower(trim(c.name)) AS n, lower(p.query) AS q, string_split(lower(p.query), ' ') AS w,
+  FROM (SELECT p.tenant, p.in_stock, p.query, p.id, p.rrf, p.text_rank, p.vector_rank, lower(trim(c.name)) AS n, lower(p.query) AS q, string_split(lower(p.query), ' ') AS w,
     array_to_string(list_filter(string_split(lower(p.query), ' '), lambda x: x <> 'brand' AND x <> ''), ' ') AS c, c.type, c.soft_category
-  FROM pool_v p JOIN products_v c ON c.id = p.id WHERE p.in_stock))""",
+  FROM pool_v p JOIN products_v c ON c.id = p.id))""",
         "tiered_v": """
-SELECT *, row_number() OVER (PARTITION BY tenant, query ORDER BY CASE WHEN simple THEN bonus END DESC NULLS LAST,
+SELECT *, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY CASE WHEN simple THEN bonus END DESC NULLS LAST,
   CASE WHEN simple THEN least(soft_hits, 2) END DESC NULLS LAST, rrf DESC, text_rank NULLS LAST, vector_rank NULLS LAST) - 1 AS rank
 FROM (SELECT *, len(w) BETWEEN 1 AND 3 AS simple, len(list_filter(soft_category, lambda s: list_contains(w, lower(s)))) AS soft_hits FROM bonus_v)""",
         "seeds_v": """
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, query ORDER BY bonus DESC, rank) AS seed FROM tiered_v WHERE bonus >= 50000) WHERE seed <= 3""",
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY bonus DESC, rank) AS seed FROM tiered_v WHERE bonus >= 50000) WHERE seed <= 3""",
         "similar_v": """
 SELECT tenant, seed_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY tenant, seed_id ORDER BY score DESC, id) AS n FROM (
   SELECT s.tenant, s.id AS seed_id, p.id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
   FROM (SELECT DISTINCT tenant, id FROM seeds_v) s JOIN products_v a ON a.id = s.id AND a.embedding IS NOT NULL
   JOIN products_v p ON p.tenant = a.tenant AND p.type = a.type AND p.id <> a.id AND p.embedding IS NOT NULL AND p.canonical = 'instock')) WHERE n <= 20""",
         "second_v": """
-SELECT tenant, query, id, boost, rrf, bonus, soft_hits,
-  row_number() OVER (PARTITION BY tenant, query ORDER BY boost DESC, coalesce(rrf, 0) DESC, coalesce(bonus, 0) DESC, coalesce(soft_hits, 0) DESC, id) - 1 AS rank
-FROM (SELECT tenant, query, id, CASE WHEN count(DISTINCT source) = 2 THEN 5000 WHEN min(source) = 'product_similarity' THEN 2500 ELSE 0 END AS boost FROM (
-    SELECT t.tenant, t.query, t.id, 'soft_category' AS source FROM tiered_v t WHERE
-      EXISTS (SELECT 1 FROM seeds_v s WHERE s.tenant = t.tenant AND s.query = t.query AND s.type = t.type)
-      AND EXISTS (SELECT 1 FROM tiered_v b WHERE b.tenant = t.tenant AND b.query = t.query AND b.rank < 4 AND list_has_any(b.soft_category, t.soft_category))
-    UNION ALL SELECT s.tenant, s.query, m.id, 'product_similarity' FROM seeds_v s JOIN similar_v m ON m.tenant = s.tenant AND m.seed_id = s.id)
-  GROUP BY tenant, query, id) u
-LEFT JOIN tiered_v t USING (tenant, query, id) WHERE t.rank IS NULL OR t.rank >= 25""",
+SELECT tenant, in_stock, query, id, boost, rrf, bonus, soft_hits,
+  row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY boost DESC, coalesce(rrf, 0) DESC, coalesce(bonus, 0) DESC, coalesce(soft_hits, 0) DESC, id) - 1 AS rank
+FROM (SELECT tenant, in_stock, query, id, CASE WHEN count(DISTINCT source) = 2 THEN 5000 WHEN min(source) = 'product_similarity' THEN 2500 ELSE 0 END AS boost FROM (
+    SELECT t.tenant, t.in_stock, t.query, t.id, 'soft_category' AS source FROM tiered_v t WHERE
+      EXISTS (SELECT 1 FROM seeds_v s WHERE s.tenant = t.tenant AND s.query = t.query AND s.in_stock = t.in_stock AND s.type = t.type)
+      AND EXISTS (SELECT 1 FROM tiered_v b WHERE b.tenant = t.tenant AND b.query = t.query AND b.in_stock = t.in_stock AND b.rank < 4 AND list_has_any(b.soft_category, t.soft_category))
+    UNION ALL SELECT s.tenant, s.in_stock, s.query, m.id, 'product_similarity' FROM seeds_v s JOIN similar_v m ON m.tenant = s.tenant AND m.seed_id = s.id)
+  GROUP BY tenant, in_stock, query, id) u
+LEFT JOIN tiered_v t USING (tenant, in_stock, query, id) WHERE t.rank IS NULL OR t.rank >= 25""",
     }
 )
 
@@ -332,46 +332,47 @@ def product_alternatives(spark, sf):
     return catalog.alternatives(products, products, _index(spark, sf))
 
 
-def _stocked_requests(spark, sf):
-    """Requests that want products in stock, the storefront's default."""
-    return bind.requests(spark, sf).filter(F.coalesce("in_stock", F.lit(True)))
-
-
 def _ranked(spark, sf):
     return search.ranked_pool(
-        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+    )
+
+
+def _asked(df, *columns):
+    """The tenant, stock switch and query of each row, and the columns named."""
+    parts = F.split("lane", r"\|")
+    return df.select(
+        parts[0].alias("tenant"), (parts[1] == "instock").alias("in_stock"), F.col("qid").alias("query"), *columns
     )
 
 
-@query("name_match_bonus", "SELECT tenant, query, id, CAST(bonus AS BIGINT) AS bonus FROM bonus_v")
+@query("name_match_bonus", "SELECT tenant, in_stock, query, id, CAST(bonus AS BIGINT) AS bonus FROM bonus_v")
 def name_match_bonus(spark, sf):
-    return _ranked(spark, sf).select("tenant", F.col("qid").alias("query"), "id", "bonus")
+    return _asked(_ranked(spark, sf), "id", "bonus")
 
 
 @query(
     "tiered_search",
-    "SELECT tenant, query, id, rank, CAST(bonus AS BIGINT) AS bonus, soft_hits, CASE WHEN simple THEN bonus >= 20000 END AS high_text_match FROM tiered_v WHERE rank < 25",
+    "SELECT tenant, in_stock, query, id, rank, CAST(bonus AS BIGINT) AS bonus, soft_hits, CASE WHEN simple THEN bonus >= 20000 END AS high_text_match FROM tiered_v WHERE rank < 25",
 )
 def tiered_search(spark, sf):
-    return _ranked(spark, sf).filter("rank < 25").select(
-        "tenant", F.col("qid").alias("query"), "id", "rank", "bonus", "soft_hits", "high_text_match"
-    )
+    return _asked(_ranked(spark, sf).filter("rank < 25"), "id", "rank", "bonus", "soft_hits", "high_text_match")
 
 
 @query(
     "tier_counts",
-    """SELECT tenant, query, high_text_matches, other_results, high_text_matches || ' high text matches, ' || other_results || ' related results' AS description
-FROM (SELECT tenant, query, count(*) FILTER (WHERE bonus >= 20000) AS high_text_matches, count(*) FILTER (WHERE bonus < 20000) AS other_results
-  FROM tiered_v WHERE rank < 25 AND simple GROUP BY tenant, query)""",
+    """SELECT tenant, in_stock, query, high_text_matches, other_results, high_text_matches || ' high text matches, ' || other_results || ' related results' AS description
+FROM (SELECT tenant, in_stock, query, count(*) FILTER (WHERE bonus >= 20000) AS high_text_matches, count(*) FILTER (WHERE bonus < 20000) AS other_results
+  FROM tiered_v WHERE rank < 25 AND simple GROUP BY tenant, in_stock, query)""",
 )
 def tier_counts(spark, sf):
     counts = tiers.tier_counts(_ranked(spark, sf).filter("rank < 25"))
-    return counts.withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1))).withColumnRenamed("qid", "query").drop("lane")
+    return _asked(counts, "high_text_matches", "other_results", "description")
 
 
-@query("seed_products", "SELECT tenant, query, id, CAST(seed AS INTEGER) AS seed FROM seeds_v")
+@query("seed_products", "SELECT tenant, in_stock, query, id, CAST(seed AS INTEGER) AS seed FROM seeds_v")
 def seed_products(spark, sf):
-    return tiers.seeds(_ranked(spark, sf)).select("tenant", F.col("qid").alias("query"), "id", "seed")
+    return _asked(tiers.seeds(_ranked(spark, sf)), "id", "seed")
 
 
 @query("seed_neighbours", "SELECT * FROM similar_v")
@@ -381,72 +382,69 @@ def seed_neighbours(spark, sf):
 
 @query(
     "top_soft_categories",
-    """SELECT tenant, query, array_to_string(list_sort(list(DISTINCT s)), '|') AS wanted_soft
-FROM (SELECT tenant, query, unnest(soft_category) AS s FROM tiered_v WHERE rank < 4) GROUP BY tenant, query""",
+    """SELECT tenant, in_stock, query, array_to_string(list_sort(list(DISTINCT s)), '|') AS wanted_soft
+FROM (SELECT tenant, in_stock, query, unnest(soft_category) AS s FROM tiered_v WHERE rank < 4) GROUP BY tenant, in_stock, query""",
 )
 def top_soft_categories(spark, sf):
     rows = tiers.top_soft_categories(_ranked(spark, sf))
-    return rows.select(
-        F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"), F.col("qid").alias("query"),
-        F.array_join("wanted_soft", "|").alias("wanted_soft"),
-    )
+    return _asked(rows, F.array_join("wanted_soft", "|").alias("wanted_soft"))
 
 
 @query(
     "second_tier",
-    "SELECT tenant, query, id, CAST(boost AS BIGINT) AS similarity_boost, rank, rank // 20 + 1 AS batch FROM second_v WHERE rank < 65",
+    "SELECT tenant, in_stock, query, id, CAST(boost AS BIGINT) AS similarity_boost, rank, rank // 20 + 1 AS batch FROM second_v WHERE rank < 65",
 )
 def second_tier(spark, sf):
     rows = search.expand_second_tier(
-        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
     )
-    return rows.select("tenant", F.col("qid").alias("query"), "id", "similarity_boost", "rank", "batch")
+    return _asked(rows, "id", "similarity_boost", "rank", "batch")
 
 
 @query(
     "second_tier_categories",
-    "SELECT s.tenant, s.query, p.type AS category, count(*) AS products FROM second_v s JOIN products_v p ON p.id = s.id WHERE rank < 10 GROUP BY ALL",
+    "SELECT s.tenant, s.in_stock, s.query, p.type AS category, count(*) AS products FROM second_v s JOIN products_v p ON p.id = s.id WHERE rank < 10 GROUP BY ALL",
 )
 def second_tier_categories(spark, sf):
     rows = search.expand_second_tier(
-        _stocked_requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
     )
     mix = tiers.category_mix(rows, bind.products(spark, sf))
-    return mix.select(F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"), F.col("qid").alias("query"), "category", "products")
+    return _asked(mix, "category", "products")
 
 
 @query(
     "result_pages",
-    """SELECT tenant, query, id, rank, rank // 20 + 1 AS batch, least(65, found) > (rank // 20 + 1) * 20 AS has_more, least(least(65, found), (rank // 20 + 1) * 20) AS total_delivered
-FROM (SELECT *, count(*) OVER (PARTITION BY tenant, query) AS found FROM tiered_v) WHERE rank < 65""",
+    """SELECT tenant, in_stock, query, id, rank, rank // 20 + 1 AS batch, least(65, found) > (rank // 20 + 1) * 20 AS has_more, least(least(65, found), (rank // 20 + 1) * 20) AS total_delivered
+FROM (SELECT *, count(*) OVER (PARTITION BY tenant, in_stock, query) AS found FROM tiered_v) WHERE rank < 65""",
 )
 def result_pages(spark, sf):
     rows = fusion.with_page_state(fusion.paged(_ranked(spark, sf)), ["lane", "qid"])
-    return rows.select("tenant", F.col("qid").alias("query"), "id", "rank", "batch", "has_more", "total_delivered")
+    return _asked(rows, "id", "rank", "batch", "has_more", "total_delivered")
 
 
 @query(
     "next_batch",
-    "SELECT tenant, query, id, rank - 20 AS position FROM tiered_v WHERE rank >= 20 AND rank < 40",
+    "SELECT tenant, in_stock, query, id, rank - 20 AS position FROM tiered_v WHERE rank >= 20 AND rank < 40",
 )
 def next_batch(spark, sf):
     """Second batch: a fresh ranking without the delivered ids, the next twenty."""
     ranked = _ranked(spark, sf)
     rest = fusion.without_delivered(ranked, ranked.filter("rank < 20"), ["lane", "qid", "id"])
     rows = fusion.renumbered(rest, ["lane", "qid"], "rank").filter(F.col("position") < fusion.PAGE_ROWS)
-    return rows.select("tenant", F.col("qid").alias("query"), "id", "position")
+    return _asked(rows, "id", "position")
 
 
 @query(
     "external_rerank",
-    "SELECT tenant, query, id, CASE WHEN rank < 4 THEN 3 - rank ELSE rank END AS final_rank FROM tiered_v WHERE rank < 25",
+    "SELECT tenant, in_stock, query, id, CASE WHEN rank < 4 THEN 3 - rank ELSE rank END AS final_rank FROM tiered_v WHERE rank < 25",
 )
 def external_rerank(spark, sf):
     """An outside order that turns the first four results around."""
     ranked = _ranked(spark, sf).filter("rank < 25")
     outside = ranked.filter("rank < 4").select("lane", "qid", "id", (3 - F.col("rank")).alias("new_rank"))
     rows = fusion.reranked(ranked, outside, ["lane", "qid"])
-    return rows.select("tenant", F.col("qid").alias("query"), "id", "final_rank")
+    return _asked(rows, "id", "final_rank")
 
 
 @query(
@@ -454,15 +452,15 @@ def external_rerank(spark, sf):
     """, pins AS (SELECT 's' || (p_partkey % 3) AS tenant, p_name AS query, CAST(p_partkey AS VARCHAR) AS id,
     row_number() OVER (PARTITION BY p_partkey % 3, p_name ORDER BY p_partkey DESC) AS pin_position FROM part),
 k AS (SELECT * FROM pins WHERE pin_position <= 3),
-m AS (SELECT tenant, query, id, min(rank) AS rank, min(pin_position) AS pin FROM (
-  SELECT tenant, query, id, rank, NULL AS pin_position FROM tiered_v WHERE rank < 25 UNION ALL
-  SELECT tenant, query, id, NULL, pin_position FROM k WHERE (tenant, query) IN (SELECT (tenant, query) FROM tiered_v)) GROUP BY ALL)
-SELECT tenant, query, id, row_number() OVER (PARTITION BY tenant, query ORDER BY pin NULLS LAST, rank NULLS LAST, id) AS position FROM m""",
+m AS (SELECT tenant, in_stock, query, id, min(rank) AS rank, min(pin_position) AS pin FROM (
+  SELECT tenant, in_stock, query, id, rank, NULL AS pin_position FROM tiered_v WHERE rank < 25 UNION ALL
+  SELECT tenant, in_stock, query, id, NULL, pin_position FROM k JOIN (SELECT DISTINCT tenant, in_stock, query FROM tiered_v) USING (tenant, query)) GROUP BY ALL)
+SELECT tenant, in_stock, query, id, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY pin NULLS LAST, rank NULLS LAST, id) AS position FROM m""",
 )
 def pinned_results(spark, sf):
-    ranked = _ranked(spark, sf).filter("rank < 25").withColumn("query", F.col("qid")).withColumn("rank", F.col("rank").cast("int"))
+    ranked = _asked(_ranked(spark, sf).filter("rank < 25"), "id", F.col("rank").cast("int").alias("rank"))
     rows = fusion.pinned_first(ranked, bind.name_pins(spark, sf))
-    return rows.select("tenant", "query", "id", F.col("position").cast("long").alias("position"))
+    return rows.select("tenant", "in_stock", "query", "id", F.col("position").cast("long").alias("position"))
 
 
 @query("traffic_bucket", """SELECT session_id, CAST(list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split('exp1:' || session_id, ''), lambda c: CAST(ord(c) AS BIGINT))),

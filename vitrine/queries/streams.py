@@ -53,14 +53,17 @@ def stream_conversation_sessions(spark, sf):
     "stream_trigger_matches",
     """, p AS (SELECT conversation_id, CASE WHEN turn = 0 THEN ts - to_minutes(conv_id % 45) ELSE ts END AS parked_at FROM chat_v
   WHERE turn = 0 OR (turn = 2 AND conv_id % 3 = 0))
-SELECT c.conversation_id, c.turn, epoch_us(p.parked_at) AS parked_us FROM chat_v c JOIN p ON p.conversation_id = c.conversation_id
-  AND c.ts >= p.parked_at AND c.ts <= p.parked_at + INTERVAL 30 MINUTE""",
+SELECT c.conversation_id, c.turn, epoch_us(max(p.parked_at)) AS parked_us FROM chat_v c LEFT JOIN p ON p.conversation_id = c.conversation_id
+  AND c.ts >= p.parked_at AND c.ts <= p.parked_at + INTERVAL 30 MINUTE
+GROUP BY c.conversation_id, c.turn""",
 )
 def stream_trigger_matches(spark, sf):
     turns = bind.chat_turns(spark, sf, _stream(spark, sf, "conversations")).select("conversation_id", "turn", "ts")
     parked = bind.parked_triggers(spark, sf, _stream(spark, sf, "conversations"))
     table = jobs.to_table(jobs.matched_triggers(parked, turns), "trigger_matches")
-    return table.filter("parked_at is not null").select("conversation_id", "turn", F.unix_micros("parked_at").alias("parked_us"))
+    newest = table.groupBy("conversation_id", "turn").agg(F.max(F.unix_micros("parked_at")).alias("parked_us"))
+    # A turn without a trigger leaves the stream only when the watermark has passed it: the log's last ones do not.
+    return bind.chat_turns(spark, sf).select("conversation_id", "turn").join(newest, ["conversation_id", "turn"], "left")
 
 
 @query(
@@ -87,12 +90,12 @@ def stream_feedback_counts(spark, sf):
 @query(
     "stream_order_clicks",
     """SELECT o.order_id, epoch_us(k.clicked_at) AS clicked_us FROM rapid_v o JOIN clicks_v k
-  ON k.session_id = o.session_id AND k.product_id = o.product_id AND k.clicked_at <= o.created_at""",
+  ON k.session_id = o.session_id AND k.product_id = o.product_id AND k.clicked_at <= o.created_at AND k.clicked_at >= o.created_at - INTERVAL 30 DAY""",
 )
 def stream_order_clicks(spark, sf):
     orders = bind.rapid_orders(spark, sf, _stream(spark, sf, "events"))
     clicks = bind.clicks(spark, sf, _stream(spark, sf, "events"))
-    table = jobs.to_table(jobs.enriched_orders(orders, clicks), "order_clicks")
+    table = jobs.to_table(jobs.enriched_orders(orders, clicks, days=30), "order_clicks")
     return table.select("order_id", F.unix_micros("clicked_at").alias("clicked_us"))
 
 
@@ -112,4 +115,4 @@ def stream_quota(spark, sf):
     hits = bind.events(spark, sf, _stream(spark, sf, "events")).select(
         F.col("session_id").alias("key"), F.col("event_id").alias("hit_id"), "ts"
     )
-    return jobs.to_table(jobs.consumed_quota(hits, 3, 86_400), "quota").drop("batch_number")
+    return jobs.to_table(jobs.consumed_quota(hits, 3, 86_400), "quota", state_store=jobs.ROCKSDB).drop("batch_number")

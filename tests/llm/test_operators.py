@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.llm import (
-    chosen_path, context_tree, decontamination, harmonic_packing, hash_tree, language_mixture, licence_digest, media_columns, rlz_dedup, secret_ownership,
+    chosen_path, context_tree, decontamination, harmonic_packing, hash_tree, language_mixture, licence_digest, media_columns, queries, rlz_dedup, secret_ownership,
 )
 from vitrine.llm.common import id_remainder
 
@@ -401,3 +401,21 @@ def test_empty(empty, spark):
         decontamination.decontaminate(empty, benchmark), decontamination.clean(empty, benchmark), media_columns.store_texts(empty),
     ):
         assert df.collect() == []
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_twin(name, odd, spark, tmp_path):
+    """On the odd rows, which the given tables do not hold."""
+    import duckdb
+
+    odd.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    passage = dict((row[0], row[1]) for row in awkward())[7]
+    items = [("a", passage), ("b", "One TWO"), ("c", None), ("d", ""), (None, passage[:200])]
+    spark.createDataFrame(items, "item_id string, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df = queries.QUERIES[name](spark, str(tmp_path))
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))

@@ -18,7 +18,7 @@ from vitrine.llm import (
     rlz_dedup,
     secret_ownership,
 )
-from vitrine.llm.common import id_remainder, table
+from vitrine.llm.common import LOWER, UPPER, id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,51 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _canonical(text: str) -> str:
+    """The canonical form of a text as DuckDB SQL, step by step as the operator states it."""
+    out = f"translate(coalesce({text}, ''), '{UPPER}', '{LOWER}')"
+    out = f"regexp_replace({out}, '(?m)^[^a-z0-9\\n]*(copyright|\\(c\\)|©)[^\\n]*$', '', 'g')"
+    out = f"' ' || regexp_replace({out}, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+', ' ', 'g') || ' '"
+    for word, same in licence_digest.SPELLINGS:
+        out = f"replace({out}, ' {word} ', ' {same} ')"
+    return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+LICENCE_TWIN = f"""
+WITH known AS (SELECT sha256(form) AS digest, min(licence) AS licence FROM (
+  SELECT licence, {_canonical('text')} AS form FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licence_digest.KNOWN)}) v(licence, text))
+  WHERE form <> '' GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, sha256({_canonical('line')}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)),
+n AS (SELECT r, count(*) AS n_lines, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM l JOIN known USING (digest) GROUP BY r),
+w AS (SELECT r, doc_id, sha256({_canonical('text')}) AS canonical_sha256 FROM d)
+SELECT w.doc_id, w.canonical_sha256, k.licence AS text_licence, coalesce(n.n_lines, 0) AS n_lines, coalesce(n.licences, '') AS licences
+FROM w LEFT JOIN known k ON k.digest = w.canonical_sha256 LEFT JOIN n ON n.r = w.r"""
+
+_WORDS = (
+    f"list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+    "'[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')"
+)
+_WIDTH = decontamination.WIDTH
+DECONTAMINATION_TWIN = f"""
+WITH b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS w FROM benchmark),
+p AS (SELECT item, w, least(len(w), {_WIDTH}) AS size, unnest(range(1, len(w) - least(len(w), {_WIDTH}) + 2)) AS i FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM p),
+d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS BIGINT) AS doc_id, {_WORDS} AS w FROM documents),
+sizes AS (SELECT DISTINCT size FROM windows),
+places AS (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+hits AS (SELECT t.r, t.i, t.size, windows.item FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS words FROM places) t JOIN windows USING (size, words)),
+covered AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, unnest(range(i, i + size)) AS j FROM hits) GROUP BY r),
+listed AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY r)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
+
+
 @query("op1_secret_ownership")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ownership.scan(table(spark, sf_dir, "documents")).drop("findings", "mark")
@@ -59,7 +104,7 @@ def join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_docs")
 
 
-@query("op6_licence_digest")
+@query("op6_licence_digest", LICENCE_TWIN)
 def licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licence_digest.scan(table(spark, sf_dir, "documents"), licence_digest.known_texts(spark))
 
@@ -79,7 +124,7 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hash_tree.assign(table(spark, sf_dir, "documents"))
 
 
-@query("op9_decontamination")
+@query("op9_decontamination", DECONTAMINATION_TWIN)
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans", "mark")
 

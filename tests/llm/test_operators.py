@@ -195,56 +195,52 @@ def test_unigram_score(docs):
 
 
 def test_tree_is_a_weighted_mixture():
-    """Against a direct recursion over all contexts, for seen and unseen symbols, with and without pruning."""
+    """Against a direct recursion over all contexts, for seen and unseen symbols, as one part and as several."""
     rng = random.Random(9)
     text = "".join(rng.choice("abcab ") for _ in range(400)).encode()
     depth_n = context_tree.DEPTH
     padded = bytes(depth_n) + text + b"\0"
     grams = Counter((padded[k - depth_n : k], padded[k]) for k in range(depth_n, len(padded)))
-    for least in (1, 12):
-        table = Counter()
-        for (ctx, s), n in grams.items():
-            for d in range(depth_n + 1):
-                table[(d, ctx[depth_n - d :], s)] += n
-        size = Counter()
-        for (d, ctx, _), n in table.items():
-            size[(d, ctx)] += n
-        kept = {k for k, n in size.items() if n >= least}
-        rows = [(d, int.from_bytes(ctx, "big"), s, n) for (d, ctx, s), n in table.items() if (d, ctx) in kept]
-        tree = context_tree.Tree(*(np.array(c, np.int64) for c in zip(*rows, strict=True)))
-
-        def bits(d, ctx, prefix, level):
-            own = [(s, n) for (e, c, s), n in table.items() if e == d and c == ctx and (s >> (8 - level)) == prefix]
-            return [sum(n for s, n in own if (s >> (7 - level)) & 1 == b) for b in (0, 1)]
-
-        def weigh(d, ctx, prefix, level, path):
-            """Log weighted probability, and the probability of a one along the path (contexts from the deepest)."""
-            n = bits(d, ctx, prefix, level)
-            mine, one = float(context_tree._log_estimate(np.array([n[0]]), np.array([n[1]]))[0]), (n[1] + 0.5) / (sum(n) + 1)
-            if d == depth_n:
-                return mine, one
-            split, rest, follow = 0.0, list(n), None
-            for e, c in sorted(kept):
-                if e == d + 1 and c[1:] == ctx:
-                    below, p = weigh(e, c, prefix, level, path)
-                    split += below
-                    got = bits(e, c, prefix, level)
-                    rest = [a - b for a, b in zip(rest, got, strict=True)]
-                    if path[depth_n - e :] == c:
-                        follow = p
-            split += float(context_tree._log_estimate(np.array([rest[0]]), np.array([rest[1]]))[0])
-            if follow is None:
-                follow = (rest[1] + 0.5) / (sum(rest) + 1)
-            w = 1 / (1 + np.exp(split - mine))
-            return np.logaddexp(mine, split) - np.log(2), w * one + (1 - w) * follow
-
-        for ctx, symbol in [(b"abca", ord("b")), (b"abca", ord("z")), (b"\0\0\0\0", ord("a")), (b"zzza", ord("c")), (b"b ab", 0), (b"zzzz", 200)]:
+    asked = [(b"abca", ord("b")), (b"abca", ord("z")), (b"\0\0\0\0", ord("a")), (b"zzza", ord("c")), (b"b ab", 0), (b"zzzz", 200)]
+    counts = Counter(grams)
+    counts.update({g: 0 for g in asked})
+    code = np.array([int.from_bytes(c + bytes([s]), "big") for c, s in counts], np.uint64)
+    n = np.array(list(counts.values()), np.int64)
+
+    def bits(ctx, prefix, level):
+        own = [(s, m) for (c, s), m in grams.items() if c.endswith(ctx) and (s >> (8 - level)) == prefix]
+        return [sum(m for s, m in own if (s >> (7 - level)) & 1 == b) for b in (0, 1)]
+
+    def weigh(ctx, prefix, level, path):
+        """Log weighted probability, and the probability of a one along the path."""
+        m = bits(ctx, prefix, level)
+        mine, one = float(context_tree._log_estimate(np.array([m[0]]), np.array([m[1]]))[0]), (m[1] + 0.5) / (sum(m) + 1)
+        if len(ctx) == depth_n:
+            return mine, one
+        below = sorted({c[len(c) - len(ctx) - 1 :] for c, _ in grams if c.endswith(ctx)})
+        children = {c: weigh(c, prefix, level, path) for c in below}
+        split = sum(w for w, _ in children.values())
+        follow = next((p for c, (_, p) in children.items() if path.endswith(c)), 0.5)
+        w = 1 / (1 + np.exp(split - mine))
+        return np.logaddexp(mine, split) - np.log(2), w * one + (1 - w) * follow
+
+    for parts in (1, 3):
+        part = ((code >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(parts)
+        cut = [context_tree.Subtrees(code[part == k], n[part == k]) for k in range(parts)]
+        top = context_tree.crown(*(np.concatenate(x) for x in zip(*(c.sums() for c in cut), strict=True)))
+        for ctx, symbol in asked:
             want = 0.0
             for level in range(8):
-                one = weigh(0, b"", symbol >> (8 - level), level, ctx)[1]
+                one = weigh(b"", symbol >> (8 - level), level, ctx)[1]
                 want += np.log10(one if (symbol >> (7 - level)) & 1 else 1 - one)
-            code = np.array([int.from_bytes(ctx + bytes([symbol]), "big")], np.uint64)
-            assert abs(tree.log10(code)[0] - want) < 1e-4, (least, ctx, symbol)
+            own = np.array([int.from_bytes(ctx + bytes([symbol]), "big")], np.uint64)
+            got = cut[int(own[0] >> np.uint64(8)) % (1 << 16) % parts].log10(own, *top)[0]
+            assert abs(got - want) < 1e-6, (parts, ctx, symbol)
+
+
+def test_joined_grams_score_like_sent_ones(docs):
+    sent, joined = ({(r["doc_id"], round(r["score"], 5), r["n_known"]) for r in rows_of(context_tree.score(docs, **few))} for few in ({}, {"head": 5, "head_grams": 7}))
+    assert sent == joined
 
 
 def test_tree_predicts(small):

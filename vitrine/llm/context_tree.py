@@ -5,16 +5,19 @@ eight binary decisions; every decision has a context tree of its own, whose node
 A node's weighted probability is the mean of its own estimate and of its children's product; the conditional
 probability that follows mixes the estimates of all depths. code_bits_per_byte is the code length per byte.
 
-Learning counts all (DEPTH + 1)-grams and all words of the training texts with Spark. The tree is bounded, not the data:
-it has the most frequent contexts of all depths, at most `CONTEXTS`, and at each of
-its nodes one leaf for all other continuations, with their exact remaining counts. So the weights and estimates are those of a complete
-tree source, whatever the corpus. The tree is built in arrays from these bounded counts and sent to the workers.
+The tree is the whole one: every context of the training texts is in it, so it grows with them. Spark counts all
+(DEPTH + 1)-grams and spreads the distinct ones by the last `ROOT` bytes of their contexts; all nodes deeper than that
+are then inside one task. A first pass weights these subtrees upwards and leaves sums for the nodes of the last byte, at
+most 65,280 whatever the corpus; the driver weights these and the root. A second pass goes down again and gives each
+distinct gram, those of unlearned texts included, its log probability. Texts are scored from that table: the most frequent
+grams, at most `HEAD_GRAMS`, are sent to the workers, the others are joined by Spark.
 
-The unigram score needs the count of every word. The most frequent words, at most `HEAD`, are sent to the workers, a bounded table;
-words outside it are joined with their counts by Spark. Words are told apart by 64-bit hashes.
+The unigram score needs the count of every word and goes the same way: at most `HEAD` words are sent, the others
+joined. Words are told apart by 64-bit hashes.
 
 Null text: no words, only the end. Null id: hashed as the empty text, so held out. Without training texts all counts are zero and
-bits cost one bit each. Repeated rows are each learned from and scored. Memory: one slice of texts and the bounded tables.
+bits cost one bit each. Repeated rows are each learned from and scored. Memory: one slice of texts, the bounded tables, and
+about `PART_GRAMS` distinct grams with their nodes in a task of the two passes.
 """
 
 from __future__ import annotations
@@ -30,8 +33,12 @@ from vitrine.llm.common import by_batch, id_remainder, lists, longs, stored, tex
 from vitrine.llm.wordtape import mixed, ranges, slices, tape
 
 DEPTH = 4
-CONTEXTS = 1 << 16
+#: Bytes of context by which the tree is cut into tasks.
+ROOT = 2
+#: Distinct grams of a task, on average.
+PART_GRAMS = 100_000
 HEAD = 1 << 19
+HEAD_GRAMS = 1 << 18
 FOLDS = 10
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -102,8 +109,11 @@ def _word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return words.hashes() >> np.uint64(1), words.first
 
 
-def counts(training: DataFrame) -> DataFrame:
-    """(key, n): words by the hash of 63 bits, grams by the negative of their code less one."""
+def counts(docs: DataFrame) -> DataFrame:
+    """(key, n) of rows (text, held_out).
+
+    Words of training texts by their hash of 63 bits; grams of all texts by -1 - (code * 2 + 1 if held out).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
@@ -118,8 +128,12 @@ def counts(training: DataFrame) -> DataFrame:
 
         fresh = {True: 0, False: 0}
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column("text")):
-                for of_words, keys in ((True, _word_keys(data, offsets)[0]), (False, _grams(data, offsets)[0])):
+            out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint64)
+            for lo, hi, data, offsets in slices(batch.column("text")):
+                words, first = _word_keys(data, offsets)
+                learned = words[np.repeat(out[lo:hi], np.diff(first)) == 0]
+                code = (_grams(data, offsets)[0] << np.uint64(1)) | np.repeat(out[lo:hi], np.diff(offsets) + 1)
+                for of_words, keys in ((True, learned), (False, code)):
                     held[of_words].append(np.unique(keys, return_counts=True))
                     fresh[of_words] += len(held[of_words][-1][0])
                     if fresh[of_words] > 1 << 21:
@@ -130,7 +144,7 @@ def counts(training: DataFrame) -> DataFrame:
         yield from emit(True)
         yield from emit(False)
 
-    return training.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text", "held_out").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _above(rows: DataFrame, most: int) -> int:
@@ -149,20 +163,6 @@ def _above(rows: DataFrame, most: int) -> int:
     return least
 
 
-def tree_counts(grams: DataFrame, contexts: int = CONTEXTS) -> DataFrame:
-    """(depth, context, symbol, n) of the kept contexts; a kept context's shorter ones are kept too, as they are as frequent."""
-    gram = F.lit(-1) - F.col("key")
-    each = grams.select(gram.alias("gram"), "n", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))).alias("depth"))
-    symbols = (
-        each.select("depth", (F.shiftright("gram", 8) % F.element_at(F.array(*(F.lit(1 << 8 * d).cast("long") for d in range(DEPTH + 1))), F.col("depth") + 1)).alias("context"), F.col("gram").bitwiseAND(255).alias("symbol"), "n")
-        .groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"))
-    )
-    symbols = stored(symbols)
-    totals = symbols.groupBy("depth", "context").agg(F.sum("n").alias("n"))
-    kept = totals.where(F.col("n") >= _above(totals, contexts)).select("depth", "context")
-    return symbols.join(kept, ["depth", "context"])
-
-
 def _lgamma(x: np.ndarray) -> np.ndarray:
     """Log of the gamma function for x >= 0.5: Stirling's series at x + 8, and the recurrence back."""
     y = x + 8.0
@@ -179,141 +179,150 @@ def _log_estimate(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _lgamma(n0 + 0.5) + _lgamma(n1 + 0.5) - _lgamma(n0 + n1 + 1.0) - math.log(math.pi)
 
 
-def _key(depth: int, context: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return (np.uint64(depth) << np.uint64(56)) | (context.astype(np.uint64) << np.uint64(8)) | low.astype(np.uint64)
+def _nodes(depth: int, code: np.ndarray, bit: int) -> np.ndarray:
+    """The node of each gram at a depth before the given bit: its context, and the bits of the symbol so far after a leading one."""
+    context = (code >> np.uint64(8)) & np.uint64((1 << 8 * depth) - 1)
+    return (context << np.uint64(8)) | np.uint64(1 << bit) | ((code & np.uint64(255)) >> np.uint64(8 - bit))
 
 
-class Tree:
-    """Predictions from the counts of `tree_counts`, as hash tables.
+def _parents(depth: int, nodes: np.ndarray) -> np.ndarray:
+    """Nodes one byte less deep: the earliest byte of the context goes."""
+    return nodes & np.uint64((1 << 8 * depth) - 1)
 
-    grams: log10 probability of a symbol after the longest kept context. nodes: of a decision, the probability of a
-    one where the path ends there, and where deeper nodes of the path were never reached.
-    """
 
-    def __init__(self, depth: np.ndarray, context: np.ndarray, symbol: np.ndarray, n: np.ndarray):
-        keys, zeros, ones = [], [], []
-        for d in range(DEPTH + 1):
-            own = depth == d
-            c, s, m = context[own], symbol[own], n[own].astype(np.float64)
-            node = np.concatenate([_key(d, c, (1 << b) | (s >> (8 - b))) for b in range(8)]) if own.any() else np.empty(0, np.uint64)
-            bit = np.concatenate([(s >> (7 - b)) & 1 for b in range(8)]) if own.any() else np.empty(0, np.int64)
-            found, at = np.unique(node, return_inverse=True)
-            weight = np.tile(m, 8)
-            keys.append(found)
-            zeros.append(np.bincount(at, weight * (1 - bit), len(found)))
-            ones.append(np.bincount(at, weight * bit, len(found)))
-        # from the leaves: log weighted probabilities, and the weight of each node's own estimate
-        own_weight, rest_one, weighted, parents = [], [], None, [np.empty(0, np.int64)] * (DEPTH + 1)
-        for d in range(DEPTH, -1, -1):
-            mine = _log_estimate(zeros[d], ones[d])
-            if d == DEPTH:
-                weighted = mine
-                own_weight.insert(0, np.ones(len(mine)))
-                rest_one.insert(0, np.zeros(len(mine)))
-                continue
-            child = keys[d + 1]
-            context_mask = np.uint64((1 << 8 * d) - 1)
-            up = _key(d, (child >> np.uint64(8)) & context_mask, child & np.uint64(255))
-            parent = np.searchsorted(keys[d], up)
-            parents[d + 1] = parent
-            size = len(keys[d])
-            r0 = zeros[d] - np.bincount(parent, zeros[d + 1], size)
-            r1 = ones[d] - np.bincount(parent, ones[d + 1], size)
-            split = np.bincount(parent, weighted, size) + _log_estimate(r0, r1)
-            own_weight.insert(0, 1 / (1 + np.exp(np.clip(split - mine, -700, 700))))
-            rest_one.insert(0, (r1 + 0.5) / (r0 + r1 + 1))
-            weighted = np.logaddexp(mine, split) - math.log(2)
-        # from the root: what the estimates so far give to a one, and the weight left to deeper ones
-        given, left, end, half = [], [], [], []
-        for d in range(DEPTH + 1):
-            above, over = (given[-1][parents[d]], left[-1][parents[d]]) if d else (0.0, 1.0)
-            estimate = (ones[d] + 0.5) / (zeros[d] + ones[d] + 1)
-            given.append(above + over * own_weight[d] * estimate)
-            left.append(over * (1 - own_weight[d]))
-            end.append(given[d] + left[d] * rest_one[d])
-            half.append(given[d] + left[d] * 0.5)
-        self.nodes = Table(np.concatenate(keys), np.concatenate(end).astype(np.float32), np.concatenate(half).astype(np.float32))
-        gram_keys, logs = [], []
-        for d in range(DEPTH + 1):
-            own = depth == d
-            c, s = context[own], symbol[own]
-            total = np.zeros(len(c))
-            for b in range(8):
-                one = end[d][np.searchsorted(keys[d], _key(d, c, (1 << b) | (s >> (8 - b))))]
-                total += np.log10(np.where((s >> (7 - b)) & 1, one, 1 - one))
-            gram_keys.append(_key(d, c, s))
-            logs.append(total)
-        self.grams = Table(np.concatenate(gram_keys), np.concatenate(logs).astype(np.float32))
-        self.contexts = Table(np.unique(np.concatenate(gram_keys) >> np.uint64(8)))
-
-    def _unseen(self, depth: int, code: np.ndarray) -> np.ndarray:
-        """log10 probability of symbols that were not seen after a kept context."""
-        distinct, at = np.unique(code, return_inverse=True)
-        total = np.zeros(len(distinct))
-        symbol = (distinct & np.uint64(255)).astype(np.int64)
-        for b in range(8):
-            one = np.full(len(distinct), 0.5)
-            open_ = np.arange(len(distinct))
-            for d in range(depth, -1, -1):
-                context = (distinct[open_] >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-                slot = self.nodes.find(_key(d, context, (1 << b) | (symbol[open_] >> (8 - b))))
-                hit = slot >= 0
-                one[open_[hit]] = self.nodes.columns[int(d < depth)][slot[hit]]
-                open_ = open_[~hit]
-            total += np.log10(np.where((symbol >> (7 - b)) & 1, one, 1 - one))
-        return total[at]
-
-    def log10(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after those before it."""
-        out = np.empty(len(code))
-        open_ = np.arange(len(code))
-        for d in range(DEPTH, -1, -1):
-            own = code[open_]
-            context = (own >> np.uint64(8)) & np.uint64((1 << 8 * d) - 1)
-            key = _key(d, context, own & np.uint64(255))
-            slot = self.grams.find(key)
-            hit = slot >= 0
-            out[open_[hit]] = self.grams.columns[0][slot[hit]]
-            open_, own, key = open_[~hit], own[~hit], key[~hit]
-            kept = self.contexts.find(key >> np.uint64(8)) >= 0
-            if kept.any():
-                out[open_[kept]] = self._unseen(d, own[kept])
-            open_ = open_[~kept]
-        out[open_] = 8 * math.log10(0.5)  # nothing was learned
-        return out
+def _mix(mine: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of a node's own estimate, and its log weighted probability."""
+    return 1 / (1 + np.exp(np.clip(split - mine, -700, 700))), np.logaddexp(mine, split) - math.log(2)
+
 
+def crown(nodes: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the depths above `ROOT` give to a one, and the weight they leave, by the node of the last byte.
 
-def score(docs: DataFrame, folds: int = FOLDS, contexts: int = CONTEXTS, head: int = HEAD) -> DataFrame:
+    nodes: those of the last byte, with the log weighted probability of all their children and their counts.
+    """
+    dense = [np.bincount(nodes, x, 1 << 16) for x in (below, zeros, ones)]
+    below, zeros, ones = dense
+    own, weighted = _mix(_log_estimate(zeros, ones), below)
+    root = [x.reshape(256, 256).sum(0) for x in (weighted, zeros, ones)]
+    root_own, _ = _mix(_log_estimate(root[1], root[2]), root[0])
+    given, left = np.tile(root_own * (root[2] + 0.5) / (root[1] + root[2] + 1), 256), np.tile(1 - root_own, 256)
+    return given + left * own * (ones + 0.5) / (zeros + ones + 1), left * (1 - own)
+
+
+class Subtrees:
+    """All nodes of depth `ROOT` and more that some grams have, from the grams' training counts."""
+
+    def __init__(self, code: np.ndarray, n: np.ndarray):
+        code, n = code[n > 0], n[n > 0].astype(np.float64)
+        self.keys, self.zeros, self.ones, self.parents, self.own = {}, {}, {}, {}, {}
+        one = np.concatenate([(code >> np.uint64(7 - b)) & np.uint64(1) for b in range(8)]).astype(np.float64)
+        weight = np.tile(n, 8)
+        for d in range(DEPTH, ROOT - 1, -1):
+            keys, at = np.unique(np.concatenate([_nodes(d, code, b) for b in range(8)]), return_inverse=True)
+            self.keys[d], self.zeros[d], self.ones[d] = keys, np.bincount(at, weight * (1 - one), len(keys)), np.bincount(at, weight * one, len(keys))
+            mine = _log_estimate(self.zeros[d], self.ones[d])
+            if d == DEPTH:
+                self.own[d], self.weighted = np.ones(len(keys)), mine
+            else:
+                parent = self.parents[d + 1] = np.searchsorted(keys, _parents(d + 1, self.keys[d + 1]))
+                self.own[d], self.weighted = _mix(mine, np.bincount(parent, self.weighted, len(keys)))
+
+    def sums(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The nodes of the last byte with their children's log weighted probabilities and counts summed."""
+        up = _parents(ROOT, self.keys[ROOT]).astype(np.int64)
+        nodes, at = np.unique(up, return_inverse=True)
+        return nodes, *(np.bincount(at, x, len(nodes)) for x in (self.weighted, self.zeros[ROOT], self.ones[ROOT]))
+
+    def log10(self, code: np.ndarray, given: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """log10 probability of the last byte of each gram after those before it; given, left: from `crown`."""
+        one_at, rest = {}, {}
+        for d in range(ROOT, DEPTH + 1):
+            above, over = (given, left) if d == ROOT else (one_at[d - 1], rest[d - 1])
+            parent = _parents(ROOT, self.keys[d]).astype(np.int64) if d == ROOT else self.parents[d]
+            one_at[d] = above[parent] + over[parent] * self.own[d] * (self.ones[d] + 0.5) / (self.zeros[d] + self.ones[d] + 1)
+            rest[d] = over[parent] * (1 - self.own[d])
+        total = np.zeros(len(code))
+        for b in range(8):
+            top = _nodes(ROOT - 1, code, b).astype(np.int64)
+            one = given[top] + 0.5 * left[top]
+            for d in range(ROOT, DEPTH + 1):
+                # where the path leaves the tree, deeper nodes have no counts and say one half
+                node = _nodes(d, code, b)
+                at = np.minimum(np.searchsorted(self.keys[d], node), max(0, len(self.keys[d]) - 1))
+                hit = np.flatnonzero(self.keys[d][at] == node) if len(self.keys[d]) else np.empty(0, np.int64)
+                one[hit] = one_at[d][at[hit]] + 0.5 * rest[d][at[hit]]
+            total += np.log10(np.where((code >> np.uint64(7 - b)) & np.uint64(1), one, 1 - one))
+        return total
+
+
+def gram_logs(learned: DataFrame) -> DataFrame:
+    """(key, n, log) of every distinct gram: -1 - its code, how often texts of both kinds have it, its log10 probability."""
+    grams = learned.where("key < 0").select((F.lit(-1) - F.col("key")).alias("key"), "n")
+    parts = 1 + grams.count() // PART_GRAMS
+    spread = grams.repartition(max(parts, grams.sparkSession.sparkContext.defaultParallelism), F.shiftright("key", 9).bitwiseAND((1 << 8 * ROOT) - 1))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams with their counts in training texts and in all."""
+        held = [(b.column("key").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+        if not held:
+            return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        code, at = np.unique(key >> 1, return_inverse=True)
+        return code.astype(np.uint64), np.bincount(at, n * (1 - (key & 1)), len(code)).astype(np.int64), np.bincount(at, n, len(code)).astype(np.int64)
+
+    def upward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n, _ = read(batches)
+        if n.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in Subtrees(code, n).sums()], ["node", "below", "zeros", "ones"])
+
+    sums = spread.mapInArrow(upward, "node long, below double, zeros double, ones double").groupBy("node").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()
+    shared = grams.sparkSession.sparkContext.broadcast(crown(*(sums.column(c).to_numpy() for c in ("node", "below", "zeros", "ones"))))
+
+    def downward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, n, uses = read(batches)
+        if len(code):
+            logs = Subtrees(code, n).log10(code, *shared.value)
+            for lo in range(0, len(code), 100_000):
+                to = slice(lo, lo + 100_000)
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - code[to].view(np.int64)), pa.array(uses[to]), pa.array(logs[to])], ["key", "n", "log"])
+
+    return stored(spread.mapInArrow(downward, "key long, n long, log double"))
+
+
+def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, head_grams: int = HEAD_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte."""
     source = texts(docs, (id_remainder(F.col("doc_id"), folds) == 0).alias("held_out"))
-    training = source.where(~F.col("held_out"))
-    learned = stored(counts(training))
+    learned = stored(counts(source))
     words = learned.where("key >= 0")
-    trained = training.count()
+    trained = source.where(~F.col("held_out")).count()
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = total + trained, distinct + bool(trained)
-    frequent = _above(words, head)
-    kept = words.where(F.col("n") >= frequent).toArrow()
-    model = tree_counts(learned.where("key < 0"), contexts).toArrow()
-    tree = Tree(*(model.column(c).to_numpy().astype(np.int64) for c in ("depth", "context", "symbol", "n")))
+    grams = gram_logs(learned)
+    frequent, frequent_grams = _above(words, head), _above(grams, head_grams)
+    kept, kept_grams = words.where(F.col("n") >= frequent).toArrow(), grams.where(F.col("n") >= frequent_grams).select("key", "log").toArrow()
     common = Table(kept.column("key").to_numpy(), np.log10(kept.column("n").to_numpy() + 0.1))
-    shared = docs.sparkSession.sparkContext.broadcast((tree, common))
+    common_grams = Table(-1 - kept_grams.column("key").to_numpy(), kept_grams.column("log").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((common_grams, common))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        tree, common = shared.value
+        common_grams, common = shared.value
         scores, sizes, n_words, n_known, logs, rare, times, n_rare = ([] for _ in range(8))
         for lo, hi, data, offsets in slices(batch.column("text")):
-            code, begin = _grams(data, offsets)
-            scores.append(np.add.reduceat(tree.log10(code), begin))
+            code, _ = _grams(data, offsets)
+            of_gram = np.repeat(np.arange(hi - lo), np.diff(offsets) + 1)
+            slot = common_grams.find(code)
+            hit = slot >= 0
+            scores.append(np.bincount(of_gram[hit], common_grams.columns[0][slot[hit]], hi - lo))
             sizes.append(np.diff(offsets) + 1)
             key, first = _word_keys(data, offsets)
             text = np.repeat(np.arange(hi - lo), np.diff(first))
             slot = common.find(key)
-            hit = slot >= 0
+            known = slot >= 0
             n_words.append(np.diff(first))
-            n_known.append(np.bincount(text[hit], minlength=hi - lo))
-            logs.append(np.bincount(text[hit], common.columns[0][slot[hit]], hi - lo))
-            text, key = text[~hit], key[~hit]
+            n_known.append(np.bincount(text[known], minlength=hi - lo))
+            logs.append(np.bincount(text[known], common.columns[0][slot[known]], hi - lo))
+            text = np.concatenate([text[~known], of_gram[~hit]])
+            key = np.concatenate([key[~known].view(np.int64), -1 - code[~hit].view(np.int64)])
             order = np.lexsort((key, text))
             text, key = text[order], key[order]
             new = np.ones(len(key), bool)
@@ -323,11 +332,11 @@ def score(docs: DataFrame, folds: int = FOLDS, contexts: int = CONTEXTS, head: i
             times.append(np.diff(np.append(at, len(key))))
             n_rare.append(np.bincount(text[at], minlength=hi - lo))
         join = np.concatenate
-        struct = pa.StructArray.from_arrays([longs(join(rare)), pa.array(join(times).astype(np.int64))], ["key", "times"])
+        struct = pa.StructArray.from_arrays([pa.array(join(rare)), pa.array(join(times).astype(np.int64))], ["key", "times"])
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("doc_id"), batch.column("held_out"), pa.array(join(n_words) + 1), pa.array(join(n_known).astype(np.int64)),
-                pa.array(join(logs).astype(np.float64)), pa.array(join(scores)), pa.array(join(sizes).astype(np.int64)), lists(struct, join(n_rare)),
+                pa.array(join(logs).astype(np.float64)), pa.array(join(scores).astype(np.float64)), pa.array(join(sizes).astype(np.int64)), lists(struct, join(n_rare)),
             ],
             ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "n_bytes", "rare"],
         )
@@ -338,16 +347,22 @@ def score(docs: DataFrame, folds: int = FOLDS, contexts: int = CONTEXTS, head: i
             "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, rare array<struct<key:long,times:long>>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    # words have keys from zero on, grams below
+    looked_up = words.where(F.col("n") < frequent).select("key", F.log10(F.col("n") + F.lit(0.1)).alias("log")).unionByName(
+        grams.where(F.col("n") < frequent_grams).select("key", "log")
+    )
+    word = F.col("key") >= 0
     seldom = (
-        rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(words.where(F.col("n") < frequent), "key", "left")
+        rows.select("row", F.explode("rare").alias("r")).select("row", "r.*").join(looked_up, "key", "left")
         .groupBy("row").agg(
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.1))).alias("more_logs"),
+            F.sum(F.when(word & F.col("log").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
+            F.sum(F.when(word, F.col("times") * F.coalesce("log", F.lit(-1.0))).otherwise(0.0)).alias("more_logs"),
+            F.sum(F.when(~word, F.col("times") * F.col("log")).otherwise(0.0)).alias("more_score"),
         )
     )
     end_known, end_log = int(trained > 0), math.log10(trained + 0.1)
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) + F.lit(end_log) - F.col("n_tokens") * F.lit(math.log10(total + 0.1 * (distinct + 1)))
-    return rows.drop("rare").join(seldom, "row", "left").select(
+    return rows.drop("rare").join(seldom, "row", "left").withColumn("score", F.col("score") + F.coalesce("more_score", F.lit(0.0))).select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0)) + F.lit(end_known)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         base.alias("base_score"), "score", (-F.col("score") / F.lit(math.log10(2)) / F.col("n_bytes")).alias("code_bits_per_byte"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import predicates, text
+from vitrine.operators import quota
 from vitrine.operators.running import with_running
 
 # --- Fixed values -------------------------------------------------------------------------------
@@ -43,6 +44,24 @@ def numbered_turns(turns: DataFrame) -> DataFrame:
     return numbered.withColumn("rejected", F.col("turn_number") > MAX_TURNS)
 
 
+def gated_turns(turns: DataFrame) -> DataFrame:
+    """Every shopper turn with all that is tested before the model is asked.
+
+    ``turns(conversation_id, tenant, session_id, turn, ts, role, text)``: length, junk class and override flag of the
+    text, the turn cap of the conversation, and the quotas of shopper and store (a turn consumes both whatever its text).
+    """
+    asked = numbered_turns(turns).withColumn("hit_id", F.concat_ws("-", "conversation_id", "turn"))
+    kept = audited(asked).select("hit_id", "clean", "junk", "override_attempt")
+    counted = quota.both_quotas(asked.select("hit_id", "tenant", "session_id", "ts")).select(
+        "hit_id", "shopper_count", "store_count", F.col("scope").alias("quota_scope"), "retry_after_seconds"
+    )
+    return (
+        asked.select("hit_id", "conversation_id", "turn", "turn_number", F.col("rejected").alias("over_turns"))
+        .join(counted, "hit_id").join(kept, "hit_id", "left")
+        .withColumn("oversize", F.col("clean").isNull())
+    )
+
+
 def guarded_turns(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     """A turn keeps its stored conversation only if tenant and provider agree, else starts anew."""
     stored = conversations.select(

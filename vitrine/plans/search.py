@@ -40,6 +40,31 @@ def hybrid_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
     return fusion.limited(rows, fusion.result_order(fusion.fused_order()))
 
 
+def browse_search(requests: DataFrame, products: DataFrame) -> DataFrame:
+    """Results of every different search without text: the filters alone choose, in price or id order.
+
+    The first rows are cut by price bounds and stock; categories and tags are tested after the cut, as in a text search.
+    """
+    searches = checkpointed(fusion.distinct_searches(requests))
+    found = fusion.browse(searches, products).select(F.col("qid").cast("long").alias("search_id"), "id", "rank")
+    attributes = products.select(
+        "tenant", "id", "price", "category", "soft_category", "stock_status_canonical", "stock_status_legacy"
+    )
+    rows = fusion.post_filter(searches.join(found, "search_id").join(attributes, ["tenant", "id"]))
+    return fusion.limited(rows, fusion.result_order([F.col("rank")]))
+
+
+def routed_search(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
+    """A whole request log: searches with text are retrieved, those without browse by their filters."""
+    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
+    shared = ["search_id", "requests", "tenant", "query", "in_stock", "position", "id", "total_matched", "returned"]
+    typed = hybrid_search(requests.filter(~blank), products, vectors, index)
+    browsed = browse_search(requests.filter(blank).withColumn("query", F.lit("")), products)
+    return typed.select(*shared, "rrf", "lexical_matches", F.lit(False).alias("browsed")).unionByName(
+        browsed.select(*shared, F.lit(None).cast("double").alias("rrf"), F.lit(None).cast("long").alias("lexical_matches"), F.lit(True).alias("browsed"))
+    )
+
+
 def ranked_pool(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
     """Fused pool of every different (stock switch, query), scored and ranked by tiers."""
     searches = checkpointed(

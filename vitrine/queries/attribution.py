@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.operators import attribution, sessions
+from vitrine.plans import attribution as plans
 from vitrine.queries.registry import query
 from vitrine.sources import bind
 
@@ -191,3 +192,31 @@ def order_attribution(spark, sf):
     return attribution.funnel(
         own(bind.searches(spark, sf)), own(bind.clicks(spark, sf)), own(bind.rapid_orders(spark, sf))
     )
+
+
+@query(
+    "attributed_orders",
+    """, chain(start_id, id, steps) AS (SELECT old_session_id, new_session_id, 1 FROM aliases_v UNION ALL
+  SELECT c.start_id, a.new_session_id, c.steps + 1 FROM chain c JOIN aliases_v a ON a.old_session_id = c.id),
+ids AS (SELECT start_id, arg_max(id, steps) AS id FROM chain GROUP BY start_id),
+o AS (SELECT order_id, coalesce(i.id, r.session_id) AS session_id, product_id, created_at, total_price FROM rapid_v r LEFT JOIN ids i ON i.start_id = r.session_id),
+c AS (SELECT click_id, coalesce(i.id, k.session_id) AS session_id, product_id, clicked_at FROM clicks_v k LEFT JOIN ids i ON i.start_id = k.session_id),
+s AS (SELECT query_id, query, coalesce(i.id, r.session_id) AS session_id, ts FROM requests_v r LEFT JOIN ids i ON i.start_id = r.session_id),
+k AS (SELECT o.order_id, count(c.click_id) AS matched_clicks, max(epoch_us(c.clicked_at)) AS last_click_us FROM o LEFT JOIN c
+  ON c.session_id = o.session_id AND c.product_id = o.product_id AND c.clicked_at <= o.created_at GROUP BY o.order_id),
+t AS (SELECT o.order_id, arg_max(s.query, (s.ts, s.query_id)) AS search_query FROM o JOIN s ON s.session_id = o.session_id AND s.ts <= o.created_at GROUP BY o.order_id),
+f AS (SELECT session_id, count(*) FILTER (WHERE kind = 1) AS searches, count(*) FILTER (WHERE kind = 2) AS clicks, count(*) FILTER (WHERE kind = 3) AS purchases
+  FROM (SELECT session_id, 1 AS kind FROM s UNION ALL SELECT session_id, 2 FROM c UNION ALL SELECT session_id, 3 FROM o) GROUP BY session_id)
+SELECT o.order_id, o.session_id, o.product_id, matched_clicks, last_click_us, search_query, searches, clicks, purchases, 'purchase' AS stage,
+  CAST(o.total_price AS DECIMAL(18,2)) AS revenue FROM o JOIN k USING (order_id) LEFT JOIN t USING (order_id) JOIN f ON f.session_id = o.session_id""",
+)
+def attributed_orders(spark, sf):
+    """Every tenth order is delivered a second time an hour later."""
+    orders = bind.rapid_orders(spark, sf)
+    again = F.array_compact(F.array(F.lit(0), F.when(F.col("order_id") % 10 == 0, 1)))
+    deliveries = orders.withColumn("late", F.explode(again)).withColumn("received_at", F.col("created_at") + F.make_interval(hours=F.col("late")))
+    rows = plans.attributed_orders(deliveries.drop("late"), bind.clicks(spark, sf), bind.searches(spark, sf), bind.session_aliases(spark, sf))
+    return rows.select(
+        "order_id", "session_id", "product_id", "matched_clicks", F.unix_micros("last_click_at").alias("last_click_us"), "search_query",
+        "searches", "clicks", "purchases", "stage", "revenue",
+    )

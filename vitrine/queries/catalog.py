@@ -236,30 +236,48 @@ def catalog_coverage(spark, sf):
     return catalog.coverage(bind.products(spark, sf, embedding=True))
 
 
-@query(
-    "category_extraction",
-    """, asked AS (SELECT DISTINCT tenant, query, list_filter(string_split(regexp_replace(lower(query), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM phrased_v),
+# Category phrases of the phrased queries: common table expressions, and the rows they give.
+_CATEGORY_CTES = """, asked AS (SELECT DISTINCT tenant, query, list_filter(string_split(regexp_replace(lower(query), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g'), ' '), lambda w: w <> '') AS w FROM phrased_v),
 grams AS (SELECT DISTINCT tenant, query, array_to_string(list_slice(w, i, i + n - 1), ' ') AS phrase
   FROM asked, (SELECT unnest(range(1, 5)) AS n), (SELECT unnest(range(1, 40)) AS i) WHERE i + n - 1 <= len(w)),
 vocab AS (SELECT tenant, trim(regexp_replace(lower(value), '[^\\p{L}\\p{M}\\p{N}]+', ' ', 'g')) AS phrase, min(value) AS category
   FROM (SELECT tenant, unnest(list_concat(category, soft_category)) AS value FROM products_v) GROUP BY 1, 2)
-SELECT tenant, query, category FROM (SELECT g.tenant, g.query, v.category,
+""".replace("\\\\", "\\")
+_CATEGORIES = """SELECT tenant, query, category FROM (SELECT g.tenant, g.query, v.category,
   row_number() OVER (PARTITION BY g.tenant, g.query ORDER BY length(g.phrase) DESC, g.phrase) AS n
-  FROM grams g JOIN vocab v USING (tenant, phrase)) WHERE n = 1""".replace("\\\\", "\\"),
-)
+  FROM grams g JOIN vocab v USING (tenant, phrase)) WHERE n = 1"""
+
+
+@query("category_extraction", _CATEGORY_CTES + _CATEGORIES)
 def category_extraction(spark, sf):
     return triggers.longest_category(bind.phrased_queries(spark, sf), bind.products(spark, sf))
 
 
+@query(
+    "understood_queries",
+    f"""{_CATEGORY_CTES}, found AS ({_CATEGORIES}),
+a AS (SELECT DISTINCT tenant, query, v, k FROM phrased_v),
+u AS (SELECT a.*, f.category, list_filter(string_split(regexp_replace(lower(coalesce(f.category, '')), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '') AS stop
+  FROM a LEFT JOIN found f USING (tenant, query))
+SELECT DISTINCT tenant, query, v IN (1, 2, 5, 7) AS hebrew, v IN (0, 6, 7) AS simple, CASE WHEN v IN (1, 7) THEN k + 50.0::DOUBLE END AS price,
+  CASE WHEN v IN (2, 4) THEN k + 50.0::DOUBLE END AS price_min, CASE v WHEN 2 THEN 200.0::DOUBLE WHEN 4 THEN 300.0::DOUBLE END AS price_max, category,
+  array_to_string(list_filter(string_split(lower(query), ' '), lambda w: w <> '' AND NOT list_contains(stop, w)), ' ') AS cleaned FROM u""",
+)
+def understood_queries(spark, sf):
+    """Script, complexity, price filters, category and cleaned text of every different query."""
+    rows = triggers.understood(bind.phrased_queries(spark, sf), bind.products(spark, sf))
+    return rows.select("tenant", "query", "hebrew", "simple", "filters.*", "category", "cleaned")
+
+
 @query(
     "json_export",
-    """SELECT id, length(b) AS chars, length(b) > 24000 AS cut FROM (SELECT id, CASE WHEN length(b) > 24000 THEN left(b, 24000) || '\n…[truncated — narrow the filters or lower the limit]' ELSE b END AS b
+    """SELECT id, length(b) AS chars, length(b) > 24000 AS cut, md5(b) AS body_md5 FROM (SELECT id, CASE WHEN length(b) > 24000 THEN left(b, 24000) || '\n…[truncated — narrow the filters or lower the limit]' ELSE b END AS b
   FROM (SELECT CAST(doc_id AS VARCHAR) AS id, '{"id":"' || doc_id || '","text":' || CAST(to_json(text) AS VARCHAR) || '}' AS b FROM documents))""".replace("\\n", "' || chr(10) || '"),
 )
 def json_export(spark, sf):
     docs = bind.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
     size = F.length("body").cast("long")
-    return chat.exported(docs, "id", "text").select("id", size.alias("chars"), (size > chat.EXPORT_CHARS).alias("cut"))
+    return chat.exported(docs, "id", "text").select("id", size.alias("chars"), (size > chat.EXPORT_CHARS).alias("cut"), F.md5("body").alias("body_md5"))
 
 
 @query(

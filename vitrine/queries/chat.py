@@ -33,6 +33,13 @@ SELECT key, hit_id, opened, row_number() OVER (PARTITION BY key, opened ORDER BY
   row_number() OVER (PARTITION BY key, opened ORDER BY hit_at, hit_id) <= {limit} AS allowed FROM n"""
 
 
+# Junk class of a text by its letters and words.
+_JUNK = """CASE WHEN letters = 0 THEN 'no_letters' WHEN letters / length(clean) < 0.35 THEN 'symbol_soup'
+  WHEN len(list_filter(range(1, length(clean) - 8), lambda i: substr(clean, i, 10) = repeat(substr(clean, i, 1), 10))) > 0 THEN 'repeated_char'
+  WHEN len(words) > 3 AND len(list_distinct(list_transform(words, lambda w: lower(w)))) = 1 THEN 'repeated_word'
+  WHEN len(list_filter(words, lambda w: length(w) > 60)) > 0 THEN 'long_token' END"""
+
+
 @query("sanitised_messages", "SELECT message_id, clean FROM clean_v")
 def sanitised_messages(spark, sf):
     rows = bind.messages(spark, sf).filter(text.utf16_length(F.col("text")) <= chat.REJECT_CHARS)
@@ -48,10 +55,7 @@ def oversize_messages(spark, sf):
     "message_junk",
     r""", l AS (SELECT message_id, clean, length(regexp_replace(clean, '[^\p{L}\p{N}]', '', 'g')) AS letters,
   list_filter(string_split(clean, ' '), lambda w: w <> '') AS words FROM clean_v WHERE clean <> '')
-SELECT message_id, CASE WHEN letters = 0 THEN 'no_letters' WHEN letters / length(clean) < 0.35 THEN 'symbol_soup'
-  WHEN len(list_filter(range(1, length(clean) - 8), lambda i: substr(clean, i, 10) = repeat(substr(clean, i, 1), 10))) > 0 THEN 'repeated_char'
-  WHEN len(words) > 3 AND len(list_distinct(list_transform(words, lambda w: lower(w)))) = 1 THEN 'repeated_word'
-  WHEN len(list_filter(words, lambda w: length(w) > 60)) > 0 THEN 'long_token' END AS junk FROM l""",
+SELECT message_id, """ + _JUNK + r""" AS junk FROM l""",
 )
 def message_junk(spark, sf):
     return chat.audited(bind.messages(spark, sf)).filter(text.has_content(F.col("text"))).select("message_id", "junk")
@@ -270,3 +274,23 @@ def request_quotas(spark, sf):
         F.col("event_id").alias("hit_id"), F.concat(F.lit("s"), (F.col("user_id") % 3).cast("string")).alias("tenant"), "session_id", "ts"
     )
     return quota.both_quotas(hits).select("hit_id", "shopper_count", "store_count", "scope", "retry_after_seconds")
+
+
+def _gate_twin() -> str:
+    u = "FROM chat_v WHERE role = 'user'"
+    at = "conversation_id || '-' || turn AS hit_id, epoch_us(ts) AS hit_at"
+    shopper, store = quota_twin(f"SELECT tenant || ':' || session_id AS key, {at} {u}", 40, 3600), quota_twin(f"SELECT tenant AS key, {at} {u}", 600, 600)
+    inner = lambda sql: "WITH " + sql.removeprefix(", ")
+    return f""", sh AS ({inner(shopper)}), st AS ({inner(store)}),
+l AS (SELECT message_id, clean, {_JUNK} AS junk, regexp_matches(clean, '{OVERRIDES}') AS override_attempt FROM (SELECT message_id, clean,
+  length(regexp_replace(clean, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, list_filter(string_split(clean, ' '), lambda w: w <> '') AS words FROM clean_v WHERE message_id LIKE 'c-%')),
+t AS (SELECT conversation_id, turn, row_number() OVER (PARTITION BY conversation_id ORDER BY turn) AS turn_number, conversation_id || '-' || turn AS hit_id {u})
+SELECT conversation_id, turn, turn_number, turn_number > 30 AS over_turns, l.message_id IS NULL AS oversize, CASE WHEN l.clean <> '' THEN junk END AS junk, override_attempt,
+  sh.count AS shopper_count, st.count AS store_count, CASE WHEN sh.count > 40 THEN 'shopper' WHEN st.count > 600 THEN 'store' END AS quota_scope,
+  CAST(CASE WHEN sh.count > 40 THEN 3600 WHEN st.count > 600 THEN 600 END AS INTEGER) AS retry_after_seconds
+FROM t JOIN sh USING (hit_id) JOIN st USING (hit_id) LEFT JOIN l ON l.message_id = 'c-' || t.hit_id"""
+
+
+@query("gated_turns", _gate_twin())
+def gated_turns(spark, sf):
+    return chat.gated_turns(bind.chat_turns(spark, sf)).drop("hit_id", "clean")

@@ -279,6 +279,32 @@ def hybrid_search(spark, sf):
     )
 
 
+@query(
+    "routed_search",
+    """, bl AS (SELECT tenant, price_min, price_max, category_wish, tag_wish, in_stock, sort, lim, min(-query_id) AS search_id, count(*) AS requests
+  FROM requests_v WHERE query_id % 9 = 0 AND query_id > 0 GROUP BY ALL),
+br AS (SELECT * FROM (SELECT bl.*, p.id, p.price, row_number() OVER (PARTITION BY search_id ORDER BY
+    CASE sort WHEN 'price_asc' THEN coalesce(price, -1e300) WHEN 'price_desc' THEN -coalesce(price, -1e300) END, p.id) - 1 AS rank
+  FROM bl JOIN shown_v p ON p.tenant = bl.tenant AND (p.lenient OR NOT bl.in_stock)
+  AND (price_min IS NULL OR price >= price_min) AND (price_max IS NULL OR price <= price_max)) WHERE rank < 80),
+bf AS (SELECT br.*, CASE WHEN lim = 0 THEN 12 ELSE greatest(1, least(25, lim)) END AS want, count(*) OVER (PARTITION BY search_id) AS total_matched,
+  row_number() OVER (PARTITION BY search_id ORDER BY CASE sort WHEN 'price_asc' THEN br.price WHEN 'price_desc' THEN -br.price END NULLS LAST, rank) AS position
+  FROM br JOIN products_v c ON c.id = br.id
+  WHERE (category_wish IS NULL OR contains(lower(c.type), category_wish) OR contains(category_wish, lower(c.type)))
+    AND (tag_wish IS NULL OR len(list_filter(c.soft_category, lambda x: contains(lower(x), lower(tag_wish)) OR contains(lower(tag_wish), lower(x)))) > 0))
+SELECT search_id, requests, h.tenant, h.query, h.in_stock, position, h.id, total_matched, least(total_matched, want) AS returned, round(h.rrf, 9) AS rrf,
+  coalesce(n, 0) AS lexical_matches, false AS browsed FROM hybrid_v h LEFT JOIN (SELECT tenant, in_stock, query, count(*) AS n FROM text_hits_v GROUP BY ALL) t
+  ON t.tenant = h.tenant AND t.in_stock = h.in_stock AND t.query = h.query WHERE position <= want
+UNION ALL SELECT search_id, requests, tenant, '', in_stock, position, id, total_matched, least(total_matched, want), NULL, NULL, true FROM bf WHERE position <= want""",
+)
+def routed_search(spark, sf):
+    """The whole log, and every ninth request a second time without its text."""
+    log = bind.requests(spark, sf)
+    blank = log.filter("query_id % 9 = 0 and query_id > 0").withColumn("query", F.lit("  ")).withColumn("query_id", -F.col("query_id"))
+    rows = search.routed_search(log.unionByName(blank), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf))
+    return rows.withColumn("rrf", F.round("rrf", 9)).withColumn("position", F.col("position").cast("long"))
+
+
 @query(
     "catalog_browse",
     """, b AS (SELECT tenant, price_min, price_max, in_stock, sort, min(query_id) AS search_id FROM requests_v GROUP BY ALL)

@@ -185,9 +185,9 @@ def search_preparation(spark, sf):
 
 @query("normalised_text")
 def normalised_text(spark, sf):
-    """NFKC form of every document, code points before and after."""
-    docs = bind.table(spark, sf, "documents")
-    return docs.select("doc_id", F.length("text").alias("before"), F.length(text.normalize_nfkc(F.col("text"))).alias("after"))
+    """NFKC form of every document, with its code points before and after."""
+    docs = bind.table(spark, sf, "documents").select("doc_id", F.length("text").alias("before"), text.normalize_nfkc(F.col("text")).alias("normalised"))
+    return docs.withColumn("after", F.length("normalised"))
 
 
 @query(

@@ -17,10 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from vitrine.llm.common import by_batch, lists
 from vitrine.session import checkpointed
@@ -41,8 +45,11 @@ def candidates(text: str) -> list[tuple[int, int, int, str]]:
     found = [(m.start(), m.end(), 0, m[2]) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [(m.start(), m.end(), 1, m[0]) for m in _ACCESS.finditer(text)]
     found += [(m.start(), m.end(), 2, m[0]) for m in _HEX.finditer(text)]
+    base = sorted((s, e) for s, e, _, _ in found)
+    begins, reach = [s for s, _ in base], list(accumulate((e for _, e in base), max))
     for m in _BARE.finditer(text):
-        if _MIXED.match(m[0]) and not any(s < m.end() and m.start() < e for s, e, k, _ in found if k < 3):
+        before = bisect_left(begins, m.end())  # base spans that start before the token ends
+        if _MIXED.match(m[0]) and not (before and reach[before - 1] > m.start()):
             found.append((m.start(), m.end(), 3, m[0]))
     return sorted(found, key=lambda f: (f[0], f[2]))
 
@@ -118,28 +125,31 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
 MASK = "[secret]"
 
 
+def masked(text: str, starts: list[int], ends: list[int]) -> str:
+    """The text with each span replaced by `MASK`, overlapping spans as one; spans come by start."""
+    out, at = [], 0
+    for start, end in zip(starts, ends, strict=True):
+        if start >= at:
+            out += [text[at:start], MASK]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+@F.pandas_udf(StringType())
+def _masked(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    return pd.Series([t if s is None else masked(t, s, e) for t, s, e in zip(text, starts, ends, strict=True)], dtype=object)
+
+
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with every live span of `scan` replaced by `MASK`; other texts, nulls included, stay as they are."""
     spans = (
         found.select("doc_id", "mark", F.filter("findings", lambda f: f["live"]).alias("_live")).where(F.size("_live") > 0)
         .dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_live")
     )
-
-    def cut(text: F.Column, live: F.Column) -> F.Column:
-        # from the last span to the first, so that earlier places stay valid; overlapping spans are masked as one
-        step = lambda state, f: F.when(
-            f["end"] <= state["edge"],
-            F.struct(F.concat(F.substring(state["text"], F.lit(1), f["start"]), F.lit(MASK), F.substring(state["text"], f["end"] + 1, F.length(state["text"]))).alias("text"), f["start"].alias("edge")),
-        ).otherwise(
-            F.struct(
-                F.concat(F.substring(state["text"], F.lit(1), F.least(f["start"], state["edge"])), F.substring(state["text"], state["edge"] + 1, F.length(state["text"]))).alias("text"),
-                F.least(f["start"], state["edge"]).alias("edge"),
-            )
-        )
-        return F.aggregate(F.reverse(live), F.struct(text.alias("text"), F.lit(2**31 - 1).alias("edge")), step)["text"]
-
     joined = docs.withColumn("_mark_of", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(
         spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark_of") == F.col("_mark")), "left"
     )
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut(F.col("text"), F.col("_live")))
+    # texts without spans do not go to Python
+    cut = _masked(F.when(F.col("_live").isNotNull(), F.col("text")), F.col("_live.start"), F.col("_live.end"))
+    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut)
     return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))

@@ -138,23 +138,27 @@ def effective_multiplier(hits: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def boosted(rows: DataFrame, boosts: DataFrame, soft_boosts: DataFrame, multipliers: DataFrame) -> DataFrame:
+def boosted(
+    rows: DataFrame, boosts: DataFrame, soft_boosts: DataFrame, multipliers: DataFrame, keys: list[str] = ["tenant", "query"], row_keys: list[str] = []
+) -> DataFrame:
     """Base score times the profile multiplier plus product and soft-category boosts.
 
-    ``rows(tenant, query, id, soft_category, rrf)``; the settings are keyed by tenant and query.
+    ``rows(*keys, *row_keys, id, soft_category, rrf)``; the settings are keyed by ``keys``, and ``row_keys`` tell
+    result lists of one setting apart.
     """
-    per_product = boosts.select("tenant", "query", F.col("key").alias("id"), F.col("value").alias("product_boost"))
+    per_product = boosts.select(*keys, F.col("key").alias("id"), F.col("value").alias("product_boost"))
+    result = [*keys, *row_keys, "id"]
     soft = (
-        rows.select("tenant", "query", "id", F.explode("soft_category").alias("key"))
-        .join(soft_boosts, ["tenant", "query", "key"])
-        .groupBy("tenant", "query", "id")
+        rows.select(*result, F.explode("soft_category").alias("key"))
+        .join(soft_boosts, [*keys, "key"])
+        .groupBy(*result)
         .agg(F.sum("value").alias("soft_boost"))
     )
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return (
-        rows.join(multipliers, ["tenant", "query"], "left")
-        .join(per_product, ["tenant", "query", "id"], "left")
-        .join(soft, ["tenant", "query", "id"], "left")
+        rows.join(multipliers, keys, "left")
+        .join(per_product, [*keys, "id"], "left")
+        .join(soft, result, "left")
         .withColumn(
             "boosted_score",
             F.col("rrf") * F.coalesce("multiplier", F.lit(1.0)) + zero(F.col("product_boost")) + zero(F.col("soft_boost")),

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates
-from vitrine.operators import experiments, sessions
+from vitrine.operators import experiments, fusion, sessions
+from vitrine.plans import merchandising, search
 from vitrine.queries.registry import VIEWS, query
+from vitrine.queries.search import text_index
 from vitrine.sources import bind
 
 VIEWS.update(
@@ -234,3 +236,47 @@ SELECT start_id AS old_session_id, arg_max(id, steps) AS session_id FROM chain G
 )
 def session_identity(spark, sf):
     return sessions.canonical_ids(sessions.alias_edges(bind.session_aliases(spark, sf)))
+
+
+def _fused(spark, sf):
+    """The fused pool of every different search."""
+    log = bind.requests(spark, sf)
+    asked = log.select("tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
+    hits = search.retrieve(asked, bind.products(spark, sf, embedding=True), bind.query_vectors(spark, sf), text_index(spark, sf))
+    part = lambda n: F.split_part("lane", F.lit("|"), F.lit(n))
+    return fusion.fuse(*hits).select(
+        part(1).alias("tenant"), (part(2) == "instock").alias("in_stock"), F.col("qid").alias("query"), "id", "rrf", "text_rank", "vector_rank"
+    )
+
+
+@query(
+    "merchandised_results",
+    """, h AS (SELECT DISTINCT tenant, query, epoch_us(ts) // 900000000 AS slot, rule_id FROM rule_hits_v),
+s AS (SELECT DISTINCT tenant, query, setting FROM (SELECT tenant, query, slot, string_agg(rule_id, ',' ORDER BY rule_id) AS setting FROM h GROUP BY tenant, query, slot)),
+m AS (SELECT s.tenant, s.query, s.setting, r.n, r.word, r.ttype FROM s JOIN rules_v r ON r.tenant = s.tenant AND list_contains(string_split(s.setting, ','), r.rule_id)),
+pb AS (SELECT tenant, query, setting, CAST(n % 5 AS VARCHAR) AS id, arg_max(n / 100, n) AS b FROM m GROUP BY tenant, query, setting, n % 5),
+sb AS (SELECT tenant, query, setting, word, arg_max(n / 100, n) AS b FROM m GROUP BY tenant, query, setting, word),
+mu AS (SELECT tenant, query, setting, product(1 + n / 100) AS f FROM m WHERE n % 2 = 0 GROUP BY tenant, query, setting),
+a AS (SELECT * FROM (SELECT m.*, p.id, row_number() OVER (PARTITION BY m.tenant, m.query, m.setting, m.n ORDER BY p.boost DESC, p.id) AS pin_position
+  FROM m JOIN shown_v p ON p.tenant = m.tenant AND (p.type = upper(m.ttype) OR list_contains(p.soft_category, m.word)) WHERE m.n % 6 = 0)
+  WHERE pin_position <= CASE WHEN n % 4 * 3 = 0 THEN 5 ELSE n % 4 * 3 END),
+l AS (SELECT m.*, p.id, CASE WHEN p.id = CAST(n AS VARCHAR) THEN 1 ELSE 2 END AS pin_position FROM m JOIN shown_v p ON p.tenant = m.tenant
+  AND p.id IN (CAST(n AS VARCHAR), CAST(n + 1 AS VARCHAR)) WHERE m.n % 5 = 0 AND m.word = m.query),
+b AS (SELECT *, 1 AS kind FROM a UNION ALL SELECT *, 0 FROM l),
+pins AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY tenant, query, setting ORDER BY n DESC, kind DESC) AS d FROM b) WHERE d = 1),
+x AS (SELECT p.tenant, p.in_stock, p.query, s.setting, p.id, p.text_rank, p.vector_rank,
+    round(p.rrf * coalesce(mu.f, 1) + coalesce(pb.b, 0) + coalesce(sb.b, 0), 9) AS boosted_score
+  FROM pool_v p JOIN s ON s.tenant = p.tenant AND s.query = lower(p.query) JOIN products_v c ON c.id = p.id
+  LEFT JOIN mu ON mu.tenant = s.tenant AND mu.query = s.query AND mu.setting = s.setting
+  LEFT JOIN pb ON pb.tenant = s.tenant AND pb.query = s.query AND pb.setting = s.setting AND pb.id = p.id
+  LEFT JOIN sb ON sb.tenant = s.tenant AND sb.query = s.query AND sb.setting = s.setting AND sb.word = split_part(c.name, ' ', 1)),
+y AS (SELECT g.tenant, g.in_stock, g.query, g.setting, q.id, q.pin_position FROM (SELECT DISTINCT tenant, in_stock, query, setting FROM x) g
+  JOIN pins q ON q.tenant = g.tenant AND q.query = lower(g.query) AND q.setting = g.setting)
+SELECT tenant, in_stock, query, setting, id, pin_position IS NOT NULL AS pinned, boosted_score, row_number() OVER (PARTITION BY tenant, in_stock, query, setting
+  ORDER BY pin_position NULLS LAST, boosted_score DESC NULLS LAST, text_rank NULLS LAST, vector_rank NULLS LAST, id) AS position
+FROM x FULL OUTER JOIN y USING (tenant, in_stock, query, setting, id)""",
+)
+def merchandised_results(spark, sf):
+    """Results of every search under each different set of rules that matched it."""
+    hits = _rule_hits(spark, sf).withColumn("label", F.col("rule_id"))
+    return merchandising.applied(_fused(spark, sf), bind.products(spark, sf), merchandising.settings(hits, "slot"))

@@ -120,7 +120,7 @@ def _searches(spark, sf):
 _STORED: dict[tuple[str, str], lexical.TextIndex] = {}
 
 
-def _index(spark, sf):
+def text_index(spark, sf):
     """The catalog's text index, built once per application and catalog and then read back."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _STORED:
@@ -160,7 +160,7 @@ def token_statistics(spark, sf):
     """SELECT DISTINCT tenant, field, id, left(token, n) AS prefix FROM postings_v, (SELECT unnest(range(2, 21)) AS n)
 WHERE n <= length(token) AND n <= CASE WHEN field IN ('name', 'description') THEN 20 ELSE 15 END""",
 )
-def prefix_index(spark, sf):
+def prefixtext_index(spark, sf):
     return lexical.prefixes(bind.products(spark, sf, description=True))
 
 
@@ -174,7 +174,7 @@ SELECT * FROM (SELECT g.tenant, g.prefix, g.id, CAST(row_number() OVER (PARTITIO
 )
 def prefix_suggestions(spark, sf):
     typed = bind.requests(spark, sf).select("tenant", F.substring(F.trim("query"), 1, 4).alias("query"))
-    rows = lexical.prefix_suggestions(typed, _index(spark, sf), bind.products(spark, sf))
+    rows = lexical.prefix_suggestions(typed, text_index(spark, sf), bind.products(spark, sf))
     return rows.select("tenant", "prefix", "id", F.col("position").cast("long").alias("position"))
 
 
@@ -186,12 +186,12 @@ USING (tenant, term)""",
 def fuzzy_tokens(spark, sf):
     words = _searches(spark, sf).select("tenant", F.explode(text.index_tokens(F.col("query"))).alias("token"))
     fuzzy_fields = F.col("field").isin(*lexical.FUZZY_WEIGHT)
-    return lexical.one_edit_pairs(words, _index(spark, sf).tokens.filter(fuzzy_fields))
+    return lexical.one_edit_pairs(words, text_index(spark, sf).tokens.filter(fuzzy_fields))
 
 
 @query("lexical_retrieval", "SELECT * FROM text_hits_v")
 def lexical_retrieval(spark, sf):
-    return _unlaned(fusion.text_hits(_searches(spark, sf), bind.products(spark, sf), _index(spark, sf)))
+    return _unlaned(fusion.text_hits(_searches(spark, sf), bind.products(spark, sf), text_index(spark, sf)))
 
 
 @query("vector_retrieval", "SELECT * FROM vector_hits_v")
@@ -253,7 +253,7 @@ def embedded_queries(spark, sf):
     "SELECT tenant, in_stock, query, id, round(rrf, 9) AS rrf, text_rank, vector_rank FROM pool_v",
 )
 def rank_fusion(spark, sf):
-    hits = search.retrieve(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf))
+    hits = search.retrieve(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf))
     pool = fusion.fuse(*hits)
     return pool.select(
         F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"),
@@ -271,7 +271,7 @@ def rank_fusion(spark, sf):
 )
 def hybrid_search(spark, sf):
     rows = search.hybrid_search(
-        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)
     )
     return rows.select(
         "search_id", "requests", "tenant", "query", "in_stock", F.col("position").cast("long").alias("position"), "id",
@@ -301,7 +301,7 @@ def routed_search(spark, sf):
     """The whole log, and every ninth request a second time without its text."""
     log = bind.requests(spark, sf)
     blank = log.filter("query_id % 9 = 0 and query_id > 0").withColumn("query", F.lit("  ")).withColumn("query_id", -F.col("query_id"))
-    rows = search.routed_search(log.unionByName(blank), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf))
+    rows = search.routed_search(log.unionByName(blank), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf))
     return rows.withColumn("rrf", F.round("rrf", 9)).withColumn("position", F.col("position").cast("long"))
 
 
@@ -355,12 +355,12 @@ SELECT * FROM (SELECT * FROM near UNION ALL SELECT * FROM far) WHERE position <=
 )
 def product_alternatives(spark, sf):
     products = _attributes(spark, sf)
-    return catalog.alternatives(products, products, _index(spark, sf))
+    return catalog.alternatives(products, products, text_index(spark, sf))
 
 
 def _ranked(spark, sf):
     return search.ranked_pool(
-        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)
     )
 
 
@@ -422,7 +422,7 @@ def top_soft_categories(spark, sf):
 )
 def second_tier(spark, sf):
     rows = search.expand_second_tier(
-        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)
     )
     return _asked(rows, "id", "similarity_boost", "rank", "batch")
 
@@ -433,7 +433,7 @@ def second_tier(spark, sf):
 )
 def second_tier_categories(spark, sf):
     rows = search.expand_second_tier(
-        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), _index(spark, sf)
+        bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)
     )
     mix = tiers.category_mix(rows, bind.products(spark, sf))
     return _asked(mix, "category", "products")

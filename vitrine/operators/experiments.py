@@ -112,6 +112,17 @@ def exposures(requests: DataFrame, experiments: DataFrame) -> DataFrame:
     )
 
 
+def exposed(requests: DataFrame, experiments: DataFrame) -> DataFrame:
+    """Every context of a session with the arms it was served: (tenant, query, session_id, slot, label, place, patch)."""
+    hits = matched(contexts(requests, "session_id"), experiments, "experiments", "targeting").select(
+        "tenant", "session_id", "query", "slot", "place", F.col("definition.id").alias("experiment_id")
+    )
+    arms = assigned(buckets(hits), arm_bounds(experiments)).select("tenant", "experiment_id", "session_id", "arm", "patch")
+    return hits.join(arms, ["tenant", "experiment_id", "session_id"]).select(
+        "tenant", "query", "session_id", "slot", F.concat_ws(":", "experiment_id", "arm").alias("label"), "place", "patch"
+    )
+
+
 def rule_hits(requests: DataFrame, rules: DataFrame) -> DataFrame:
     return matched(contexts(requests), rules, "rules", "condition").select(
         "tenant", "query", "slot", "requests", "place",

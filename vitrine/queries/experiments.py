@@ -280,3 +280,23 @@ def merchandised_results(spark, sf):
     """Results of every search under each different set of rules that matched it."""
     hits = _rule_hits(spark, sf).withColumn("label", F.col("rule_id"))
     return merchandising.applied(_fused(spark, sf), bind.products(spark, sf), merchandising.settings(hits, "slot"))
+
+
+@query(
+    "experiment_results",
+    """, h AS (SELECT DISTINCT e.tenant, e.query, e.session_id, epoch_us(e.ts) // 900000000 AS slot, 'exp' || e.n || ':' || a.arm AS label
+  FROM exp_hits_v e JOIN assigned_v a USING (tenant, n, session_id)),
+s AS (SELECT DISTINCT tenant, query, setting FROM (SELECT tenant, query, string_agg(label, ',' ORDER BY label) AS setting FROM h GROUP BY tenant, query, session_id, slot)),
+m AS (SELECT tenant, query, setting, CAST(substr(label, 4, 1) AS BIGINT) AS n FROM (SELECT *, unnest(string_split(setting, ',')) AS label FROM s) WHERE label NOT LIKE '%:control'),
+f AS (SELECT tenant, query, setting, product(1 + n / 10) AS f, max(n) + 1 AS red FROM m GROUP BY tenant, query, setting)
+SELECT p.tenant, p.in_stock, p.query, s.setting, p.id, false AS pinned, boosted_score, row_number() OVER (PARTITION BY p.tenant, p.in_stock, p.query, s.setting
+  ORDER BY boosted_score DESC, text_rank NULLS LAST, vector_rank NULLS LAST, p.id) AS position
+FROM pool_v p JOIN s ON s.tenant = p.tenant AND s.query = lower(p.query) JOIN products_v c ON c.id = p.id
+LEFT JOIN f ON f.tenant = s.tenant AND f.query = s.query AND f.setting = s.setting
+LEFT JOIN m ON m.tenant = s.tenant AND m.query = s.query AND m.setting = s.setting AND CAST(m.n AS VARCHAR) = p.id,
+LATERAL (SELECT round(p.rrf * coalesce(f.f, 1) + coalesce((m.n + 1) / 100, 0) + CASE WHEN split_part(c.name, ' ', 1) = 'red' THEN coalesce(f.red, 0) ELSE 0 END, 9) AS boosted_score)""",
+)
+def experiment_results(spark, sf):
+    """Results of every search under each different set of arms that a session was served."""
+    served = experiments.exposed(bind.requests(spark, sf), _experiments(spark, sf))
+    return merchandising.applied(_fused(spark, sf), bind.products(spark, sf), merchandising.settings(served, "session_id", "slot"))

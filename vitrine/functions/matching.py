@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
+from vitrine.functions import text
+
 # --- Fixed values -------------------------------------------------------------------------------
 HIGH_TEXT_MATCH = 20_000
 SEED_BONUS = 50_000
@@ -26,15 +28,15 @@ def similarity(a: Column, b: Column) -> Column:
 
 def name_match_bonus(name: Column, query: Column, cleaned: Column) -> Column:
     """How well a product name answers a query, from exact name down to a misspelt word."""
-    n = F.trim(F.lower(name))
-    q = F.trim(F.lower(query))
-    c = F.trim(F.lower(F.coalesce(cleaned, F.lit(""))))
-    words = F.split(q, r"\s+")
+    n = text.js_trim(F.lower(name))
+    q = text.js_trim(F.lower(query))
+    c = text.js_trim(F.lower(F.coalesce(cleaned, F.lit(""))))
+    words = F.split(q, f"{text.WHITESPACE}+")
     count = F.size(words)
     found = F.size(F.filter(words, lambda w: (F.length(w) > 2) & F.contains(n, w)))
     comparable = (F.length(q) >= 3) & (F.length(n) >= 3)
     near_word = F.exists(
-        F.split(n, r"\s+"), lambda w: (F.length(w) >= 3) & (similarity(q, w) >= 0.75)
+        F.split(n, f"{text.WHITESPACE}+"), lambda w: (F.length(w) >= 3) & (similarity(q, w) >= 0.75)
     )
     ladder = [
         ((F.coalesce(name, F.lit("")) == "") | (F.coalesce(query, F.lit("")) == ""), 0),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from vitrine.functions import text
+
 
 def visible(hidden: Column) -> Column:
     """Only an explicit true hides a product."""
@@ -42,11 +44,11 @@ def taxonomy_match(own: Column, wanted: Column) -> Column:
 
 def query_matches(mode: Column, patterns: Column, match_type: Column, query: Column) -> Column:
     """Targeting on the query text; without a query mode everything passes."""
-    q = F.trim(F.lower(F.coalesce(query, F.lit(""))))
+    q = text.js_trim(F.lower(F.coalesce(query, F.lit(""))))
     hit = F.exists(
         F.coalesce(patterns, F.array().cast("array<string>")),
-        lambda p: F.when(match_type == "exact", q == F.trim(F.lower(p))).otherwise(
-            F.contains(q, F.trim(F.lower(p)))
+        lambda p: F.when(match_type == "exact", q == text.js_trim(F.lower(p))).otherwise(
+            F.contains(q, text.js_trim(F.lower(p)))
         ),
     )
     return F.when(F.coalesce(mode, F.lit("")) == "queryMatch", (q != "") & hit).otherwise(F.lit(True))

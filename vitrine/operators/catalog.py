@@ -108,7 +108,7 @@ def ids_by_name_part(lookups: DataFrame, products: DataFrame) -> DataFrame:
     names and texts, never with pairs of them.
     """
     head = lambda c: F.substring(c, 1, 3)
-    wanted = lookups.select("tenant", F.lower(F.trim("name")).alias("part")).filter("part <> ''").distinct()
+    wanted = lookups.select("tenant", F.lower(text.js_trim("name")).alias("part")).filter("part <> ''").distinct()
     shapes = wanted.select("tenant", head("part").alias("head"), F.length("part").alias("size")).distinct()
     starts = (
         products.filter(predicates.visible(F.col("hidden")))
@@ -134,7 +134,7 @@ def look_up(lookups: DataFrame, products: DataFrame) -> DataFrame:
     ``lookups(tenant, product_id, name)``, either field may be NULL.
     """
     shown = products.filter(predicates.visible(F.col("hidden"))).select("tenant", "id")
-    distinct = lookups.select("tenant", "product_id", "name").distinct().withColumn("part", F.lower(F.trim("name")))
+    distinct = lookups.select("tenant", "product_id", "name").distinct().withColumn("part", F.lower(text.js_trim("name")))
     by_id = distinct.filter("product_id is not null").join(
         shown.withColumnRenamed("id", "product_id").distinct(), ["tenant", "product_id"], "left_semi"
     ).select("tenant", "product_id", "name", F.col("product_id").alias("found"))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine import schemas
-from vitrine.functions import matching, predicates
+from vitrine.functions import matching, predicates, text
 
 DEFAULT_ASSOCIATION_LIMIT = 5
 
@@ -31,7 +31,7 @@ def read_rules(rows: DataFrame) -> DataFrame:
 def contexts(requests: DataFrame, *keys: str) -> DataFrame:
     """Requests reduced to what targeting looks at. Zone offsets are multiples of 15 minutes."""
     slot = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 900) * 900)
-    return requests.groupBy("tenant", *keys, F.trim(F.lower("query")).alias("query"), slot.alias("slot")).agg(
+    return requests.groupBy("tenant", *keys, text.js_trim(F.lower("query")).alias("query"), slot.alias("slot")).agg(
         F.count("*").alias("requests"), F.min("ts").alias("first_ts")
     )
 

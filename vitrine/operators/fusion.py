@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitrine.functions import matching, predicates
+from vitrine.functions import matching, predicates, text
 from vitrine.operators import lexical, vector
 from vitrine.operators.blocks import blocked_top_k
 
@@ -20,7 +20,7 @@ def distinct_searches(requests: DataFrame) -> DataFrame:
     A query asked a million times is retrieved once. ``search_id`` is the first request's id.
     """
     keyed = requests.withColumn("in_stock", F.coalesce("in_stock", F.lit(True))).withColumn(
-        "query", F.trim("query")
+        "query", text.js_trim("query")
     )
     return keyed.groupBy("tenant", "query", *FILTERS).agg(
         F.min("query_id").alias("search_id"), F.count("*").alias("requests")
@@ -197,7 +197,7 @@ def pinned_first(results: DataFrame, pins: DataFrame) -> DataFrame:
 
 def clean_filters(log: DataFrame, lists: list[str], texts: list[str]) -> DataFrame:
     """Blank texts and blank list members removed; what is left empty becomes NULL."""
-    blank = lambda c: c.isNull() | (F.trim(c) == "")
+    blank = lambda c: c.isNull() | (text.js_trim(c) == "")
     tidy = {c: F.when(~blank(F.col(c)), F.col(c)) for c in texts}
     for c in lists:
         members = F.filter(c, lambda v: ~blank(v))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitrine.functions import predicates
+from vitrine.functions import predicates, text
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
 from vitrine.session import run_folder
@@ -132,7 +132,7 @@ def prefix_suggestions(queries: DataFrame, index: TextIndex, products: DataFrame
     order = F.when(F.col("field") == "name", 0).when(F.col("field") == "category", 1).when(
         F.col("field") == "soft_category", 2
     ).otherwise(3)
-    asked = queries.select("tenant", F.lower(F.trim("query")).alias("prefix")).distinct()
+    asked = queries.select("tenant", F.lower(text.js_trim("query")).alias("prefix")).distinct()
     grams = index.tokens.select("tenant", "field", "token", F.explode(_edge_grams(F.col("token"), _longest_prefix())).alias("prefix"))
     answering = grams.join(asked, ["tenant", "prefix"], "left_semi")
     visible = products.filter(predicates.visible(F.col("hidden"))).select("tenant", "id")

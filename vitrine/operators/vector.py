@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, functions as F
 from vitrine.operators.blocks import best_rows, blocked_top_k, ranked
 
 POOL = 80
+#: Queries scored at once against the items of a cell.
+TILE = 128
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -23,11 +25,14 @@ def cosine_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame
     """Cosine of every query with every item of a cell, best k per query (own id left out)."""
     ids = right["id"].to_numpy()
     order = np.argsort(np.argsort(ids))
-    scores = np.round(_unit(left["vector"]) @ _unit(right["vector"]).T, 6)
+    queries, items = _unit(left["vector"]), _unit(right["vector"]).T
     own = left["self_id"].to_numpy() if "self_id" in left else None
     rows = []
     for n, qid in enumerate(left["qid"]):
-        line = scores[n]
+        if n % TILE == 0:
+            # the scores of a whole cell would not fit beside those of other tasks
+            scores = np.round(queries[n : n + TILE] @ items, 6)
+        line = scores[n % TILE]
         if own is not None:
             line = np.where(ids == own[n], -np.inf, line)
         best = best_rows(line, order, k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from vitrine.functions import text
+
 from vitrine.operators import fusion, lexical, tiers
 from vitrine.session import checkpointed
 
@@ -24,13 +26,13 @@ def hybrid_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
     """
     # The different searches feed every branch below: reduced from the log once.
     searches = checkpointed(fusion.distinct_searches(requests))
-    text, vec = retrieve(searches, products, vectors, index)
+    lexical_hits, vector_hits = retrieve(searches, products, vectors, index)
     attributes = products.select(
         "tenant", "id", "price", "category", "soft_category", "stock_status_canonical", "stock_status_legacy"
     )
     lexical_matches = F.count("text_rank").over(Window.partitionBy("lane", "qid"))
     pool = (
-        fusion.fuse(text, vec)
+        fusion.fuse(lexical_hits, vector_hits)
         .select("*", lexical_matches.alias("lexical_matches"), F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"))
         .join(attributes, ["tenant", "id"])
         .drop("tenant")
@@ -56,7 +58,7 @@ def browse_search(requests: DataFrame, products: DataFrame) -> DataFrame:
 
 def routed_search(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
     """A whole request log: searches with text are retrieved, those without browse by their filters."""
-    blank = F.trim(F.coalesce("query", F.lit(""))) == ""
+    blank = text.js_trim(F.coalesce("query", F.lit(""))) == ""
     shared = ["search_id", "requests", "tenant", "query", "in_stock", "position", "id", "total_matched", "returned"]
     typed = hybrid_search(requests.filter(~blank), products, vectors, index)
     browsed = browse_search(requests.filter(blank).withColumn("query", F.lit("")), products)
@@ -69,11 +71,11 @@ def ranked_pool(requests: DataFrame, products: DataFrame, vectors: DataFrame, in
     """Fused pool of every different (stock switch, query), scored and ranked by tiers."""
     searches = checkpointed(
         requests.select(
-            "tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")
+            "tenant", text.js_trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")
         ).distinct()
     )
-    text, vec = retrieve(searches, products, vectors, index)
-    pool = fusion.fuse(text, vec).withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
+    lexical_hits, vector_hits = retrieve(searches, products, vectors, index)
+    pool = fusion.fuse(lexical_hits, vector_hits).withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
     return tiers.tiered(tiers.scored_pool(pool, products))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions import predicates
+from vitrine.functions import predicates, text
 from vitrine.operators import experiments, fusion, sessions
 from vitrine.plans import merchandising, search
 from vitrine.queries.registry import VIEWS, query
@@ -241,7 +241,7 @@ def session_identity(spark, sf):
 def _fused(spark, sf):
     """The fused pool of every different search."""
     log = bind.requests(spark, sf)
-    asked = log.select("tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
+    asked = log.select("tenant", text.js_trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
     hits = search.retrieve(asked, bind.products(spark, sf, embedding=True), bind.query_vectors(spark, sf), text_index(spark, sf))
     part = lambda n: F.split_part("lane", F.lit("|"), F.lit(n))
     return fusion.fuse(*hits).select(

@@ -113,7 +113,7 @@ LEFT JOIN tiered_v t USING (tenant, in_stock, query, id) WHERE t.rank IS NULL OR
 
 def _searches(spark, sf):
     log = bind.requests(spark, sf)
-    keyed = log.select("tenant", F.trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
+    keyed = log.select("tenant", text.js_trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
     return keyed.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
 
 
@@ -173,7 +173,7 @@ SELECT * FROM (SELECT g.tenant, g.prefix, g.id, CAST(row_number() OVER (PARTITIO
   FROM g JOIN shown_v s ON s.id = g.id) WHERE position <= 10""",
 )
 def prefix_suggestions(spark, sf):
-    typed = bind.requests(spark, sf).select("tenant", F.substring(F.trim("query"), 1, 4).alias("query"))
+    typed = bind.requests(spark, sf).select("tenant", F.substring(text.js_trim("query"), 1, 4).alias("query"))
     rows = lexical.prefix_suggestions(typed, text_index(spark, sf), bind.products(spark, sf))
     return rows.select("tenant", "prefix", "id", F.col("position").cast("long").alias("position"))
 

@@ -104,7 +104,9 @@ def stream_exposures(spark, sf):
     definitions = experiments.read_experiments(bind.experiments(spark, sf))
     bounds = experiments.arm_bounds(definitions)
     requests = bind.requests(spark, sf, _stream(spark, sf, "events"))
-    return jobs.to_table(jobs.first_exposures(requests, definitions, bounds), "exposures").drop("batch_number")
+    table = jobs.to_table(jobs.first_exposures(requests, definitions, bounds), "exposures")
+    first = F.min_by(F.struct("arm", "bucket"), "ts").alias("first")
+    return table.groupBy("tenant", "experiment_id", "session_id").agg(first).select("tenant", "experiment_id", "session_id", "first.*")
 
 
 @query(

@@ -11,7 +11,7 @@ from contextlib import contextmanager
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from vitrine.functions import matching
+from vitrine.functions import matching, text
 from vitrine.operators import chat, experiments
 from vitrine.session import run_folder
 
@@ -141,17 +141,18 @@ def feedback_counts(feedback: DataFrame) -> DataFrame:
 
 
 def first_exposures(requests: DataFrame, definitions: DataFrame, bounds: DataFrame, delay: str = "1 day") -> DataFrame:
-    """Requests to assigned exposures, the first per (experiment, session).
+    """Requests to assigned exposures, one per (experiment, session) and watermark delay, with its time.
 
-    ``definitions`` (one list per tenant) and ``bounds`` are static tables.
+    State ends with the watermark, so a session that comes back after the delay gives another row; readers
+    keep the earliest. ``definitions`` (one list per tenant) and ``bounds`` are static tables.
     """
-    slotted = requests.withWatermark("ts", delay).withColumn("slot", F.col("ts")).withColumn("query", F.trim(F.lower("query")))
+    slotted = requests.withWatermark("ts", delay).withColumn("slot", F.col("ts")).withColumn("query", text.js_trim(F.lower("query")))
     hits = experiments.matched(slotted, definitions, "experiments", "targeting").filter("session_id <> ''")
     keyed = hits.select(
         "tenant", "session_id", "query", "ts", F.col("definition.id").alias("experiment_id")
     ).withColumn("bucket", matching.traffic_bucket(F.col("experiment_id"), F.col("session_id")))
-    return experiments.assigned(keyed, bounds).dropDuplicates(["tenant", "experiment_id", "session_id"]).select(
-        "tenant", "experiment_id", "session_id", "arm", "bucket"
+    return experiments.assigned(keyed, bounds).dropDuplicatesWithinWatermark(["tenant", "experiment_id", "session_id"]).select(
+        "tenant", "experiment_id", "session_id", "arm", "bucket", "ts"
     )
 
 

@@ -28,6 +28,8 @@ def test_similarity(spark, a, b, expected):
         ("Old Red Wine", "red wine", "", 60000),
         ("Old Red Wine", "any red wine", "red wine", 50000),
         ("Old Red Wine", "red  wine", "", 40000),
+        ("Old Red Wine", "red\u00a0\u2003wine", "", 40000),
+        ("\u3000Red Wine", "red wine\ufeff", "", 100000),
         ("Old Red Wine Cellar", "cellar wine red", "", 15000),
         ("Old Red Wine Cellar", "old red tea pot", "", 12000),
         ("carmel", "carmal", "", 10000),

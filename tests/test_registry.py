@@ -16,7 +16,7 @@ COMPARED = [
     "arm_assignment", "effective_boosts", "association_pins", "order_clicks", "revenue_by_search", "running_cost",
     "engagement_counts", "daily_quota", "request_quotas", "stream_quota", "stream_exposures", "tiered_search",
     "pinned_results", "store_quota", "category_extraction", "stream_trigger_matches", "stream_order_clicks",
-    "routed_search", "attributed_orders", "gated_turns", "understood_queries", "json_export", "message_junk",
+    "routed_search", "merchandised_results", "experiment_results", "attributed_orders", "gated_turns", "understood_queries", "json_export", "message_junk",
 ]
 
 

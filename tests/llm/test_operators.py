@@ -391,6 +391,42 @@ def test_media(docs, container):
     assert len({r["media_sha256"] for r in found}) == len({r["payload_sha256"] for r in found})
 
 
+def test_media_are_stored(docs):
+    """Every document's image and tiles are in the stored table, and the digests are those of what it holds."""
+    import io
+
+    kept = media_columns.store_images(media_columns.text_images(docs))
+    assert kept.inputFiles()
+    want = Counter((i, text.encode()) for i, text in pairs_of(docs))
+    held, digests = Counter(), Counter()
+    for r in rows_of(kept):
+        image = media_columns.decode(bytes(r["media"]))
+        assert (np.concatenate([np.load(io.BytesIO(t)) for t in r["tiles"]]) == image).all()
+        held[(r["doc_id"], image.tobytes()[: r["n_bytes"]])] += 1
+        digests[(r["doc_id"], hashlib.sha256(r["media"]).hexdigest(), len(r["tiles"]), hashlib.sha256(b"".join(r["tiles"])).hexdigest())] += 1
+    assert held == want
+    assert bag(rows_of(media_columns.store_texts(docs)), "doc_id", "media_sha256", "n_tiles", "tiles_sha256") == digests
+
+
+def test_image_column(spark):
+    """Images of a given column, colour and broken ones too, and tiles one a row."""
+    import io
+
+    rng = np.random.default_rng(2)
+    grey, colour = rng.integers(0, 256, (1030, 2050), dtype=np.uint8), rng.integers(0, 256, (37, 53, 3), dtype=np.uint8)
+    rows = [("g", media_columns.encode_netpbm(grey)), ("c", media_columns.encode_bmp(colour)), ("broken", b"P5 9 9 255 x"), ("other", b"GIF89a"), ("none", None)]
+    kept = media_columns.store_images(spark.createDataFrame(rows, "name string, image binary"), "image")
+    tiles = rows_of(media_columns.tile_rows(kept, "image"))
+    assert Counter(r["name"] for r in tiles) == {"g": 6, "c": 1}
+    for r in tiles:
+        image = grey if r["name"] == "g" else colour
+        assert (np.load(io.BytesIO(r["npy"])) == image[r["top"] : r["top"] + 1024, r["left"] : r["left"] + 1024]).all()
+    found = {r["name"]: r for r in rows_of(media_columns.describe(kept, "image"))}
+    assert {n: r["feature"] for n, r in found.items()} == {"g": media_columns.difference_hash(grey), "c": media_columns.difference_hash(colour), "broken": None, "other": None, "none": None}
+    assert {n: r["payload_bytes"] for n, r in found.items()} == {"g": grey.size, "c": colour.size, "broken": None, "other": None, "none": None}
+    assert found["broken"]["media_bytes"] == 12 and found["none"]["media_sha256"] is None
+
+
 def test_images():
     rng = np.random.default_rng(1)
     grey, colour = rng.integers(0, 256, (37, 53), dtype=np.uint8), rng.integers(0, 256, (37, 53, 3), dtype=np.uint8)

@@ -53,10 +53,10 @@ def longs(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def stored(df: DataFrame, name: str = "llm") -> DataFrame:
+def stored(df: DataFrame, name: str = "llm", **options: object) -> DataFrame:
     """The rows as a table written to the folder that all executors share, which cuts lineage and survives them."""
     folder = run_folder(df.sparkSession, name)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

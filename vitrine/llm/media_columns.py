@@ -4,9 +4,12 @@
 `area_resize` averages by integral images, exactly also where target cells cut source pixels; `difference_hash` compares neighbouring
 cells of a 9 x 8 reduction; `npy_tiles` writes an array as NPY files of bounded size.
 
-`store_texts` keeps texts losslessly in such a column: the UTF-8 bytes, padded with zero bytes to a positive multiple of
-64, are the samples of a grey image 64 wide, stored as binary Netpbm (or BMP). Everything else is computed from the
-stored bytes, read back. A null or empty text is one row of zero samples; equal texts give equal values; each row is
+`store_images` takes any column of encoded images and writes it with the NPY tiles of each image to a table in the
+shared folder; `tile_rows` gives that table's tiles one a row, `describe` its digests and features, from the bytes read
+back. The table is left for the folder's owner to clear.
+
+`store_texts` keeps texts losslessly in such a table: the UTF-8 bytes, padded with zero bytes to a positive multiple of
+64, are the samples of a grey image 64 wide, stored as binary Netpbm (or BMP). A null or empty text is one row of zero samples; equal texts give equal values; each row is
 handled alone, so repeated rows, ties and empty tables need no care and memory is a few times the longest text.
 """
 
@@ -17,17 +20,22 @@ import io
 import re
 import struct
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from vitrine.llm.common import by_batch, texts
+from vitrine.llm.common import by_batch, stored, texts
 from vitrine.llm.wordtape import text_buffer
 
 WIDTH = 64
 #: Rows and columns of a tile at most.
 TILE = 1024
+#: Bytes of encoded images after which a batch is cut, and of a row group of the stored table.
+SLICE, ROW_GROUP = 16 << 20, 32 << 20
 
 _FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
 
@@ -139,38 +147,104 @@ def npy_tiles(image: np.ndarray, tile: int = TILE) -> list[bytes]:
     return out
 
 
-def _store(batch: pa.RecordBatch, container: str) -> pa.RecordBatch:
+def _encode(batch: pa.RecordBatch, container: str) -> pa.RecordBatch:
     data, offsets = text_buffer(batch.column("text"))
-    columns: list[list] = [[] for _ in range(9)]
+    sizes, media = [], []
     for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        n = hi - lo
-        samples = np.zeros(max(1, -(-n // WIDTH)) * WIDTH, np.uint8)
-        samples[:n] = data[lo:hi]
+        samples = np.zeros(max(1, -(-(hi - lo) // WIDTH)) * WIDTH, np.uint8)
+        samples[: hi - lo] = data[lo:hi]
         image = samples.reshape(-1, WIDTH)
-        stored = encode_bmp(image) if container == "bmp" else encode_netpbm(image)
-        image = decode(stored)
-        payload = image.tobytes()
-        tiles = hashlib.sha256()
-        small = npy_tiles(image)
-        for file in small:
-            tiles.update(file)
-        row = (
-            n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(),
-            difference_hash(image), len(small), tiles.hexdigest(),
-        )
-        for column, value in zip(columns, row, strict=True):
-            column.append(value)
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], _NAMES)
-
-
-_NAMES = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_tiles", "tiles_sha256"]
+        sizes.append(hi - lo)
+        media.append(encode_bmp(image) if container == "bmp" else encode_netpbm(image))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
 
-def store_texts(docs: DataFrame, container: str = "netpbm") -> DataFrame:
-    """One row per document; feature is the difference hash, tiles_sha256 the digest of all NPY tiles in order."""
-    return texts(docs).mapInArrow(
-        by_batch(lambda batch: _store(batch, container)),
-        "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-        "media_sha256 string, feature string, n_tiles long, tiles_sha256 string",
+def text_images(docs: DataFrame, container: str = "netpbm") -> DataFrame:
+    """doc_id, n_bytes and the text's image as encoded bytes, `media`."""
+    return texts(docs).mapInArrow(by_batch(lambda batch: _encode(batch, container)), "doc_id long, n_bytes long, media binary")
+
+
+def _decoded(data: bytes | None) -> np.ndarray | None:
+    try:
+        return None if data is None else decode(data)
+    except (ValueError, TypeError, IndexError, struct.error):
+        return None
+
+
+def _extended(image: str, used: list[str], fields: list[pa.Field], fn: Callable[..., tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with the columns `fields` of fn(image bytes, used columns) after those of the input but `used`; cut after each `SLICE` bytes of images."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(image)), 0).to_numpy())
+            edges = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                part = batch.slice(lo, hi - lo)
+                rows = list(map(fn, part.column(image).to_pylist(), *(part.column(c).to_pylist() for c in used)))
+                added = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), fields, strict=True)]
+                kept = [c for c in part.schema.names if c not in used]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *added], [*kept, *(f.name for f in fields)])
+
+    return run
+
+
+def _cut(data: bytes | None) -> tuple:
+    image = _decoded(data)
+    return (None, None, None) if image is None else (image.shape[0], image.shape[1], npy_tiles(image))
+
+
+_SHAPE = [pa.field("height", pa.int64()), pa.field("width", pa.int64()), pa.field("tiles", pa.list_(pa.binary()))]
+_DIGESTS = [
+    pa.field("payload_bytes", pa.int64()), pa.field("payload_sha256", pa.string()), pa.field("tail_crc32", pa.int64()), pa.field("media_bytes", pa.int64()),
+    pa.field("media_sha256", pa.string()), pa.field("feature", pa.string()), pa.field("n_tiles", pa.int64()), pa.field("tiles_sha256", pa.string()),
+]
+
+
+def store_images(images: DataFrame, image: str = "media") -> DataFrame:
+    """The rows with height, width and `tiles`, the NPY files of the decoded image, as a table in the shared folder, read back.
+
+    All columns stay, the encoded image among them. An image that is null or cannot be decoded has no tiles.
+    """
+    kinds = StructType([*images.schema, StructField("height", LongType()), StructField("width", LongType()), StructField("tiles", ArrayType(BinaryType()))])
+    cut = images.mapInArrow(_extended(image, [], _SHAPE, _cut), kinds)
+    return stored(cut, "media", compression="zstd", **{"parquet.block.size": ROW_GROUP})
+
+
+def tile_rows(kept: DataFrame, image: str = "media", tile: int = TILE) -> DataFrame:
+    """One row per NPY tile of a table of `store_images`, without the encoded image: tile (number from 0), top, left, npy."""
+    across = F.ceil(F.col("width") / tile)
+    return (
+        kept.drop(image).select("*", F.posexplode("tiles").alias("tile", "npy")).drop("tiles")
+        .withColumn("top", (F.floor(F.col("tile") / across) * tile).cast("long")).withColumn("left", (F.col("tile") % across * tile).cast("long"))
+    )
+
+
+def _digests(data: bytes | None, tiles: list[bytes] | None) -> tuple:
+    image = _decoded(data)
+    if image is None or tiles is None:
+        return (None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), None, None, None)
+    payload, files = image.tobytes(), hashlib.sha256()
+    for file in tiles:
+        files.update(file)
+    return (
+        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(),
+        difference_hash(image), len(tiles), files.hexdigest(),
     )
+
+
+def describe(kept: DataFrame, image: str = "media") -> DataFrame:
+    """Digests of a table of `store_images`, from the encoded images and tiles that it holds; its other columns come first.
+
+    feature is the difference hash, tiles_sha256 the digest of all NPY tiles in order.
+    """
+    others = list(kept.drop(image, "tiles", "height", "width").schema)
+    kinds = StructType(others + [StructField(f.name, LongType() if f.type == pa.int64() else StringType()) for f in _DIGESTS])
+    given = kept.select(*(f.name for f in others), image, "tiles")
+    return given.mapInArrow(_extended(image, [image, "tiles"], _DIGESTS, lambda data, _, tiles: _digests(data, tiles)), kinds)
+
+
+def store_texts(docs: DataFrame, container: str = "netpbm") -> DataFrame:
+    """One row per document, of what was stored and read back: doc_id, n_bytes and the columns of `describe`."""
+    return describe(store_images(text_images(docs, container)))

@@ -1,12 +1,17 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Candidates are found in every whole text: assignments of secrets, access keys, long hexadecimal runs, and bare tokens
-of 20 to 200 characters that mix upper case, lower case and digits. Each candidate's value is hashed; Spark counts for each hash
-the distinct repositories and owners that hold it. A value of at most `OWNER_LIMIT` owner is owner-specific and taken
-for live; one that more owners share is a widely copied example. The base kinds are always reported, with that class;
-a bare token, which has no name beside it to tell it is a secret, is reported only if it is owner-specific.
+of 20 characters or more that mix upper case, lower case and digits. Each candidate's value is hashed; Spark counts for each hash
+the distinct repositories, owners, texts and passages (the value with `AROUND` characters on either side) that hold it.
 
-Counts go through (hash, owner, repository) and (hash, owner) to the hash, each summed on the map side first, so a
+Copies of one text are one holder, whoever owns them: a value's spread is the number of its owners, or one and
+the number of texts that the owner of most of them does not hold, whichever is less. A value of spread `OWNER_LIMIT` at most is
+owner-specific and taken for live. So is one of more owners in up to `HANDFUL` different texts if a name or form tells
+that it is a secret (the base kinds), or if it stands in one and the same passage everywhere, copied along with it. The
+others are widely copied examples. The base kinds are always reported, with that class; a bare token, which has no name
+beside it to tell it is a secret, is reported only if it is live.
+
+Counts go through (hash, owner, text) and (hash, text) to the hash, each summed on the map side first, so a
 value held by a third of all rows stays small. For the given table an owner is a source and a repository is a document.
 
 Null text: no spans. A null owner or repository counts as one unnamed one. Repeated rows are the same repository, and
@@ -32,11 +37,15 @@ from vitrine.session import checkpointed
 KINDS = ["assign", "access", "hex", "bare"]
 #: Owners that an owner-specific value has at most.
 OWNER_LIMIT = 1
+#: Different texts up to which a value of several owners is not yet widely copied.
+HANDFUL = 8
+#: Characters on either side of a value that make its passage.
+AROUND = 32
 
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,200}(?![A-Za-z0-9+/_-])")
+_BARE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{20,}(?![A-Za-z0-9+/_-])")
 _MIXED = re.compile(r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])", re.S)
 
 
@@ -59,19 +68,20 @@ def _joined(spans: list[tuple[int, int, int, str]]) -> str:
 
 
 def _find(batch: pa.RecordBatch) -> pa.RecordBatch:
-    counts, digests, found, sizes = [], [], [], []
+    counts, digests, found, sizes, passages = [], [], [], [], []
     for text in batch.column("text").to_pylist():
         own = candidates(text)
         base = [f for f in own if f[2] < 3]
         counts.append([sum(f[2] == k for f in base) for k in range(3)])
         digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
         found += own
+        passages += [hashlib.sha256(text[max(0, s - AROUND) : e + AROUND].encode()).digest()[:16] for s, e, _, _ in own]
         sizes.append(len(own))
     counts = np.array(counts, np.int64)
     starts, ends, kinds, values = zip(*found, strict=True) if found else ((), (), (), ())
     struct = pa.StructArray.from_arrays(
-        [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.int32()), pa.array([hashlib.sha256(v.encode()).digest()[:16] for v in values], pa.binary())],
-        ["start", "end", "kind", "hash"],
+        [pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(kinds, pa.int32()), pa.array([hashlib.sha256(v.encode()).digest()[:16] for v in values], pa.binary()), pa.array(passages, pa.binary())],
+        ["start", "end", "kind", "hash", "passage"],
     )
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), batch.column("mark"), batch.column("owner"), batch.column("repository"), *(pa.array(counts[:, k]) for k in range(3)), pa.array(digests), lists(struct, np.array(sizes))],
@@ -80,11 +90,16 @@ def _find(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, n_repositories, n_owners) of rows (hash, owner, repository)."""
-    return (
-        found.groupBy("hash", "owner", "repository").agg(F.lit(1).alias("one"))
-        .groupBy("hash", "owner").agg(F.count("*").alias("n"))
-        .groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
+    """(hash, n_repositories, n_owners, n_texts, n_passages, spread) of rows (hash, owner, repository, mark, passage)."""
+    number = lambda c: found.groupBy("hash", c).agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias(f"n_{c}s"))
+    by_owner = (
+        found.groupBy("hash", "owner").agg(F.count_distinct("repository").alias("repositories"), F.count_distinct("mark").alias("texts"))
+        .groupBy("hash").agg(F.sum("repositories").alias("n_repositories"), F.count("*").alias("n_owners"), F.max("texts").alias("most"))
+    )
+    # the owner of the most texts, and one more for each text that this one does not hold
+    spread = F.least("n_owners", F.col("n_texts") - F.col("most") + 1).alias("spread")
+    return by_owner.join(number("mark").withColumnRenamed("n_marks", "n_texts"), "hash").join(number("passage"), "hash").select(
+        "hash", "n_repositories", "n_owners", "n_texts", "n_passages", spread
     )
 
 
@@ -100,12 +115,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
     rows = source.mapInArrow(
         by_batch(_find),
         "doc_id long, mark long, owner string, repository string, n_assign long, n_access long, n_hex long, base_sha256 string, "
-        "found array<struct<start:int,end:int,kind:int,hash:binary>>",
+        "found array<struct<start:int,end:int,kind:int,hash:binary,passage:binary>>",
     )
     # small rows without the text; kept so that texts are scanned once and each row has a lasting number
     rows = checkpointed(rows).withColumn("row", F.monotonically_increasing_id())
-    each = rows.select("row", "owner", "repository", F.explode("found").alias("f")).select("row", "owner", "repository", "f.*")
-    live = F.col("n_owners") <= owner_limit
+    each = rows.select("row", "mark", "owner", "repository", F.explode("found").alias("f")).select("row", "mark", "owner", "repository", "f.*")
+    told = (F.col("kind") < 3) | (F.col("n_passages") == 1)
+    live = (F.col("spread") <= owner_limit) | (told & (F.col("n_texts") <= HANDFUL))
     reported = (
         each.select("row", "start", "end", "kind", "hash").join(ownership(each), "hash").where((F.col("kind") < 3) | live)
         .groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "n_owners", "n_repositories", live.alias("live")))).alias("findings"))

@@ -396,6 +396,21 @@ def test_contamination(docs, spark):
     assert decontamination.clean(docs, benchmark).count() == sum(n for k, n in want.items() if not k[5])
 
 
+def test_whole_licence_texts(spark):
+    """Full texts as they stand in repositories: wrapped, titled, with a copyright line and bullets or numbers."""
+    import textwrap
+
+    rows, want = [], {}
+    for k, (name, titles, text) in enumerate(licence_digest.FULL):
+        wrapped = "\n\n".join(textwrap.fill(p, 72) for p in text.split("\n\n"))
+        for n, form in enumerate((wrapped, f"{titles[0]}\n\nCopyright (c) 2021, A B\n\n{wrapped}\n", wrapped.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), wrapped + " and more")):
+            rows.append((10 * k + n, form))
+            want[10 * k + n] = None if n == 3 else name
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licence_digest.scan(docs, licence_digest.known_texts(spark)).collect()
+    assert {r.doc_id: r.text_licence for r in found} == want and len(found) == len(rows)
+
+
 @pytest.mark.parametrize("container", ["netpbm", "bmp"])
 def test_media(docs, container):
     want = Counter()

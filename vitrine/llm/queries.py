@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vitrine.llm import (
+    block_rotation,
     chosen_path,
     context_tree,
     decontamination,
@@ -15,6 +16,7 @@ from vitrine.llm import (
     language_mixture,
     licence_digest,
     media_columns,
+    merkle_manifest,
     rlz_dedup,
     secret_ownership,
 )
@@ -78,6 +80,22 @@ SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN listed USING (r)"""
 
+_HEADS = ", ".join(f"CAST('0x' || substr(hash, {8 * i + 1}, 8) AS UBIGINT) AS h{i + 1}" for i in range(4))
+_OUTPUTS = (
+    "CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle "
+    "ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END"
+)
+ROTATION_TWIN = f"""
+WITH d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, sha256('{block_rotation.SEED}:' || coalesce(CAST(CAST(doc_id AS BIGINT) AS VARCHAR), '')) AS hash FROM documents),
+u AS (SELECT doc_id, text, {_HEADS}, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines FROM d),
+c AS (SELECT *, len(lines) AS n, least(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS a, greatest(h1 % (len(lines) + 1), h2 % (len(lines) + 1)) AS b FROM u),
+p AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= {block_rotation.RATE} THEN 'plain'
+    WHEN h4 % 100 < {block_rotation.SPM} THEN 'spm' ELSE 'psm' END AS form,
+  array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256({_OUTPUTS}) AS output_sha256, sha256(text) AS restored_sha256
+FROM p"""
+
 
 @query("op1_secret_ownership")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,3 +150,19 @@ def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_media_columns")
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.store_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op11_block_rotation", ROTATION_TWIN)
+def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = block_rotation.restore(block_rotation.transform(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+@query("op12_merkle_manifest")
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = merkle_manifest.manifest(merkle_manifest.document_leaves(table(spark, sf_dir, "documents")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified", "n_copied"
+    )

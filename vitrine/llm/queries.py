@@ -19,6 +19,7 @@ from vitrine.llm import (
     merkle_manifest,
     rlz_dedup,
     secret_ownership,
+    suffix_dedup,
 )
 from vitrine.llm.common import LOWER, UPPER, id_remainder, table
 
@@ -166,3 +167,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "doc_id", "leaf", "subroot", "root", F.sha2(F.concat_ws("", "proof"), 256).alias("proof_sha256"), "folded_root", "verified", "n_copied"
     )
+
+
+@query("op13_suffix_dedup")
+def suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("spans")

@@ -19,7 +19,7 @@ side, or a join that Spark splits; no task holds all rows of an anchor. Words, w
 anchor together with a block or window hash.
 
 Null text: no words. A null id is neither smaller nor larger than any: nothing is removed there, nor because of it. Rows that repeat an id are not
-smaller than each other, so they stay alike; each gives its row.
+smaller than each other, so they stay alike; each gives its row. Matches belong to an id and a text, so rows with one id and different texts do not share them.
 """
 
 from __future__ import annotations
@@ -90,7 +90,7 @@ def _index(window: int, anchor: int):
             parts.append((least, content, start, n))
         least, content, start, n = (np.concatenate(p) for p in zip(*parts, strict=True))
         struct = pa.StructArray.from_arrays([longs(least), longs(content), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], ["anchor", "content", "start", "n"])
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(struct, np.concatenate(counts))], ["doc_id", "blocks"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), lists(struct, np.concatenate(counts))], ["doc_id", "key", "blocks"])
 
     return by_batch(run)
 
@@ -110,15 +110,15 @@ def _windows(window: int):
             flat = own.flatten()
             text = np.repeat(np.arange(hi - lo), n_own)
             start, n = flat.field("start").to_numpy().astype(np.int64), flat.field("n").to_numpy().astype(np.int64)
-            ok = start + n - 1 + window <= np.diff(words.first)[text]  # else the list is of another text with the same id
-            text, start, n, least = text[ok], start[ok], n[ok], flat.field("anchor").to_numpy()[ok]
+            least = flat.field("anchor").to_numpy()
             at = ranges(words.first[:-1][text] + start, n)
             parts.append((np.repeat(lo + text, n), np.repeat(least, n), Sums(words.hashes()).of(at, at + window).view(np.int64), at - words.first[:-1][np.repeat(text, n)]))
         if not parts:
             return None
         text, least, content, start = (np.concatenate(p) for p in zip(*parts, strict=True))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id").take(pa.array(text)), pa.array(least), pa.array(content), pa.array(start.astype(np.int32))], ["doc_id", "anchor", "content", "start"]
+            [batch.column(c).take(pa.array(text)) for c in ("doc_id", "key")] + [pa.array(least), pa.array(content), pa.array(start.astype(np.int32))],
+            ["doc_id", "key", "anchor", "content", "start"],
         )
 
     return by_batch(run)
@@ -171,9 +171,10 @@ _BLOCK = "struct<anchor:long,content:long,start:int,n:int>"
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), factors (word ranges cut out)."""
-    source = texts(docs)
-    indexed = stored(source.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, anchor), f"doc_id long, blocks array<{_BLOCK}>"))
-    blocks = indexed.select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+    # the key of a row: its id and text; rows without an id match no list, and are not all dealt to one task
+    source = texts(docs).withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.xxhash64("text")))
+    indexed = stored(source.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, anchor), f"doc_id long, key string, blocks array<{_BLOCK}>"))
+    blocks = indexed.select("doc_id", "key", F.explode("blocks").alias("b")).select("doc_id", "key", "b.*")
     # looked-up tables are written first: a join of two exchanges is one whose hot keys Spark can split
     anchors = stored(
         blocks.groupBy("anchor")
@@ -181,24 +182,21 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
         .where(F.col("first") < F.col("last")).select("anchor", "first", (F.col("low") != F.col("high")).alias("varied"))
     )
     shared = stored(blocks.join(anchors, "anchor"))
-    whole = shared.where(~F.col("varied") & (F.col("doc_id") > F.col("first"))).select("doc_id", "start", "n")
+    whole = shared.where(~F.col("varied") & (F.col("doc_id") > F.col("first"))).select("key", "start", "n")
     varied = shared.where("varied").drop("first", "varied")
     firsts = stored(varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
     known = varied.join(firsts, ["anchor", "content"])
-    equal = known.where(F.col("doc_id") > F.col("first")).select("doc_id", "start", "n")
-    edges = known.where(F.col("doc_id") == F.col("first")).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("blocks"))
-    # rows without an id match no list, and are not all dealt to one task
-    dealt = source.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("text"))))
-    keyed = lambda df: df.select(F.col("doc_id").cast("string").alias("_key"), df.columns[1])
+    equal = known.where(F.col("doc_id") > F.col("first")).select("key", "start", "n")
+    edges = known.where(F.col("doc_id") == F.col("first")).groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("blocks"))
     windows = stored(
-        dealt.join(keyed(edges), "_key", "left").select("doc_id", "text", F.coalesce("blocks", F.array().cast("array<struct<anchor:long,start:int,n:int>>")).alias("blocks"))
-        .mapInArrow(_windows(window), "doc_id long, anchor long, content long, start int")
+        source.join(edges, "key", "left").select("doc_id", "key", "text", F.coalesce("blocks", F.array().cast("array<struct<anchor:long,start:int,n:int>>")).alias("blocks"))
+        .mapInArrow(_windows(window), "doc_id long, key string, anchor long, content long, start int")
     )
     earliest = stored(windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
-    single = windows.join(earliest, ["anchor", "content"]).where(F.col("doc_id") > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"))
-    matched = whole.unionByName(equal).unionByName(single).groupBy("doc_id").agg(F.collect_set(F.struct("start", "n")).alias("matched"))
+    single = windows.join(earliest, ["anchor", "content"]).where(F.col("doc_id") > F.col("first")).select("key", "start", F.lit(1).alias("n"))
+    matched = whole.unionByName(equal).unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("matched"))
     return (
-        dealt.join(keyed(matched), "_key", "left")
+        source.join(matched, "key", "left")
         .select("doc_id", "text", F.coalesce("matched", F.array().cast("array<struct<start:int,n:int>>")).alias("matched"))
         .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<word_start:long,word_end:long>>")
     )

@@ -12,7 +12,7 @@ less than k open pieces a class.
 
 Ids are those of the `tokenizers` file. Where a text has only characters on which both libraries cut
 alike, the same vocabulary is applied by `tiktoken`, which is several times faster (tests compare them); other
-texts go to `tokenizers` itself. Special tokens' names in a text are ordinary text.
+texts, and those with a very long run of blanks or of other characters, go to `tokenizers` itself. Special tokens' names in a text are ordinary text.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ CAPACITY = 2048
 END_ID = 1
 #: Anything but characters of Latin blocks and common controls.
 _UNUSUAL = re.compile(r"[^\x00-\x1b\x20-\x84\x86-ɏ]")
+#: Runs on which the fast form's pattern would nest too deeply.
+_LONG_RUN = re.compile(r"\s{4096}|\S{65536}")
 
 
 @functools.cache
@@ -53,7 +55,7 @@ def encoders(vocabulary: str, ranks: str):
 
 def token_ids(text: str, vocabulary: str, ranks: str) -> np.ndarray:
     exact, fast = encoders(vocabulary, ranks)
-    if _UNUSUAL.search(text):
+    if _UNUSUAL.search(text) or _LONG_RUN.search(text):
         return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4")
     return np.array(fast.encode_ordinary(text), "<u4")
 

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitrine.llm.common import by_batch, groups, stored, texts
+from vitrine.llm.common import by_batch, groups, stored, texts, whole_rows
 from vitrine.llm.wordtape import mixed, ranges, rolling, slices, tape
 
 SHINGLE = 5
@@ -286,15 +286,18 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), bucket: int =
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document of the smallest id of each class, with all its columns; of rows that repeat it, one. Texts without words all stay."""
+    """The document of the smallest id of each class, with all its columns. Texts without words all stay.
+
+    Of rows that repeat its id and text, the one stays whose other columns come first as JSON text.
+    """
     found = classes(docs).where("class_key is not null")
-    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k.mark").alias("_mark"))
+    kept = found.groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")).alias("k")).select(F.col("k.doc_id").alias("hit_id"), F.col("k.mark").alias("hit_mark"))
     text = F.coalesce(F.col("text"), F.lit(""))
     worded = text.rlike(r"[^\x20\x09-\x0D]")
-    marked = docs.where(worded).withColumns({"_own_id": F.col("doc_id").cast("long"), "_own_mark": F.xxhash64(text)})
-    repeat = F.row_number().over(Window.partitionBy("_own_id", "_own_mark").orderBy("_own_mark"))
+    others = F.to_json(F.struct(*(F.col("row")[c].alias(c) for c in docs.columns if c not in ("doc_id", "text"))))
+    repeat = F.row_number().over(Window.partitionBy("own_id", "own_mark").orderBy("others"))
     first = (
-        marked.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_mark") == F.col("_mark")), "left_semi")
-        .withColumn("_repeat", repeat).where("_repeat = 1")
+        whole_rows(docs.where(worded)).join(kept, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_mark") == F.col("hit_mark")), "left_semi")
+        .withColumn("others", others).withColumn("repeat", repeat).where("repeat = 1")
     )
-    return first.select(*docs.columns).unionByName(docs.where(~worded))
+    return first.select("row.*").unionByName(docs.where(~worded))

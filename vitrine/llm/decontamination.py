@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.llm.common import by_batch, lists, texts
+from vitrine.llm.common import by_batch, lists, texts, whole_rows
 from vitrine.llm.wordtape import text_buffer
 
 WIDTH = 10
@@ -169,9 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, blo
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no window occurs, with all their columns and repeats."""
+    """The documents in which no window occurs, with all their columns, whatever these are called, and repeats."""
     found = decontaminate(docs, benchmark)
-    hits = found.where("contaminated").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct()
-    return docs.join(
-        hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_mark")), "left_anti"
-    )
+    hits = found.where("contaminated").select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark")).distinct()
+    return whole_rows(docs).join(hits, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_mark") == F.col("hit_mark")), "left_anti").select("row.*")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StringType
 
-from vitrine.llm.common import by_batch, lists
+from vitrine.llm.common import by_batch, lists, whole_rows
 from vitrine.session import checkpointed
 
 KINDS = ["assign", "access", "hex", "bare"]
@@ -159,13 +159,12 @@ def _masked(text: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
 def redact(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with every live span of `scan` replaced by `MASK`; other texts, nulls included, stay as they are."""
     spans = (
-        found.select("doc_id", "mark", F.filter("findings", lambda f: f["live"]).alias("_live")).where(F.size("_live") > 0)
-        .dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "_live")
-    )
-    joined = docs.withColumn("_mark_of", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))).join(
-        spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_mark_of") == F.col("_mark")), "left"
+        found.select("doc_id", "mark", F.filter("findings", lambda f: f["live"]).alias("live")).where(F.size("live") > 0)
+        .dropDuplicates(["doc_id", "mark"]).select(F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark"), "live")
     )
+    joined = whole_rows(docs).join(spans, F.col("own_id").eqNullSafe(F.col("hit_id")) & (F.col("own_mark") == F.col("hit_mark")), "left")
     # texts without spans do not go to Python
-    cut = _masked(F.when(F.col("_live").isNotNull(), F.col("text")), F.col("_live.start"), F.col("_live.end"))
-    text = F.when(F.col("_live").isNull(), F.col("text")).otherwise(cut)
-    return joined.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    own = F.col("row")["text"]
+    cut = _masked(F.when(F.col("live").isNotNull(), own), F.col("live.start"), F.col("live.end"))
+    text = F.when(F.col("live").isNull(), own).otherwise(cut)
+    return joined.select(*(text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))

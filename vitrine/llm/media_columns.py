@@ -37,6 +37,7 @@ TILE = 1024
 #: Bytes of encoded images after which a batch is cut, and of a row group of the stored table.
 SLICE, ROW_GROUP = 16 << 20, 32 << 20
 
+_KINDS = (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6")
 _FIELD = re.compile(rb"(?:\s|#[^\n\r]*[\n\r])*([0-9]+)")
 
 
@@ -58,6 +59,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     width, height = fields[:2]
     depth = 3 if kind in (b"P3", b"P6") else 1
     n = width * height * depth
+    if n > 8 * len(data) or kind not in _KINDS:  # a bit a sample at least
+        raise ValueError("no image of the stated size")
     if kind == b"P1":  # digits may touch; 1 is black
         body = re.sub(rb"#[^\n\r]*", b"", data[at:])
         samples = 255 * (1 - (np.frombuffer(re.sub(rb"\s", b"", body)[:n], np.uint8) - 48))
@@ -66,6 +69,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         samples = 255 * (1 - bits[:, :width]).ravel()
     else:
         most = fields[2]
+        if not 0 < most < 65536:
+            raise ValueError("no largest sample")
         if kind in (b"P2", b"P3"):
             samples = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], np.int64)
         elif kind in (b"P5", b"P6"):
@@ -98,6 +103,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     at, size, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed or bits not in (8, 24, 32):
         raise ValueError("only uncompressed BMP of 8, 24 or 32 bits")
+    if width <= 0 or width * abs(height) > len(data):
+        raise ValueError("no image of the stated size")
     stride = -(-width * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * abs(height), at).reshape(abs(height), stride)[:, : width * bits // 8]
     if height > 0:
@@ -165,10 +172,12 @@ def text_images(docs: DataFrame, container: str = "netpbm") -> DataFrame:
 
 
 def _decoded(data: bytes | None) -> np.ndarray | None:
+    """The image, or none where the bytes are none, are broken, or hold no pixel."""
     try:
-        return None if data is None else decode(data)
-    except (ValueError, TypeError, IndexError, struct.error):
+        image = None if data is None else decode(data)
+    except (ValueError, TypeError, IndexError, OverflowError, ZeroDivisionError, struct.error):
         return None
+    return image if image is not None and image.size else None
 
 
 def _extended(image: str, used: list[str], fields: list[pa.Field], fn: Callable[..., tuple]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -202,11 +211,20 @@ _DIGESTS = [
 ]
 
 
+def _without(rows: DataFrame, image: str, names: list[str]) -> DataFrame:
+    """The rows without columns of names that an operator gives to its own."""
+    if image in names:
+        raise ValueError(f"an image column may not be called {image}")
+    return rows.drop(*names)
+
+
 def store_images(images: DataFrame, image: str = "media") -> DataFrame:
     """The rows with height, width and `tiles`, the NPY files of the decoded image, as a table in the shared folder, read back.
 
-    All columns stay, the encoded image among them. An image that is null or cannot be decoded has no tiles.
+    All columns stay, the encoded image among them; those of the names height, width and tiles are replaced. An image
+    that is null, has no pixel or cannot be decoded has no tiles.
     """
+    images = _without(images, image, [f.name for f in _SHAPE])
     kinds = StructType([*images.schema, StructField("height", LongType()), StructField("width", LongType()), StructField("tiles", ArrayType(BinaryType()))])
     cut = images.mapInArrow(_extended(image, [], _SHAPE, _cut), kinds)
     return stored(cut, "media", compression="zstd", **{"parquet.block.size": ROW_GROUP})
@@ -216,7 +234,7 @@ def tile_rows(kept: DataFrame, image: str = "media", tile: int = TILE) -> DataFr
     """One row per NPY tile of a table of `store_images`, without the encoded image: tile (number from 0), top, left, npy."""
     across = F.ceil(F.col("width") / tile)
     return (
-        kept.drop(image).select("*", F.posexplode("tiles").alias("tile", "npy")).drop("tiles")
+        _without(kept, image, ["tile", "npy", "top", "left"]).drop(image).select("*", F.posexplode("tiles").alias("tile", "npy")).drop("tiles")
         .withColumn("top", (F.floor(F.col("tile") / across) * tile).cast("long")).withColumn("left", (F.col("tile") % across * tile).cast("long"))
     )
 
@@ -239,6 +257,7 @@ def describe(kept: DataFrame, image: str = "media") -> DataFrame:
 
     feature is the difference hash, tiles_sha256 the digest of all NPY tiles in order.
     """
+    kept = _without(kept, image, [f.name for f in _DIGESTS])
     others = list(kept.drop(image, "tiles", "height", "width").schema)
     kinds = StructType(others + [StructField(f.name, LongType() if f.type == pa.int64() else StringType()) for f in _DIGESTS])
     given = kept.select(*(f.name for f in others), image, "tiles")

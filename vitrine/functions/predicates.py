@@ -7,6 +7,11 @@ from pyspark.sql import Column, functions as F
 from vitrine.functions import text
 
 
+def long_enough(query: Column) -> Column:
+    """At least two UTF-16 units after trimming; a null query is not."""
+    return F.coalesce(F.octet_length(F.encode(text.js_trim(query), "UTF-16BE")) >= 4, F.lit(False))
+
+
 def visible(hidden: Column) -> Column:
     """Only an explicit true hides a product."""
     return ~F.coalesce(hidden, F.lit(False))

@@ -10,9 +10,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.functions import predicates, text
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
 from vitrine.session import run_folder
@@ -26,6 +25,9 @@ PREFIX_MIN = 2
 PREFIX_MAX = {"name": 20, "description": 20, "category": 15, "soft_category": 15}
 # -------------------------------------------------------------------------------------------------
 
+#: Field name of tags that a query demands; no index field has it.
+TAG = "#tag"
+
 
 @dataclass
 class TextIndex:
@@ -123,29 +125,6 @@ def prefixes(products: DataFrame) -> DataFrame:
     return listed.filter("prefix is not null")
 
 
-def prefix_suggestions(queries: DataFrame, index: TextIndex, products: DataFrame, k: int = 10) -> DataFrame:
-    """First visible products per typed prefix, best field first, then id.
-
-    Only the vocabulary is cut into prefixes; the postings of the tokens that match are then read,
-    each once per typed prefix it answers.
-    """
-    order = F.when(F.col("field") == "name", 0).when(F.col("field") == "category", 1).when(
-        F.col("field") == "soft_category", 2
-    ).otherwise(3)
-    asked = queries.select("tenant", F.lower(text.js_trim("query")).alias("prefix")).distinct()
-    grams = index.tokens.select("tenant", "field", "token", F.explode(_edge_grams(F.col("token"), _longest_prefix())).alias("prefix"))
-    answering = grams.join(asked, ["tenant", "prefix"], "left_semi")
-    visible = products.filter(predicates.visible(F.col("hidden"))).select("tenant", "id")
-    best = (
-        index.postings.join(answering, ["tenant", "field", "token"])
-        .groupBy("tenant", "prefix", "id")
-        .agg(F.min(order).alias("field_order"))
-        .join(visible, ["tenant", "id"])
-    )
-    w = Window.partitionBy("tenant", "prefix").orderBy("field_order", "id")
-    return best.withColumn("position", F.row_number().over(w)).filter(F.col("position") <= k)
-
-
 def one_edit_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """(tenant, token, other, edits) for tokens at most one edit apart, by an equi-join.
 
@@ -208,6 +187,7 @@ def bm25_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     """Sum weighted term scores of a cell's documents per query, best k each."""
     ids, doc = np.unique(right["id"].to_numpy().astype(str), return_inverse=True)
     ranks = np.arange(len(ids))
+    demands = (left["field"] == TAG).to_numpy()
     terms = right["field"] + "|" + right["term"]
     where = {t: (doc[p], right["part"].to_numpy()[p]) for t, p in terms.groupby(terms).indices.items()}
     out = []
@@ -215,10 +195,16 @@ def bm25_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     weights = left["weight"].to_numpy()
     for qid, rows in left.groupby("qid").indices.items():
         scores = np.zeros(len(ids))
-        for r in rows:
+        for r in rows[~demands[rows]]:
             hit = where.get(wanted.iat[r])
             if hit is not None:
                 scores[hit[0]] += weights[r] * hit[1]
+        if demands[rows].any():
+            allowed = np.zeros(len(ids), bool)
+            for t in wanted.iloc[rows[demands[rows]]]:
+                if t in where:
+                    allowed[where[t][0]] = True
+            scores[~allowed] = 0.0
         found = np.flatnonzero(scores)
         rounded = np.round(scores[found], 6)
         best = best_rows(rounded, ranks[found], k)
@@ -228,11 +214,15 @@ def bm25_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return result
 
 
-def retrieve(queries: DataFrame, lanes: DataFrame, index: TextIndex, k: int = POOL) -> DataFrame:
+def retrieve(
+    queries: DataFrame, lanes: DataFrame, index: TextIndex, k: int = POOL, tags: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
     """Best k products per query.
 
     ``queries(lane, qid, tenant, query)`` are distinct searches; ``lanes(lane, tenant, id)`` lists
-    the products eligible in each lane.
+    the products eligible in each lane. ``tags`` are ``(lane, qid, tag)`` and ``(lane, id, tag)``: every query
+    then finds only products that share a tag with it. Tags are one more posting list of a cell, so
+    the filter holds before the best k are taken.
     """
     words = queries.select(
         "lane", "qid", "tenant", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("token")
@@ -252,4 +242,8 @@ def retrieve(queries: DataFrame, lanes: DataFrame, index: TextIndex, k: int = PO
         .join(lanes, ["tenant", "id"])
         .select("lane", "id", "field", "term", "part")
     )
+    if tags:
+        asked, held = tags
+        q = q.unionByName(asked.select("lane", "qid", F.lit(TAG).alias("field"), F.col("tag").alias("term"), F.lit(0.0).alias("weight")))
+        items = items.unionByName(held.select("lane", "id", F.lit(TAG).alias("field"), F.col("tag").alias("term"), F.lit(0.0).alias("part")))
     return blocked_top_k(q, items, bm25_cell, k, sized_by=(queries, lanes))

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import matching, predicates, text
-from vitrine.operators import fusion, vector
+from vitrine.operators import blocks, fusion, lexical, vector
+from vitrine.session import checkpointed
 
 FIRST_TIER_ROWS = 25
 SEEDS, PER_SEED = 3, 20
 TOP_FOR_SOFT = 4
+#: Between a lane and the shelf of it that is searched.
+SHELF = "\u0001"
 
 
 def scored_pool(pool: DataFrame, products: DataFrame) -> DataFrame:
@@ -108,30 +111,73 @@ def merge_sources(soft: DataFrame, similar: DataFrame) -> DataFrame:
     return merged.withColumn("similarity_boost", boost.cast("long"))
 
 
-def second_tier(ranked: DataFrame, products: DataFrame, first_rows: int = FIRST_TIER_ROWS) -> DataFrame:
+def _on_shelf(lane: Column, shelf: Column) -> Column:
+    return F.concat(lane, F.lit(SHELF), shelf)
+
+
+def _off_shelf(hits: DataFrame, k: int) -> DataFrame:
+    """Hits of shelves as hits of their searches, the best k of each."""
+    lane = F.split_part("lane", F.lit(SHELF), F.lit(1)).alias("lane")
+    return blocks.ranked(hits.groupBy(lane, "qid", "id").agg(F.max("score").alias("score")), k)
+
+
+def soft_category_search(contexts: DataFrame, products: DataFrame, vectors: DataFrame, index: lexical.TextIndex, k: int = fusion.POOL) -> DataFrame:
+    """Text and vector search of its own over the products of wanted categories, fused.
+
+    ``contexts(lane, tenant, qid, shelves, wanted_soft)``: a product is eligible that stands on one of the
+    shelves (hard categories) and has one of the soft categories. A shelf is a lane of the block plan and
+    soft categories are tags in its cells, so nothing outside the shelves is scored, and the filter
+    comes before the best k, however many products the first search has left out.
+    """
+    asked = contexts.select("lane", "tenant", "qid", F.explode("shelves").alias("shelf"), F.col("wanted_soft").alias("tags"))
+    asked = asked.select(_on_shelf(F.col("lane"), F.col("shelf")).alias("lane"), "tenant", "qid", "tags")
+
+    def shelved(strict: bool, rows: DataFrame) -> DataFrame:
+        return (
+            fusion.stock_lanes(rows, strict).withColumn("shelf", F.explode(F.array_distinct("category")))
+            .withColumn("lane", _on_shelf(F.col("lane"), F.col("shelf")))
+            .withColumn("tags", F.array_distinct(F.coalesce("soft_category", F.array().cast("array<string>"))))
+        )
+
+    held = shelved(False, products.drop("embedding")).select("lane", "tenant", "id", "tags")
+    tag_rows = lambda df, key: df.select("lane", key, F.explode("tags").alias("tag"))
+    by_text = lexical.retrieve(
+        asked.select("lane", "qid", "tenant", F.col("qid").alias("query")), held.select("lane", "tenant", "id"), index, k,
+        (tag_rows(asked, "qid"), tag_rows(held, "id")),
+    )
+    queries = asked.join(vectors.select("tenant", F.col("query").alias("qid"), F.col("embedding").alias("vector")), ["tenant", "qid"])
+    items = shelved(True, products.filter("embedding is not null")).select("lane", "id", F.col("embedding").alias("vector"), "tags")
+    by_vector = vector.nearest(queries.select("lane", "qid", "vector", "tags"), items, k)
+    return fusion.fuse(_off_shelf(by_text, k), _off_shelf(by_vector, k))
+
+
+def second_tier(
+    ranked: DataFrame, products: DataFrame, vectors: DataFrame, index: lexical.TextIndex, first_rows: int = FIRST_TIER_ROWS
+) -> DataFrame:
     """Second tier of every query that has seeds, without what the first tier delivered.
 
-    Soft results are the query's pooled products that share a soft category with its best results
-    and a hard category with its seeds; similar results are the neighbours of the seeds.
+    Soft results come from a search of their own (``soft_category_search``) with the soft categories of
+    the query's best results and the hard categories of its seeds; similar results are the seeds' neighbours.
     """
     chosen = seeds(ranked)
     shelves = chosen.groupBy("lane", "qid", "tenant").agg(F.array_distinct(F.flatten(F.collect_list("category"))).alias("shelves"))
-    context = shelves.join(top_soft_categories(ranked), ["lane", "qid"])
-    soft = ranked.join(context.drop("tenant"), ["lane", "qid"]).filter(
-        F.arrays_overlap("soft_category", "wanted_soft") & F.arrays_overlap("category", "shelves")
-    )
+    # searched by two retrievers; a few values per query
+    contexts = checkpointed(shelves.join(top_soft_categories(ranked), ["lane", "qid"]))
+    found = checkpointed(soft_category_search(contexts, products, vectors, index))
+    soft = found.withColumn("tenant", F.split_part("lane", F.lit("|"), F.lit(1)))
     similar = chosen.select("lane", "qid", "tenant", F.col("id").alias("seed_id")).join(
         similar_to_seeds(chosen, products), ["tenant", "seed_id"]
     ).select("lane", "qid", "tenant", "id").distinct()
     merged = merge_sources(soft, similar)
-    known = ranked.select("lane", "qid", "id", "rrf", "bonus", "soft_hits")
     delivered = ranked.filter(F.col("rank") < first_rows)
-    rows = fusion.without_delivered(merged, delivered, ["lane", "qid", "id"]).join(known, ["lane", "qid", "id"], "left")
+    rest = fusion.without_delivered(merged, delivered, ["lane", "qid", "id"])
+    rows = scored_pool(rest.join(found, ["lane", "qid", "id"], "left"), products)
     w = Window.partitionBy("lane", "qid").orderBy(
-        F.desc("similarity_boost"), F.desc(F.coalesce("rrf", F.lit(0.0))), F.desc(F.coalesce("bonus", F.lit(0))),
-        F.desc(F.coalesce("soft_hits", F.lit(0))), "id",
+        F.desc("similarity_boost"), F.desc(F.coalesce("rrf", F.lit(0.0))), F.desc("bonus"), F.desc("soft_hits"), "id"
+    )
+    return rows.select(
+        "lane", "qid", "tenant", "id", "sources", "similarity_boost", "rrf", "bonus", "soft_hits", (F.row_number().over(w) - 1).cast("long").alias("rank")
     )
-    return rows.withColumn("rank", (F.row_number().over(w) - 1).cast("long"))
 
 
 def category_mix(rows: DataFrame, products: DataFrame, first: int = 10) -> DataFrame:

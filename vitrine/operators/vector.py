@@ -21,12 +21,23 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return matrix / np.where(norms == 0, 1.0, norms)
 
 
+def _holders(tags: pd.Series) -> dict[str, np.ndarray]:
+    """Positions of the items that have each tag."""
+    place = np.repeat(np.arange(len(tags)), tags.map(len))
+    flat = [tag for own in tags for tag in own]
+    return {tag: place[at] for tag, at in pd.Series(flat, dtype=object).groupby(flat).indices.items()} if flat else {}
+
+
 def cosine_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
-    """Cosine of every query with every item of a cell, best k per query (own id left out)."""
+    """Cosine of every query with every item of a cell, best k per query (own id left out).
+
+    Where queries and items carry ``tags``, a query finds only items that share one.
+    """
     ids = right["id"].to_numpy()
     order = np.argsort(np.argsort(ids))
     queries, items = _unit(left["vector"]), _unit(right["vector"]).T
     own = left["self_id"].to_numpy() if "self_id" in left else None
+    holders = _holders(right["tags"]) if "tags" in left else None
     rows = []
     for n, qid in enumerate(left["qid"]):
         if n % TILE == 0:
@@ -35,6 +46,11 @@ def cosine_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame
         line = scores[n % TILE]
         if own is not None:
             line = np.where(ids == own[n], -np.inf, line)
+        if holders is not None:
+            allowed = np.zeros(len(ids), bool)
+            for tag in left["tags"].iat[n]:
+                allowed[holders.get(tag, [])] = True
+            line = np.where(allowed, line, -np.inf)
         best = best_rows(line, order, k)
         best = best[np.isfinite(line[best])]
         rows.append(pd.DataFrame({"qid": qid, "id": ids[best], "score": line[best]}))

@@ -86,6 +86,7 @@ def tiered_search(requests: DataFrame, products: DataFrame, vectors: DataFrame,
 
 def expand_second_tier(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:
     """Second-tier pages of every different query that has near-exact name matches."""
+    index = index or lexical.stored_index(products)
     # Read several times below and at most twice the pool size per query: written once.
     ranked = checkpointed(ranked_pool(requests, products, vectors, index))
-    return fusion.paged(tiers.second_tier(ranked, products), "rank")
+    return fusion.paged(tiers.second_tier(ranked, products, vectors, index), "rank")

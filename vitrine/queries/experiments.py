@@ -56,16 +56,26 @@ def _rule_hits(spark, sf):
 
 @query(
     "definition_tables",
-    "SELECT tenant, rule_id, CAST(CASE kind WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS patterns, CASE WHEN kind = 3 THEN 'Europe/Paris' END AS timezone FROM rules_v",
+    """SELECT tenant, 'rule' AS kind, rule_id AS id, CAST(CASE kind WHEN 1 THEN 1 WHEN 2 THEN 1 ELSE 0 END AS BIGINT) AS patterns,
+  CASE WHEN kind = 3 THEN 'Europe/Paris' END AS timezone, NULL AS traffic_pct, NULL AS arms FROM rules_v
+UNION ALL SELECT 's' || s, 'experiment', 'exp' || r_regionkey, CASE r_regionkey WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 0 END,
+  CASE r_regionkey WHEN 3 THEN 'Asia/Jerusalem' WHEN 4 THEN 'America/New_York' END, 20.0::DOUBLE * (r_regionkey + 1), 'control,variant,third'
+FROM region, (SELECT unnest([0, 1, 2]) AS s)""",
 )
 def definition_tables(spark, sf):
-    rules = experiments.read_rules(bind.rules(spark, sf))
-    rule = rules.select("tenant", F.explode("rules").alias("r"))
-    size = F.coalesce(F.size("r.condition.patterns"), F.lit(0))
-    return rule.select(
-        "tenant", F.col("r.id").alias("rule_id"), F.greatest(size, F.lit(0)).cast("long").alias("patterns"),
-        F.col("r.condition.timeWindow.timezone").alias("timezone"),
+    """Rules and experiments of every store, one row each."""
+    rules = experiments.read_rules(bind.rules(spark, sf)).select("tenant", F.explode("rules").alias("d"))
+    tests = _experiments(spark, sf).select("tenant", F.explode("experiments").alias("d"))
+    described = lambda target: (
+        F.greatest(F.coalesce(F.size(f"{target}.patterns"), F.lit(0)), F.lit(0)).cast("long").alias("patterns"),
+        F.col(f"{target}.timeWindow.timezone").alias("timezone"),
     )
+    return rules.select(
+        "tenant", F.lit("rule").alias("kind"), "d.id", *described("d.condition"), F.lit(None).cast("double").alias("traffic_pct"), F.lit(None).cast("string").alias("arms")
+    ).unionByName(tests.select(
+        "tenant", F.lit("experiment").alias("kind"), "d.id", *described("d.targeting"), F.col("d.trafficPct").alias("traffic_pct"),
+        F.array_join("d.arms.key", ",").alias("arms"),
+    ))
 
 
 @query(
@@ -199,7 +209,7 @@ def association_pins(spark, sf):
     "pin_override",
     """, ex AS (SELECT 's' || (p_partkey % 3) AS tenant, p_name AS query, p_partkey, row_number() OVER (PARTITION BY p_partkey % 3, p_name ORDER BY p_partkey DESC) AS pin_position FROM part),
 e AS (SELECT tenant, upper(query) AS query, CAST(p_partkey AS VARCHAR) AS id FROM ex WHERE pin_position <= 3),
-p AS (SELECT DISTINCT tenant, p_name AS query, CAST(n AS VARCHAR) AS id FROM rules_v JOIN part ON starts_with(p_name, word) WHERE n % 5 = 0)
+p AS (SELECT DISTINCT tenant, p_name AS query, CAST(unnest([n, n + 1]) AS VARCHAR) AS id FROM rules_v JOIN part ON starts_with(p_name, word) WHERE n % 5 = 0)
 SELECT tenant, query, id, 'patch' AS origin FROM p UNION ALL
 SELECT tenant, query, id, 'existing' FROM e WHERE (tenant, lower(query)) NOT IN (SELECT (tenant, lower(query)) FROM p)""",
 )
@@ -208,7 +218,7 @@ def pin_override(spark, sf):
     names = bind.table(spark, sf, "part").select(F.col("p_name").alias("name")).distinct()
     rules = experiments.read_rules(bind.rules(spark, sf)).select("tenant", F.explode("rules").alias("r"))
     pins = rules.select("tenant", F.explode("r.patch.pinnedResults").alias("pin")).select(
-        "tenant", F.col("pin.query").alias("word"), F.element_at("pin.productIds", 1).alias("id")
+        "tenant", F.col("pin.query").alias("word"), F.explode("pin.productIds").alias("id")
     )
     patch = pins.join(names.withColumn("word", F.split_part("name", F.lit(" "), F.lit(1))), "word").select(
         "tenant", F.col("name").alias("query"), "id"

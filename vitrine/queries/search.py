@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, fusion, lexical, tiers, vector
+from vitrine.operators import catalog, completion, fusion, lexical, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
 
 TOKENS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
 
+#: Name-match bonus of (tenant, in_stock, query, id, rrf, text_rank, vector_rank) rows.
+BONUS = """
+SELECT *, CASE WHEN n = '' OR q = '' THEN 0 WHEN n = q THEN 100000 WHEN c <> '' AND n = c THEN 90000 WHEN contains(n, q) THEN 60000
+  WHEN c <> '' AND contains(n, c) THEN 50000 WHEN len(w) > 1 AND contains(n, array_to_string(w, ' ')) THEN 40000
+  WHEN len(w) > 1 AND hits >= ceil(len(w) * 0.7::DOUBLE) THEN 15000 WHEN len(w) > 1 AND hits >= 2 THEN 12000
+  WHEN length(q) >= 3 AND length(n) >= 3 AND (greatest(length(q), length(n30)) - levenshtein(q, n30)) / greatest(length(q), length(n30)) >= 0.75 THEN 10000
+  WHEN length(q) >= 3 AND length(n) >= 3 AND len(list_filter(nw, lambda x: length(x) >= 3 AND (greatest(length(q), length(x)) - levenshtein(q, x)) / greatest(length(q), length(x)) >= 0.75)) > 0 THEN 12000
+  ELSE 0 END AS bonus
+FROM (SELECT *, left(n, 30) AS n30, string_split(n, ' ') AS nw, len(list_filter(w, lambda x: length(x) > 2 AND contains(n, x))) AS hits
+  FROM (SELECT {more}p.tenant, p.in_stock, p.query, p.id, p.rrf, p.text_rank, p.vector_rank, lower(trim(c.name)) AS n, lower(p.query) AS q, string_split(lower(p.query), ' ') AS w,
+    array_to_string(list_filter(string_split(lower(p.query), ' '), lambda x: x <> 'brand' AND x <> ''), ' ') AS c, c.type, c.soft_category
+  FROM {pool} p JOIN products_v c ON c.id = p.id))"""
+
 VIEWS.update(
     {
         "field_text_v": """
@@ -75,17 +88,7 @@ FROM (SELECT s.*, p.id, p.rrf, p.text_rank, p.vector_rank, c.price FROM specs_v
     AND (category_wish IS NULL OR contains(lower(c.type), category_wish) OR contains(category_wish, lower(c.type)))
     AND (tag_wish IS NULL OR len(list_filter(c.soft_category, lambda x: contains(lower(x), lower(tag_wish)) OR contains(lower(tag_wish), lower(x)))) > 0)
     AND (NOT s.in_stock OR coalesce(c.canonical, c.legacy, 'instock') = 'instock'))""",
-        "bonus_v": """
-SELECT *, CASE WHEN n = '' OR q = '' THEN 0 WHEN n = q THEN 100000 WHEN c <> '' AND n = c THEN 90000 WHEN contains(n, q) THEN 60000
-  WHEN c <> '' AND contains(n, c) THEN 50000 WHEN len(w) > 1 AND contains(n, array_to_string(w, ' ')) THEN 40000
-  WHEN len(w) > 1 AND hits >= ceil(len(w) * 0.7::DOUBLE) THEN 15000 WHEN len(w) > 1 AND hits >= 2 THEN 12000
-  WHEN length(q) >= 3 AND length(n) >= 3 AND (greatest(length(q), length(n30)) - levenshtein(q, n30)) / greatest(length(q), length(n30)) >= 0.75 THEN 10000
-  WHEN length(q) >= 3 AND length(n) >= 3 AND len(list_filter(nw, lambda x: length(x) >= 3 AND (greatest(length(q), length(x)) - levenshtein(q, x)) / greatest(length(q), length(x)) >= 0.75)) > 0 THEN 12000
-  ELSE 0 END AS bonus
-FROM (SELECT *, left(n, 30) AS n30, string_split(n, ' ') AS nw, len(list_filter(w, lambda x: length(x) > 2 AND contains(n, x))) AS hits
-  FROM (SELECT p.tenant, p.in_stock, p.query, p.id, p.rrf, p.text_rank, p.vector_rank, lower(trim(c.name)) AS n, lower(p.query) AS q, string_split(lower(p.query), ' ') AS w,
-    array_to_string(list_filter(string_split(lower(p.query), ' '), lambda x: x <> 'brand' AND x <> ''), ' ') AS c, c.type, c.soft_category
-  FROM pool_v p JOIN products_v c ON c.id = p.id))""",
+        "bonus_v": BONUS.format(pool="pool_v", more=""),
         "tiered_v": """
 SELECT *, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY CASE WHEN simple THEN bonus END DESC NULLS LAST,
   CASE WHEN simple THEN least(soft_hits, 2) END DESC NULLS LAST, rrf DESC, text_rank NULLS LAST, vector_rank NULLS LAST) - 1 AS rank
@@ -97,16 +100,35 @@ SELECT tenant, seed_id, id, score FROM (SELECT *, row_number() OVER (PARTITION B
   SELECT s.tenant, s.id AS seed_id, p.id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
   FROM (SELECT DISTINCT tenant, id FROM seeds_v) s JOIN products_v a ON a.id = s.id AND a.embedding IS NOT NULL
   JOIN products_v p ON p.tenant = a.tenant AND p.type = a.type AND p.id <> a.id AND p.embedding IS NOT NULL AND p.canonical = 'instock')) WHERE n <= 20""",
-        "second_v": """
-SELECT tenant, in_stock, query, id, boost, rrf, bonus, soft_hits,
-  row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY boost DESC, coalesce(rrf, 0) DESC, coalesce(bonus, 0) DESC, coalesce(soft_hits, 0) DESC, id) - 1 AS rank
-FROM (SELECT tenant, in_stock, query, id, CASE WHEN count(DISTINCT source) = 2 THEN 5000 WHEN min(source) = 'product_similarity' THEN 2500 ELSE 0 END AS boost FROM (
-    SELECT t.tenant, t.in_stock, t.query, t.id, 'soft_category' AS source FROM tiered_v t WHERE
-      EXISTS (SELECT 1 FROM seeds_v s WHERE s.tenant = t.tenant AND s.query = t.query AND s.in_stock = t.in_stock AND s.type = t.type)
-      AND EXISTS (SELECT 1 FROM tiered_v b WHERE b.tenant = t.tenant AND b.query = t.query AND b.in_stock = t.in_stock AND b.rank < 4 AND list_has_any(b.soft_category, t.soft_category))
+        "eligible_v": """
+SELECT DISTINCT s.tenant, s.in_stock, s.query, p.id, p.strict FROM (SELECT DISTINCT tenant, in_stock, query, type FROM seeds_v) s
+JOIN (SELECT DISTINCT tenant, in_stock, query, unnest(soft_category) AS soft FROM tiered_v WHERE rank < 4) b USING (tenant, in_stock, query)
+JOIN shown_v p ON p.tenant = s.tenant AND p.type = s.type AND list_contains(p.soft_category, b.soft)""",
+        "soft_text_v": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY score DESC, id) - 1 AS rank FROM (
+  SELECT e.tenant, e.in_stock, e.query, e.id, round(sum(t.s), 6) AS score FROM eligible_v e JOIN asked_tokens_v a USING (tenant, in_stock, query)
+  JOIN token_scores_v t ON t.tenant = a.tenant AND t.token = a.token AND t.id = e.id JOIN shown_v p ON p.id = e.id AND (p.lenient OR NOT e.in_stock)
+  WHERE t.s > 0 GROUP BY e.tenant, e.in_stock, e.query, e.id)) WHERE rank < 80""",
+        "soft_vector_v": """
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY score DESC, id) - 1 AS rank FROM (
+  SELECT e.tenant, e.in_stock, e.query, e.id, round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6) AS score
+  FROM eligible_v e JOIN query_vectors_v v USING (tenant, query) JOIN products_v p ON p.id = e.id AND p.embedding IS NOT NULL
+  WHERE e.strict OR NOT e.in_stock)) WHERE rank < 80""",
+        "soft_v": """
+SELECT tenant, in_stock, query, id, coalesce(2::DOUBLE / (60 + t.rank + 1), 0) + coalesce(1::DOUBLE / (60 + v.rank + 1), 0) AS rrf
+FROM soft_text_v t FULL OUTER JOIN soft_vector_v v USING (tenant, in_stock, query, id)""",
+        "merged_v": """
+SELECT tenant, in_stock, query, id, CASE WHEN count(DISTINCT source) = 2 THEN 5000 WHEN min(source) = 'product_similarity' THEN 2500 ELSE 0 END AS boost FROM (
+    SELECT tenant, in_stock, query, id, 'soft_category' AS source FROM soft_v
     UNION ALL SELECT s.tenant, s.in_stock, s.query, m.id, 'product_similarity' FROM seeds_v s JOIN similar_v m ON m.tenant = s.tenant AND m.seed_id = s.id)
-  GROUP BY tenant, in_stock, query, id) u
-LEFT JOIN tiered_v t USING (tenant, in_stock, query, id) WHERE t.rank IS NULL OR t.rank >= 25""",
+  GROUP BY tenant, in_stock, query, id""",
+        "rest_v": """
+SELECT u.*, s.rrf, NULL AS text_rank, NULL AS vector_rank FROM merged_v u LEFT JOIN soft_v s USING (tenant, in_stock, query, id)
+WHERE NOT EXISTS (SELECT 1 FROM tiered_v t WHERE t.tenant = u.tenant AND t.in_stock = u.in_stock AND t.query = u.query AND t.id = u.id AND t.rank < 25)""",
+        "second_v": f"""
+SELECT tenant, in_stock, query, id, boost, rrf, bonus, soft_hits,
+  row_number() OVER (PARTITION BY tenant, in_stock, query ORDER BY boost DESC, coalesce(rrf, 0) DESC, bonus DESC, soft_hits DESC, id) - 1 AS rank
+FROM (SELECT *, len(list_filter(soft_category, lambda s: list_contains(w, lower(s)))) AS soft_hits FROM ({BONUS.format(pool="rest_v", more="p.boost, ")}))""",
     }
 )
 
@@ -128,6 +150,17 @@ def text_index(spark, sf):
     return _STORED[key]
 
 
+_TRIES: dict[tuple[str, str], DataFrame] = {}
+
+
+def completion_trie(spark, sf):
+    """The catalog's completion trie, built once per application and catalog and then read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _TRIES:
+        _TRIES[key] = completion.stored_trie(text_index(spark, sf), bind.products(spark, sf))
+    return _TRIES[key]
+
+
 def _attributes(spark, sf):
     return bind.products(spark, sf, embedding=True)
 
@@ -166,18 +199,34 @@ def prefixtext_index(spark, sf):
 
 @query(
     "prefix_suggestions",
-    """, typed AS (SELECT DISTINCT tenant, lower(trim(left(trim(query), 4))) AS prefix FROM requests_v),
+    """, asked AS (SELECT DISTINCT tenant, lower(trim(query)) AS query FROM requests_v),
+typed AS (SELECT DISTINCT tenant, trim(left(query, n)) AS prefix FROM (SELECT tenant, query, unnest(range(1, length(query) + 1)) AS n FROM asked)),
+grams AS (SELECT DISTINCT tenant, id, field, left(token, n) AS prefix FROM (SELECT *, unnest(range(2, least(length(token), CASE WHEN field IN ('name', 'description') THEN 20 ELSE 15 END) + 1)) AS n FROM postings_v)),
 g AS (SELECT p.tenant, t.prefix, p.id, min(CASE p.field WHEN 'name' THEN 0 WHEN 'category' THEN 1 WHEN 'soft_category' THEN 2 ELSE 3 END) AS o
-  FROM typed t JOIN postings_v p ON p.tenant = t.tenant AND starts_with(p.token, t.prefix) GROUP BY ALL)
+  FROM typed t JOIN grams p ON p.tenant = t.tenant AND p.prefix = t.prefix GROUP BY ALL)
 SELECT * FROM (SELECT g.tenant, g.prefix, g.id, CAST(row_number() OVER (PARTITION BY g.tenant, g.prefix ORDER BY o, g.id) AS BIGINT) AS position
   FROM g JOIN shown_v s ON s.id = g.id) WHERE position <= 10""",
 )
 def prefix_suggestions(spark, sf):
-    typed = bind.requests(spark, sf).select("tenant", F.substring(text.js_trim("query"), 1, 4).alias("query"))
-    rows = lexical.prefix_suggestions(typed, text_index(spark, sf), bind.products(spark, sf))
+    """Suggestions at every length a query has while it is typed."""
+    rows = completion.suggestions(completion.typed(bind.requests(spark, sf)), completion_trie(spark, sf))
     return rows.select("tenant", "prefix", "id", F.col("position").cast("long").alias("position"))
 
 
+@query(
+    "completion_nodes",
+    """, grams AS (SELECT DISTINCT tenant, id, CASE field WHEN 'name' THEN 0 WHEN 'category' THEN 1 WHEN 'soft_category' THEN 2 ELSE 3 END AS o, left(token, n) AS prefix
+  FROM (SELECT *, unnest(range(2, least(length(token), CASE WHEN field IN ('name', 'description') THEN 20 ELSE 15 END) + 1)) AS n FROM postings_v)),
+b AS (SELECT tenant, prefix, id, min(o) AS o FROM grams SEMI JOIN shown_v USING (id) GROUP BY ALL)
+SELECT tenant, prefix, length(prefix) AS depth, string_agg(id, ',' ORDER BY o, id) AS ids FROM (
+  SELECT *, row_number() OVER (PARTITION BY tenant, prefix ORDER BY o, id) AS position FROM b) WHERE position <= 10 GROUP BY tenant, prefix""",
+)
+def completion_nodes(spark, sf):
+    """Every node of the completion trie with its best products."""
+    nodes = completion_trie(spark, sf)
+    return nodes.select("tenant", "prefix", F.length("prefix").cast("long").alias("depth"), F.array_join("best.id", ",").alias("ids"))
+
+
 @query(
     "fuzzy_tokens",
     """SELECT tenant, token, term AS other, edits FROM reach_v JOIN (SELECT DISTINCT tenant, token AS term FROM df_v WHERE field <> 'description')

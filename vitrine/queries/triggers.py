@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vitrine.functions import text
+from vitrine.functions import predicates, text
 from vitrine.operators import catalog, triggers
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -43,10 +43,16 @@ def response_parsing(spark, sf):
     return rows.select("query_id", size.alias("products"), "is_complex", "high_text_matches")
 
 
-@query("query_gate", "SELECT query_id FROM requests_v WHERE length(trim(left(query, CAST(query_id % 3 AS INTEGER)))) >= 2")
+@query(
+    "query_gate",
+    """SELECT query_id, query FROM (SELECT query_id, query FROM requests_v
+  UNION ALL SELECT -query_id, '  ' || left(query, CAST(query_id % 4 AS INTEGER)) || ' ' FROM requests_v) WHERE length(trim(query)) >= 2""",
+)
 def query_gate(spark, sf):
-    log = bind.requests(spark, sf).withColumn("query", F.expr("left(query, cast(query_id % 3 as int))"))
-    return log.filter(F.length(text.js_trim(F.col("query"))) >= 2).select("query_id")
+    """Every request, and each once more when only its first characters are typed (negative id)."""
+    log = bind.requests(spark, sf).select("query_id", "query")
+    typed = log.select(-F.col("query_id"), F.concat(F.lit("  "), F.expr("left(query, cast(query_id % 4 as int))"), F.lit(" ")))
+    return log.union(typed).filter(predicates.long_enough(F.col("query")))
 
 
 @query("literal_hit", "SELECT query_id, literal FROM decided_v")

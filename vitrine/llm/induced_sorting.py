@@ -1,8 +1,8 @@
 """Suffix order of a shard by external induced sorting, with common prefixes carried along.
 
 The suffixes that are smaller than their right neighbour's and follow a larger one (stars) are sorted first: the pieces
-of text between stars are named in their order, and the names' string is sorted by the same procedure, recursively. The
-order of stars induces that of all other suffixes: a scan in ascending order puts suffixes that are larger than their
+of text between stars are named in their order, and the names' string is sorted by the same procedure, recursively, until
+the names of a level fit into memory and are sorted there. The order of stars induces that of all other suffixes: a scan in ascending order puts suffixes that are larger than their
 right neighbour, a scan in descending order the rest.
 
 A scan takes the next suffixes off a priority queue and pushes their left neighbours. What it carries are tuples (place,
@@ -25,8 +25,10 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Bytes of one scan's queue, and of one array, that stay in memory.
-MEMORY = 32 << 20
+#: Bytes of one scan's queue, of one array, and of the last level of the recursion that stay in memory.
+MEMORY = 128 << 20
+#: Bytes that the last level takes a name.
+NAME_BYTES = 96
 #: Items of a batch, and elements handled at a time elsewhere.
 BATCH, PIECE = 1 << 15, 1 << 20
 _FAR = np.iinfo(np.int32).max
@@ -71,12 +73,14 @@ class Queue:
 
     def push(self, place: np.ndarray, suffix: np.ndarray, near: np.ndarray) -> None:
         here = place < self.hi
-        if here.any():
-            to = place[here] - self.lo
-            self.suffix[to], self.near[to] = suffix[here], near[here]
-            if here.all():
+        if n := np.count_nonzero(here):
+            now = slice(None) if n == len(place) else here
+            to = place[now] - self.lo
+            self.suffix[to], self.near[to] = suffix[now], near[now]
+            if n == len(place):
                 return
-            place, suffix, near = place[~here], suffix[~here], near[~here]
+            later = ~here
+            place, suffix, near = place[later], suffix[later], near[later]
         self.fresh.append((place.astype(np.int64), suffix.astype(self.index), near.astype(np.int32)))
         self.held += len(place)
         if self.held * 16 > self.space.memory:
@@ -340,6 +344,40 @@ def _groups(rank: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out
 
 
+def in_memory(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of a string of names in ascending order and the common prefix of each with the one before, by doubling.
+
+    Round k knows the rank of the first 2^k names of each suffix; only groups that are not yet told apart are sorted.
+    The ranks of all rounds are kept, and two neighbours' common prefix is read off them from the last round down.
+    """
+    n = len(names)
+    rank = _groups(np.zeros(n, np.int64), names.astype(np.int64)).astype(np.int32)
+    rounds, active, width = [rank.copy()], np.arange(n), 1
+    while True:
+        own = rank[active]
+        active = active[np.bincount(own, minlength=1)[own] > 1]
+        if not len(active):
+            break
+        key = rank[active].astype(np.int64) << 32 | rank[active + width]
+        order = np.argsort(key)
+        key, active = key[order], active[order]
+        at, head = np.arange(len(key)), key >> 32
+        first, new = np.ones(len(key), bool), np.ones(len(key), bool)
+        first[1:], new[1:] = head[1:] != head[:-1], key[1:] != key[:-1]
+        rank[active] = head + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(first, at, 0))
+        rounds.append(rank.copy())
+        width *= 2
+    order = np.empty(n, np.int64)
+    order[rank] = np.arange(n)
+    near, a, b = np.zeros(n, np.int32), order[:-1].copy(), order[1:].copy()
+    for k in range(len(rounds) - 1, -1, -1):
+        same = (rounds[k][a] == rounds[k][b]).astype(np.int64) << k
+        a += same
+        b += same
+        near[1:] += same.astype(np.int32)
+    return order, near
+
+
 def suffix_order(text: np.ndarray, letters: int, space: Space, emit: Callable) -> None:
     """Suffixes of the text in descending order: emit(batch of suffixes, common prefix of each with the larger neighbour, that neighbour of the first).
 
@@ -352,6 +390,8 @@ def suffix_order(text: np.ndarray, letters: int, space: Space, emit: Callable) -
     order, near = space.array(m, stars.dtype), space.array(m, np.int32)
     if distinct == m:
         order[names] = np.arange(m, dtype=order.dtype)
+    elif m * NAME_BYTES <= space.memory:
+        order[:], near[:] = in_memory(names)
     else:
         top = m
 

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import Window, functions as F
 
-from vitrine.operators import attribution, blocks, experiments, fusion, quota, running, sessions, tiers, triggers, vector
+from vitrine.functions import predicates
+from vitrine.operators import attribution, blocks, completion, experiments, fusion, lexical, quota, running, sessions, tiers, triggers, vector
 from vitrine.plans import search
 from vitrine.sources import bind
 from vitrine.streaming import jobs
@@ -67,16 +68,12 @@ def test_blocked_nearest_equals_brute_force(spark):
         assert [mine[(lane, qid, n)] for n in range(5)] == [name for _, name in scored[:5]]
 
 
-def test_approximate_neighbours_recall(spark):
-    rng = np.random.default_rng(2)
-    items = [("l", f"i{i}", rng.standard_normal(16).tolist()) for i in range(400)]
-    queries = [("l", f"q{j}", rng.standard_normal(16).tolist()) for j in range(30)]
-    q = spark.createDataFrame(queries, "lane string, qid string, vector array<double>")
-    i = spark.createDataFrame(items, "lane string, id string, vector array<double>")
-    share = vector.recall(vector.nearest_approx(q, i, 10), vector.nearest(q, i, 10)).agg(
-        (F.sum("found") / F.sum("expected")).alias("r")
-    ).first()["r"]
-    assert share > 0.75
+def test_a_cell_without_items(spark):
+    """More blocks than items: some cells hold queries alone."""
+    q = spark.createDataFrame([("l", f"q{j}", [1.0, float(j)]) for j in range(9)], "lane string, qid string, vector array<double>")
+    i = spark.createDataFrame([("l", f"i{j}", [1.0, float(-j)]) for j in range(4)], "lane string, id string, vector array<double>")
+    got = blocks.blocked_top_k(q, i, vector.cosine_cell, 2, query_rows=2, item_rows=1).collect()
+    assert len(got) == 18
 
 
 def test_fusion_scores_and_tie_order(spark):
@@ -194,6 +191,41 @@ def test_quota_stream_over_files_and_batches_equals_batch(spark, tmp_path, per_b
     assert table.select("batch_number").distinct().count() >= 8 // per_batch
 
 
+def test_second_tier_finds_products_outside_the_pool(spark):
+    """The pool is full of better matches; only a search among the wanted categories reaches the last product."""
+    rows = [("s0", "seed", "red ring", ["shelf"], ["wanted"]), ("s0", "zzz", "ring of the last page", ["shelf"], ["wanted"]), ("s0", "yyy", "ring beside it", ["shelf"], ["unwanted"])]
+    rows += [("s0", f"a{n:03}", f"ring red {n}", ["other"], ["thing"]) for n in range(150)]
+    products = spark.createDataFrame(
+        [(*r, "instock", None, False, None, None) for r in rows],
+        "tenant string, id string, name string, category array<string>, soft_category array<string>, stock_status_canonical string, "
+        "stock_status_legacy string, hidden boolean, description string, embedding array<float>",
+    )
+    log = spark.createDataFrame([("s0", "red ring", True)], "tenant string, query string, in_stock boolean")
+    vectors = spark.createDataFrame([], "tenant string, query string, embedding array<float>")
+    index = lexical.build_index(products)
+    pool = search.ranked_pool(log, products, vectors, index)
+    assert pool.filter("id = 'zzz'").isEmpty() and pool.count() == 80
+    assert [(r.id, r.similarity_boost) for r in search.expand_second_tier(log, products, vectors, index).collect()] == [("zzz", 0)]
+
+
+def test_completion_of_every_length(spark):
+    rows = [("s0", "1", "Red ring", False), ("s0", "2", "redwood", False), ("s0", "3", "red", True), ("s1", "4", "reddish " + "x" * 30, None)]
+    products = spark.createDataFrame([(*r[:3], ["a"], ["redoubt"], "r text", r[3]) for r in rows], "tenant string, id string, name string, category array<string>, soft_category array<string>, description string, hidden boolean")
+    trie = completion.stored_trie(lexical.build_index(products), products)
+    log = spark.createDataFrame([("s0", " Redwood x "), ("s1", "x" * 25), ("s1", None), ("s1", "")], "tenant string, query string")
+    found = {}
+    for r in completion.suggestions(completion.typed(log), trie).collect():
+        found.setdefault((r.tenant, r.prefix), {})[r.position] = r.id
+    assert found["s0", "re"] == found["s0", "red"] == {1: "1", 2: "2"} and found["s0", "redwood"] == {1: "2"}
+    assert ("s0", "r") not in found and ("s0", "redwood x") not in found
+    assert found["s1", "x" * 20] == {1: "4"} and ("s1", "x" * 21) not in found
+
+
+def test_query_gate_counts_units(spark):
+    rows = spark.createDataFrame([("",), (None,), (" a ",), ("ab",), ("😀",), ("\u00a0b",)], "q string")
+    assert [r.ok for r in rows.select(predicates.long_enough(F.col("q")).alias("ok")).collect()] == [False, False, False, True, True, False]
+
+
 def test_second_tier_respects_categories_and_first_tier(spark):
     products, vectors = bind.products(spark, SF, True, True), bind.query_vectors(spark, SF)
     log = bind.requests(spark, SF)

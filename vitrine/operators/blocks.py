@@ -23,6 +23,11 @@ def _block_counts(df: DataFrame, key: str, rows: int, name: str) -> DataFrame:
     )
 
 
+def no_rows(*texts: str, **numbers: type) -> pd.DataFrame:
+    """A frame without rows whose columns still have the types that Spark expects."""
+    return pd.DataFrame({c: np.empty(0, object) for c in texts} | {c: np.empty(0, kind) for c, kind in numbers.items()})
+
+
 def best_rows(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties by id ascending; ``ids`` are ranks of the id order."""
     if len(scores) > k:
@@ -72,7 +77,7 @@ def blocked_top_k(
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"lane": [], "qid": [], "id": [], "score": []})
+            return no_rows("lane", "qid", "id", score=float)
         return score_cell(left, right, k)
 
     # Cells are small in bytes but heavy in work: a stated partition count keeps them apart where

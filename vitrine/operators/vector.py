@@ -1,4 +1,4 @@
-"""Vector retrieval: exact nearest items, approximate nearest items, alternatives."""
+"""Vector retrieval: exact nearest items; see `inverted_lists` for approximate and pruned search."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.operators.blocks import best_rows, blocked_top_k, ranked
+from vitrine.operators.blocks import best_rows, blocked_top_k
 
 POOL = 80
 #: Queries scored at once against the items of a cell.
@@ -64,40 +64,6 @@ def nearest(queries: DataFrame, items: DataFrame, k: int = POOL) -> DataFrame:
     return blocked_top_k(queries, items, cosine_cell, k, item_rows=50_000)
 
 
-def _planes(dim: int, bits: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((dim, bits))
-
-
-def nearest_approx(
-    queries: DataFrame, items: DataFrame, k: int = POOL, bits: int = 4, probes: int = 12, seed: int = 7
-) -> DataFrame:
-    """Approximate k nearest: items hashed by the signs of random projections, queries sent to the
-    buckets closest to their own signature, exact cosine inside them.
-
-    A bucket is a lane of the block plan, so a crowded one is split over cells like a large tenant.
-    """
-
-    @F.pandas_udf("int")
-    def bucket(vectors: pd.Series) -> pd.Series:
-        unit = _unit(vectors)
-        return pd.Series(((unit @ _planes(unit.shape[1], bits, seed)) > 0) @ (1 << np.arange(bits)))
-
-    @F.pandas_udf("array<int>")
-    def nearest_buckets(vectors: pd.Series) -> pd.Series:
-        unit = _unit(vectors)
-        sides = unit @ _planes(unit.shape[1], bits, seed)
-        codes = (np.arange(1 << bits)[:, None] >> np.arange(bits)) & 1
-        wrong = codes[None, :, :] != (sides > 0)[:, None, :]
-        cost = (wrong * np.abs(sides)[:, None, :]).sum(axis=2)
-        return pd.Series(list(np.argsort(cost, axis=1, kind="stable")[:, :probes].astype(np.int32)))
-
-    lane = F.concat_ws("#", "lane", F.col("bucket").cast("string"))
-    q = queries.withColumn("bucket", F.explode(nearest_buckets("vector"))).withColumn("lane", lane).drop("bucket")
-    i = items.withColumn("bucket", bucket("vector")).withColumn("lane", lane).drop("bucket")
-    found = nearest(q, i, k).withColumn("lane", F.regexp_replace("lane", "#[0-9]+$", "")).drop("rank")
-    return ranked(found, k)
-
-
 def embedded(queries: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """Vectors of the different query texts from a user-supplied batch function text -> vector."""
 

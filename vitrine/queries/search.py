@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, completion, fusion, lexical, tiers, vector
+from vitrine.operators import catalog, completion, fusion, inverted_lists, lexical, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -248,31 +248,47 @@ def vector_retrieval(spark, sf):
     return _unlaned(fusion.vector_hits(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf)))
 
 
-@query("approximate_vectors")
-def approximate_vectors(spark, sf):
+_LISTS: dict[tuple[str, str], inverted_lists.VectorLists] = {}
+
+
+def vector_lists(spark, sf):
+    """The catalog's inverted lists, built once per application and catalog and then read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _LISTS:
+        items = fusion.stock_lanes(_attributes(spark, sf).filter("embedding is not null"), strict=True)
+        _LISTS[key] = inverted_lists.build(items.select("lane", "id", F.col("embedding").alias("vector")))
+    return _LISTS[key]
+
+
+def _query_vectors(spark, sf):
     searches = _searches(spark, sf).select("lane", "tenant", "query")
-    queries = searches.join(bind.query_vectors(spark, sf), ["tenant", "query"]).select(
+    return searches.join(bind.query_vectors(spark, sf), ["tenant", "query"]).select(
         "lane", F.col("query").alias("qid"), F.col("embedding").alias("vector")
     )
-    items = fusion.stock_lanes(_attributes(spark, sf).filter("embedding is not null"), strict=True).select(
-        "lane", "id", F.col("embedding").alias("vector")
-    )
-    return _unlaned(vector.nearest_approx(queries, items))
+
+
+@query("approximate_vectors")
+def approximate_vectors(spark, sf):
+    return _unlaned(inverted_lists.nearest_approx(_query_vectors(spark, sf), vector_lists(spark, sf)))
 
 
 @query("approximate_recall")
 def approximate_recall(spark, sf):
     """How much of the exact neighbours the approximate search finds, per query."""
-    products = _attributes(spark, sf)
-    exact = fusion.vector_hits(_searches(spark, sf), products, bind.query_vectors(spark, sf))
-    searches = _searches(spark, sf).select("lane", "tenant", "query")
-    queries = searches.join(bind.query_vectors(spark, sf), ["tenant", "query"]).select(
-        "lane", F.col("query").alias("qid"), F.col("embedding").alias("vector")
-    )
-    items = fusion.stock_lanes(products.filter("embedding is not null"), strict=True).select(
-        "lane", "id", F.col("embedding").alias("vector")
-    )
-    return vector.recall(vector.nearest_approx(queries, items), exact)
+    exact = fusion.vector_hits(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf))
+    return vector.recall(inverted_lists.nearest_approx(_query_vectors(spark, sf), vector_lists(spark, sf)), exact)
+
+
+@query("pruned_vector_retrieval", "SELECT * FROM vector_hits_v")
+def pruned_vector_retrieval(spark, sf):
+    """The same rows as `vector_retrieval`, from the lists that can hold them."""
+    return _unlaned(inverted_lists.nearest_pruned(_query_vectors(spark, sf), vector_lists(spark, sf))[0])
+
+
+@query("opened_lists")
+def opened_lists(spark, sf):
+    """How many of its lists each query of the pruned search opened."""
+    return inverted_lists.nearest_pruned(_query_vectors(spark, sf), vector_lists(spark, sf))[1]
 
 
 def hashed_words(texts):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import predicates, text
 from vitrine.operators import lexical, vector
-from vitrine.operators.running import with_running
+from vitrine.operators.running import numbered
 
 CATEGORY_FACETS, TAG_FACETS = 60, 80
 MAX_ALTERNATIVES = 12
@@ -198,17 +198,7 @@ def alternatives(sources: DataFrame, products: DataFrame, index: lexical.TextInd
 def price_places(products: DataFrame) -> DataFrame:
     """1-based place of every product in its store's ascending and descending price order.
 
-    Products without a price come last in both; ties by id. Places are running counts over price
-    steps, so a large store is sorted step by step in parallel.
+    Products without a price come last in both; ties by id. A store is numbered range by range, not in one task.
     """
-    rows = products.select("tenant", "id", "price").withColumn("no_price", F.col("price").isNull().cast("int"))
-    out = rows
-    for name, value in (("cheapest", F.col("price")), ("dearest", -F.col("price"))):
-        out = with_running(
-            out.withColumn("_value", F.coalesce(value, F.lit(0.0))),
-            ["tenant"],
-            F.struct("no_price", "_value", F.substring("id", 1, 2)),
-            ["no_price", "_value", "id"],
-            sums={name: F.lit(1).cast("long")},
-        ).drop("_value")
-    return out.select("tenant", "id", "cheapest", "dearest")
+    rows = numbered(products.select("tenant", "id", "price"), ["tenant"], [F.asc_nulls_last("price"), "id"], "cheapest")
+    return numbered(rows, ["tenant"], [F.desc_nulls_last("price"), "id"], "dearest").select("tenant", "id", "cheapest", "dearest")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import matching, predicates, text
-from vitrine.operators import lexical, vector
+from vitrine.operators import impact, inverted_lists, lexical, vector
 from vitrine.operators.blocks import blocked_top_k
 
 POOL = 80
@@ -47,19 +47,28 @@ def stock_lanes(products: DataFrame, strict: bool) -> DataFrame:
     )
 
 
-def text_hits(searches: DataFrame, products: DataFrame, index: lexical.TextIndex, k: int = POOL) -> DataFrame:
+def text_hits(searches: DataFrame, products: DataFrame, index: lexical.TextIndex | impact.ImpactIndex, k: int = POOL) -> DataFrame:
+    """The same rows with either index; an impact index leaves out blocks that cannot hold one."""
     queries = searches.select("lane", F.col("query").alias("qid"), "tenant", "query").distinct()
-    return lexical.retrieve(queries, stock_lanes(products.drop("embedding"), strict=False).select("lane", "tenant", "id"), index, k)
+    lanes = stock_lanes(products.drop("embedding"), strict=False).select("lane", "tenant", "id")
+    if isinstance(index, impact.ImpactIndex):
+        return impact.retrieve(queries, lanes, index, k)[0]
+    return lexical.retrieve(queries, lanes, index, k)
 
 
-def vector_hits(searches: DataFrame, products: DataFrame, vectors: DataFrame, k: int = POOL) -> DataFrame:
-    """``vectors(tenant, query, embedding)``; searches without a vector get no rows."""
+def vector_hits(searches: DataFrame, products: DataFrame, vectors: DataFrame, k: int = POOL, lists: inverted_lists.VectorLists | None = None) -> DataFrame:
+    """``vectors(tenant, query, embedding)``; searches without a vector get no rows.
+
+    The same rows with ``lists`` of the products, which leave out those that cannot hold one.
+    """
     queries = (
         searches.select("lane", "tenant", "query")
         .distinct()
         .join(vectors, ["tenant", "query"])
         .select("lane", F.col("query").alias("qid"), F.col("embedding").alias("vector"))
     )
+    if lists is not None:
+        return inverted_lists.nearest_pruned(queries, lists, k)[0]
     items = stock_lanes(products.filter("embedding is not null"), strict=True).select(
         "lane", "id", F.col("embedding").alias("vector")
     )

@@ -214,6 +214,25 @@ def bm25_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     return result
 
 
+def _words(queries: DataFrame) -> DataFrame:
+    return queries.select("lane", "qid", "tenant", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("token"))
+
+
+def _weighted(words: DataFrame, reach: DataFrame, index: TextIndex) -> DataFrame:
+    return words.join(term_weights(reach, index), ["tenant", "token"]).groupBy("lane", "qid", "field", "term").agg(F.sum("weight").alias("weight"))
+
+
+def query_weights(queries: DataFrame, index: TextIndex) -> DataFrame:
+    """(lane, qid, field, term, weight): all index terms that a query reaches."""
+    words = _words(queries)
+    return _weighted(words, reachable_terms(words, index), index)
+
+
+def term_part(tf: Column, dl: Column, avg_dl: Column) -> Column:
+    """What a term's count in a field of a given length adds, before its weight."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avg_dl))
+
+
 def retrieve(
     queries: DataFrame, lanes: DataFrame, index: TextIndex, k: int = POOL, tags: tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
@@ -224,17 +243,11 @@ def retrieve(
     then finds only products that share a tag with it. Tags are one more posting list of a cell, so
     the filter holds before the best k are taken.
     """
-    words = queries.select(
-        "lane", "qid", "tenant", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("token")
-    )
+    words = _words(queries)
     reach = reachable_terms(words, index)
-    q = (
-        words.join(term_weights(reach, index), ["tenant", "token"])
-        .groupBy("lane", "qid", "field", "term")
-        .agg(F.sum("weight").alias("weight"))
-    )
+    q = _weighted(words, reach, index)
     needed = reach.select("tenant", F.col("term").alias("token")).distinct()
-    part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    part = term_part(F.col("tf"), F.col("dl"), F.col("avg_dl"))
     items = (
         index.postings.join(needed, ["tenant", "token"], "left_semi")
         .join(index.fields, ["tenant", "field"])

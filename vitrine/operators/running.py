@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vitrine.session import checkpointed
+
 
 def with_running(
     df: DataFrame,
@@ -63,6 +65,25 @@ def with_running(
     )
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[Column | str], name: str, total: str | None = None) -> DataFrame:
+    """Add the 1-based place ``name`` of each row in its key's order, and the key's number of rows.
+
+    Rows are dealt in ranges of (keys, order), numbered inside a range and continued from the running counts
+    of the ranges, so a key of a third of all rows is as many tasks as it fills. ``order`` must be total.
+    """
+    # written once: numbers must not change if a range is read again
+    ranged = checkpointed(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    ranged = ranged.withColumn("_range", F.shiftright("_at", 33))
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    key = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select(*keys, "_range", (before - F.col("_first") + 1).alias("_shift"), F.sum("_n").over(key).alias("_total"))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in [*keys, "_range"]]
+    joined = ranged.alias("r").join(shifts.alias("s"), same)
+    sized = [F.col("_total").alias(total)] if total else []
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("_at") + F.col("_shift")).alias(name), *sized)
+
+
 def as_of(
     left: DataFrame,
     right: DataFrame,

@@ -10,12 +10,15 @@ from vitrine.operators import fusion, lexical, tiers
 from vitrine.session import checkpointed
 
 
-def retrieve(searches: DataFrame, products: DataFrame, vectors: DataFrame, index: lexical.TextIndex | None = None):
-    """Lexical and vector hits for the different (tenant, stock switch, query) of ``searches``."""
+def retrieve(searches: DataFrame, products: DataFrame, vectors: DataFrame, index=None, lists=None):
+    """Lexical and vector hits for the different (tenant, stock switch, query) of ``searches``.
+
+    ``index`` is a text or an impact index, ``lists`` may be inverted lists of the products; rows are the same.
+    """
     index = index or lexical.stored_index(products)
     keyed = searches.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
     asked = keyed.select("lane", "tenant", "query").distinct()
-    return fusion.text_hits(asked, products, index), fusion.vector_hits(asked, products, vectors)
+    return fusion.text_hits(asked, products, index), fusion.vector_hits(asked, products, vectors, lists=lists)
 
 
 def hybrid_search(requests: DataFrame, products: DataFrame, vectors: DataFrame, index=None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, completion, fusion, inverted_lists, lexical, tiers, vector
+from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -150,6 +150,17 @@ def text_index(spark, sf):
     return _STORED[key]
 
 
+_IMPACTS: dict[tuple[str, str], impact.ImpactIndex] = {}
+
+
+def impact_index(spark, sf):
+    """The catalog's impact index, built once per application and catalog and then read back."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _IMPACTS:
+        _IMPACTS[key] = impact.build(bind.products(spark, sf), text_index(spark, sf))
+    return _IMPACTS[key]
+
+
 _TRIES: dict[tuple[str, str], DataFrame] = {}
 
 
@@ -243,6 +254,20 @@ def lexical_retrieval(spark, sf):
     return _unlaned(fusion.text_hits(_searches(spark, sf), bind.products(spark, sf), text_index(spark, sf)))
 
 
+@query("block_max_retrieval", "SELECT * FROM text_hits_v")
+def block_max_retrieval(spark, sf):
+    """The same rows as `lexical_retrieval`, from the blocks that can hold them."""
+    return _unlaned(fusion.text_hits(_searches(spark, sf), bind.products(spark, sf), impact_index(spark, sf)))
+
+
+@query("opened_blocks")
+def opened_blocks(spark, sf):
+    """Of the blocks that hold a term of a query, how many were opened."""
+    queries = _searches(spark, sf).select("lane", F.col("query").alias("qid"), "tenant", "query").distinct()
+    lanes = fusion.stock_lanes(bind.products(spark, sf), strict=False).select("lane", "tenant", "id")
+    return impact.retrieve(queries, lanes, impact_index(spark, sf))[1]
+
+
 @query("vector_retrieval", "SELECT * FROM vector_hits_v")
 def vector_retrieval(spark, sf):
     return _unlaned(fusion.vector_hits(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf)))
@@ -318,7 +343,21 @@ def embedded_queries(spark, sf):
     "SELECT tenant, in_stock, query, id, round(rrf, 9) AS rrf, text_rank, vector_rank FROM pool_v",
 )
 def rank_fusion(spark, sf):
-    hits = search.retrieve(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf))
+    return _fused(search.retrieve(_searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)))
+
+
+@query(
+    "pruned_rank_fusion",
+    "SELECT tenant, in_stock, query, id, round(rrf, 9) AS rrf, text_rank, vector_rank FROM pool_v",
+)
+def pruned_rank_fusion(spark, sf):
+    """The same pool, from an impact index and inverted lists."""
+    return _fused(search.retrieve(
+        _searches(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), impact_index(spark, sf), vector_lists(spark, sf)
+    ))
+
+
+def _fused(hits):
     pool = fusion.fuse(*hits)
     return pool.select(
         F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import predicates, text
-from vitrine.operators import catalog, chat, fusion, triggers
+from vitrine.operators import catalog, chat, fusion, sketches, triggers
 from vitrine.queries.registry import query
 from vitrine.sources import bind
 
@@ -203,6 +203,22 @@ def tag_facets(spark, sf):
     return catalog.facet(bind.products(spark, sf), "soft_category", catalog.TAG_FACETS)
 
 
+@query(
+    "sketched_facets",
+    """, v AS (SELECT 'category' AS kind, tenant, type AS value FROM shown_v WHERE strict UNION ALL
+  SELECT 'tag', tenant, unnest(soft_category) FROM shown_v WHERE strict),
+n AS (SELECT kind, tenant, value, count(*) AS products, CAST(row_number() OVER (PARTITION BY kind, tenant ORDER BY count(*) DESC, value) AS INTEGER) AS position
+  FROM v GROUP BY kind, tenant, value)
+SELECT kind, tenant, value, products, position FROM n WHERE position <= CASE kind WHEN 'category' THEN 60 ELSE 80 END""",
+)
+def sketched_facets(spark, sf):
+    """The rows of both facets, from frequent-item sketches and exact counts of their candidates."""
+    products = bind.products(spark, sf)
+    return sketches.facet(products, "category", catalog.CATEGORY_FACETS).select(F.lit("category").alias("kind"), "*").unionByName(
+        sketches.facet(products, "soft_category", catalog.TAG_FACETS).select(F.lit("tag").alias("kind"), "*")
+    )
+
+
 @query(
     "price_stats",
     """SELECT tenant, min(price) AS min_price, max(price) AS max_price, count(price) AS priced_products, count(*) AS products

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.functions import text
-from vitrine.operators import chat, quota
+from vitrine.operators import chat, quota, sketches
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
 
@@ -200,6 +200,29 @@ def distinct_shoppers(spark, sf):
     return chat.distinct_shoppers(chat.latest_conversations(bind.conversation_writes(spark, sf)))
 
 
+_MONTHS = """, days AS (SELECT DISTINCT tenant, session_id, CAST(ts AS DATE) AS day FROM requests_v),
+periods AS (SELECT strftime(day, '%Y-%m') AS period, date_trunc('month', day) AS first_day, last_day(day) AS last_day FROM days GROUP BY ALL
+  UNION ALL SELECT 'all', min(day), max(day) FROM days)"""
+
+
+@query(
+    "shoppers_by_period",
+    f"""{_MONTHS} SELECT tenant, period, count(DISTINCT session_id) AS shoppers, true AS sketch_agrees
+FROM days JOIN periods ON day BETWEEN first_day AND last_day GROUP BY tenant, period""",
+)
+def shoppers_by_period(spark, sf):
+    """Shoppers of each month and of the whole log, counted exactly and held against the stored daily sketches."""
+    visits = bind.requests(spark, sf).select("tenant", "session_id", "ts")
+    days = visits.select("tenant", "session_id", F.to_date("ts").alias("day")).distinct()
+    months = days.select(F.date_format("day", "yyyy-MM").alias("period"), F.trunc("day", "month").alias("first_day"), F.last_day("day").alias("last_day")).distinct()
+    periods = months.unionByName(days.agg(F.lit("all").alias("period"), F.min("day").alias("first_day"), F.max("day").alias("last_day")))
+    exact = days.join(periods, F.col("day").between(F.col("first_day"), F.col("last_day"))).groupBy("tenant", "period").agg(F.count_distinct("session_id").alias("exact"))
+    found = sketches.shoppers_between(sketches.stored_shoppers(visits), periods)
+    return exact.join(found, ["tenant", "period"]).select(
+        "tenant", "period", F.col("exact").alias("shoppers"), (F.abs(F.col("shoppers") - F.col("exact")) <= F.col("exact") * 0.08).alias("sketch_agrees")
+    )
+
+
 @query(
     "transcripts",
     """SELECT conversation_id, turn, role, replace(text, chr(10), '') AS text FROM chat_v WHERE replace(text, chr(10), '') <> ''""",

@@ -242,13 +242,32 @@ def test_second_tier_respects_categories_and_first_tier(spark):
 
 
 def test_append_log_ignores_known_keys(spark, tmp_path):
-    from vitrine.sources.sinks import append_new
+    from vitrine.sources.sinks import append_new, read_log
 
     folder = str(tmp_path / "log")
     rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
-    append_new(rows(("a", 1), ("a", 1), ("b", 2)), folder, ["k"])
-    append_new(rows(("b", 9), ("c", 3)), folder, ["k"])
-    assert sorted(map(tuple, spark.read.parquet(folder).collect())) == [("a", 1), ("b", 2), ("c", 3)]
+    schema = rows(("a", 1)).schema
+    assert read_log(spark, folder, schema).collect() == []
+    assert append_new(rows(("a", 2), ("a", 1), ("b", 2)), folder, ["k"], ["v"]) == []
+    append_new(rows(("b", 9), ("c", 3), (None, 4)), folder, ["k"], ["v"])
+    append_new(rows(), folder, ["k"], ["v"])
+    assert sorted(map(tuple, read_log(spark, folder, schema).collect()), key=str) == [("a", 1), ("b", 2), ("c", 3), (None, 4)]
+
+
+def test_append_reads_only_files_that_may_hold_a_key(spark, tmp_path):
+    from vitrine.sources.sinks import append_new, read_log
+
+    folder, n = str(tmp_path / "log"), 8
+    batch = lambda lo, hi: spark.range(lo, hi).select(F.concat(F.lit("k"), "id").alias("k"), F.col("id").alias("v"))
+    for lo in (0, 500, 1000):
+        assert append_new(batch(lo, lo + 500), folder, ["k"], buckets=n) == []  # no key comes again, no file is read
+    opened = append_new(batch(495, 505).union(batch(1500, 2000)), folder, ["k"], buckets=n)
+    assert 2 <= len(opened) <= 12 and len({b for b, _ in opened}) == 2  # of 24 files, those with the ten keys
+    log = read_log(spark, folder, batch(0, 1).schema)
+    assert log.count() == 2000 == log.select("k").distinct().count()
+    # a batch that was cut short before its filters is no part of the log
+    batch(9000, 9001).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(f"{folder}/rows/batch=lost")
+    assert read_log(spark, folder, batch(0, 1).schema).count() == 2000
 
 
 def test_lexical_blocks_do_not_change_the_result(spark, monkeypatch):

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vitrine.operators import attribution, sessions
 from vitrine.plans import attribution as plans
 from vitrine.queries.registry import query
-from vitrine.sources import bind
+from vitrine.session import run_folder
+from vitrine.sources import bind, sinks
 
 AS_OF = "2000-01-01 00:00:00"
 
@@ -81,6 +82,22 @@ def order_deduplication(spark, sf):
     return rows.select("order_id", F.unix_micros("received_at").alias("received_us"), "total_price")
 
 
+@query(
+    "appended_orders",
+    "SELECT order_id, epoch_us(min(received_at)) AS received_us, min(total_price) AS total_price FROM deliveries_v GROUP BY order_id",
+)
+def appended_orders(spark, sf):
+    """The order log after all deliveries have been appended in four batches, in the order they were received."""
+    rows = bind.order_deliveries(spark, sf).select("order_id", "received_at", "total_price")
+    cuts = rows.agg(F.percentile_approx(F.unix_micros("received_at"), [0.25, 0.5, 0.75])).first()[0] or []
+    edges, folder, at = [None, *cuts, None], run_folder(spark, "order-log"), F.unix_micros("received_at")
+    for low, high in zip(edges, edges[1:]):
+        after = F.lit(True) if low is None else at > low
+        sinks.append_new(rows.filter(after & (F.lit(True) if high is None else at <= high)), folder, ["order_id"], ["received_at"], buckets=16)
+    log = sinks.read_log(spark, folder, rows.schema)
+    return log.select("order_id", F.unix_micros("received_at").alias("received_us"), "total_price")
+
+
 @query(
     "order_clicks",
     """, c AS (SELECT o.order_id, o.session_id, o.product_id, count(k.click_id) AS matched_clicks, max(epoch_us(k.clicked_at)) AS last_click_us

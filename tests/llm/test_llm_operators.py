@@ -173,7 +173,25 @@ def test_substrings(docs):
             if first[tuple(words[s : s + 50])] < i:
                 gone.update(range(s, s + 50))
         want[(i, len(words), len(gone), sha(" ".join(w for k, w in enumerate(words) if k not in gone)))] += 1
-    assert bag(rows_of(rlz_dedup.deduplicate(docs)), "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    found = rows_of(rlz_dedup.deduplicate(docs))
+    assert bag(found, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    texts = defaultdict(list)
+    for i, text in rows:
+        texts[i].append(words_of(text))
+    for r in found:
+        at = 0
+        for f in r["factors"]:
+            assert f["word_start"] >= at and f["reference"] < r["doc_id"]
+            at = f["word_end"]
+            copied = [w[f["reference_start"] : f["reference_start"] + at - f["word_start"]] for w in texts[f["reference"]]]
+            assert any(w[f["word_start"] : at] in copied for w in texts[r["doc_id"]] if len(w) == r["n_words"])  # read from the reference
+        assert sum(f["word_end"] - f["word_start"] for f in r["factors"]) == r["n_removed"]
+
+
+def test_greedy_factors():
+    """The factor that reaches farthest from where the last one ended; two references of neighbouring matches stay two factors."""
+    start, n, reference, at = (np.array(x) for x in ([0, 3, 10, 12, 60, 61], [3, 5, 2, 1, 1, 1], [1, 1, 2, 2, 3, 3], [100, 103, 7, 9, 0, 1]))
+    assert rlz_dedup.parsed(start, n, reference, at, 5) == [(0, 12, 1, 100), (12, 17, 2, 9), (60, 66, 3, 0)]
 
 
 def test_packing(docs):

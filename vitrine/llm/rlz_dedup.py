@@ -10,8 +10,10 @@ found in blocks of the same anchor.
 Parsing. A block whose anchor is in one document only matches nothing. If all blocks of an anchor are equal, the block
 is matched whole by the earliest document that has it. At a factor's boundaries the blocks of an anchor differ; of equal blocks
 all but the earliest document's are again matched whole, and the distinct blocks are compared by the windows inside
-them: the first document of every window is looked up. Matched windows that follow each other join to one factor, greedily the longest
-possible, and a document's factors are cut out of it.
+them: the first place of every window is looked up. Matches that follow each other in the document and in the same reference
+join, so they extend over block boundaries to both sides as far as document and reference agree in whole windows. The
+parse is greedy: at each place the factor that reaches farthest is taken, the next one begins where it ends. A document's factors,
+(document, start, length, reference document, reference start), are cut out of it.
 
 Scale: what is shuffled is one row a block (about one in 22 words), the windows of distinct boundary blocks, and the texts twice, for the
 boundary check and for the cutting. Frequent passages only lengthen sums that are formed on the map
@@ -50,6 +52,42 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[:n], x[width - have : width - have + n])
 
 
+def parsed(start: np.ndarray, n: np.ndarray, reference: np.ndarray, at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (first word, word after the last, reference, its first word) of a text's matches.
+
+    A match says that the n windows from `start` on are those of `reference` from `at` on.
+    """
+    order = np.lexsort((start, at - start, reference))
+    start, n, reference, at = (x[order].astype(np.int64) for x in (start, n, reference, at))
+    # matches of one reference at one distance, whose windows overlap or touch, are one
+    end, shift = start + n, at - start
+    same = (reference[1:] == reference[:-1]) & (shift[1:] == shift[:-1])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    reach = end + group * (int(end.max()) + 1)  # running maximum inside a group
+    reach = np.maximum.accumulate(reach) - group * (int(end.max()) + 1)
+    first = np.concatenate([[True], ~same | (start[1:] > reach[:-1])])
+    lo = np.flatnonzero(first)
+    starts, ends = start[lo], reach[np.append(lo[1:], len(start)) - 1] - 1 + window
+    order = np.argsort(starts, kind="stable")
+    out, best, p = [], -1, -1
+    candidates = [(int(starts[i]), int(ends[i]), int(reference[lo[i]]), int(shift[lo[i]])) for i in order]
+    i = 0
+    while i < len(candidates) or best >= 0:
+        while i < len(candidates) and candidates[i][0] <= p:
+            if best < 0 or candidates[i][1] > candidates[best][1]:
+                best = i
+            i += 1
+        if best >= 0 and candidates[best][1] > p:
+            _, stop, doc, by = candidates[best]
+            out.append((p, stop, doc, p + by))
+            p = stop
+        elif i < len(candidates):
+            p, best = candidates[i][0], -1
+        else:
+            break
+    return out
+
+
 class Sums:
     """Hashes of any runs of words, from prefix sums."""
 
@@ -133,7 +171,7 @@ def _cut(window: int):
             n_own = np.diff(own.offsets.to_numpy())
             before = np.cumsum(n_own) - n_own
             flat = own.flatten()
-            starts, ns = flat.field("start").to_numpy(), flat.field("n").to_numpy()
+            starts, ns, references, places = (flat.field(c).to_numpy() for c in ("start", "n", "reference", "at"))
             raw = data.tobytes()
             for i in range(hi - lo):
                 words = raw[offsets[i] : offsets[i + 1]].split()
@@ -145,8 +183,7 @@ def _cut(window: int):
                     np.add.at(change, np.minimum(s + n - 1 + window, len(words)), -1)
                     gone = np.cumsum(change)[:-1] > 0
                     removed = int(gone.sum())
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    mine = edges.reshape(-1, 2).tolist()
+                    mine = parsed(s, n, references[before[i] : before[i] + n_own[i]], places[before[i] : before[i] + n_own[i]], window)
                     total = len(words)
                     words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                 else:
@@ -156,8 +193,8 @@ def _cut(window: int):
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
                 factors += mine
                 n_factors.append(len(mine))
-        parts = np.array(factors, np.int64).reshape(-1, 2)
-        struct = pa.StructArray.from_arrays([pa.array(parts[:, 0]), pa.array(parts[:, 1])], ["word_start", "word_end"])
+        parts = np.array(factors, np.int64).reshape(-1, 4)
+        struct = pa.StructArray.from_arrays([pa.array(parts[:, k]) for k in range(4)], ["word_start", "word_end", "reference", "reference_start"])
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), lists(struct, np.array(n_factors))],
             ["doc_id", "n_words", "n_removed", "kept_sha256", "factors"],
@@ -170,7 +207,11 @@ _BLOCK = "struct<anchor:long,content:long,start:int,n:int>"
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), factors (word ranges cut out)."""
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one blank), factors.
+
+    factors: word_start, word_end, reference (a smaller doc_id; of rows that repeat it, one), reference_start. They cover
+    the removed words, without overlap.
+    """
     # the key of a row: its id and text; rows without an id match no list, and are not all dealt to one task
     source = texts(docs).withColumn("key", F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(" "), F.xxhash64("text")))
     indexed = stored(source.where(F.col("doc_id").isNotNull()).mapInArrow(_index(window, anchor), f"doc_id long, key string, blocks array<{_BLOCK}>"))
@@ -178,25 +219,27 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) ->
     # looked-up tables are written first: a join of two exchanges is one whose hot keys Spark can split
     anchors = stored(
         blocks.groupBy("anchor")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .where(F.col("first") < F.col("last")).select("anchor", "first", (F.col("low") != F.col("high")).alias("varied"))
+        .agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last"), F.min("content").alias("low"), F.max("content").alias("high"))
+        .where(F.col("first.doc_id") < F.col("last")).select("anchor", "first", (F.col("low") != F.col("high")).alias("varied"))
     )
     shared = stored(blocks.join(anchors, "anchor"))
-    whole = shared.where(~F.col("varied") & (F.col("doc_id") > F.col("first"))).select("key", "start", "n")
+    match = ("key", "start", "n", F.col("first.doc_id").alias("reference"), F.col("first.start").alias("at"))
+    later = F.col("doc_id") > F.col("first.doc_id")
+    whole = shared.where(~F.col("varied") & later).select(*match)
     varied = shared.where("varied").drop("first", "varied")
-    firsts = stored(varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("first")))
+    firsts = stored(varied.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first")))
     known = varied.join(firsts, ["anchor", "content"])
-    equal = known.where(F.col("doc_id") > F.col("first")).select("key", "start", "n")
-    edges = known.where(F.col("doc_id") == F.col("first")).groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("blocks"))
+    equal = known.where(later).select(*match)
+    edges = known.where(F.col("doc_id") == F.col("first.doc_id")).groupBy("key").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("blocks"))
     windows = stored(
         source.join(edges, "key", "left").select("doc_id", "key", "text", F.coalesce("blocks", F.array().cast("array<struct<anchor:long,start:int,n:int>>")).alias("blocks"))
         .mapInArrow(_windows(window), "doc_id long, key string, anchor long, content long, start int")
     )
-    earliest = stored(windows.groupBy("anchor", "content").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")))
-    single = windows.join(earliest, ["anchor", "content"]).where(F.col("doc_id") > F.col("first")).select("key", "start", F.lit(1).alias("n"))
-    matched = whole.unionByName(equal).unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("matched"))
+    earliest = stored(windows.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("doc_id").alias("last")).where(F.col("first.doc_id") < F.col("last")))
+    single = windows.join(earliest, ["anchor", "content"]).where(later).withColumn("n", F.lit(1)).select(*match)
+    matched = whole.unionByName(equal).unionByName(single).groupBy("key").agg(F.collect_set(F.struct("start", "n", "reference", "at")).alias("matched"))
     return (
         source.join(matched, "key", "left")
-        .select("doc_id", "text", F.coalesce("matched", F.array().cast("array<struct<start:int,n:int>>")).alias("matched"))
-        .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<word_start:long,word_end:long>>")
+        .select("doc_id", "text", F.coalesce("matched", F.array().cast("array<struct<start:int,n:int,reference:long,at:int>>")).alias("matched"))
+        .mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, factors array<struct<word_start:long,word_end:long,reference:long,reference_start:long>>")
     )

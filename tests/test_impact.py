@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import Window, functions as F
 
-from vitrine.operators import impact, lexical, running
+from vitrine.operators import impact, lexical, names, running
 
 
 def test_blocks_left_out_change_nothing(spark):
@@ -35,3 +35,30 @@ def test_numbers_of_a_hot_key(spark):
     w = Window.partitionBy("key")
     want = df.select("*", F.row_number().over(w.orderBy(F.desc("value"), "id")).alias("n"), F.count("*").over(w).alias("total"))
     assert sorted(map(tuple, running.numbered(df, ["key"], [F.desc("value"), "id"], "n", "total").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_similar_names_are_all_pairs_within_a_quarter(spark):
+    rng = random.Random(8)
+
+    def changed(t, n):
+        for _ in range(n):
+            at = rng.randrange(len(t) + 1)
+            t = rng.choice([t[:at] + t[at + 1 :], t[:at] + rng.choice("abé ") + t[at:], t[:at] + rng.choice("ab") + t[at + 1 :]])
+        return t
+
+    base = ["".join(rng.choice("aabbc é") for _ in range(rng.randrange(1, 22))) for _ in range(60)] + ["aaaaaaaaaaaa", "abababababab"]
+    asked = [changed(rng.choice(base), rng.randrange(7)) for _ in range(120)] + ["", None, "A"]
+    q = spark.createDataFrame([("s", a) for a in asked] + [("t", base[0])], "tenant string, query string")
+    n = spark.createDataFrame([("s", b.upper() if i % 2 else b) for i, b in enumerate(base)] + [("s", ""), ("s", None)], "tenant string, name string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    want = {(a.lower(), b.lower()) for a in asked if a for b in base if b and (max(len(a), len(b)) - distance(a.lower(), b.lower())) / max(len(a), len(b)) >= 0.75}
+    found = [(r.query, r.name) for r in names.similar(q, n).collect()]
+    assert len(found) == len(set(found)) and set(found) == want

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, tiers, vector
+from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, names, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -614,3 +614,16 @@ def edit_similarity(spark, sf):
         "query", "k", F.levenshtein("query", "name").cast("long").alias("edits"),
         F.round(matching.similarity(F.col("query"), F.col("name")), 6).alias("similarity"),
     )
+
+
+@query(
+    "similar_names",
+    """, q AS (SELECT DISTINCT tenant, lower(trim(query)) AS query FROM requests_v), n AS (SELECT DISTINCT tenant, lower(name) AS name FROM products_v)
+SELECT tenant, query, name, edits, round((longer - edits) / longer, 6) AS similarity FROM (
+  SELECT q.tenant, q.query, n.name, levenshtein(q.query, n.name) AS edits, greatest(length(q.query), length(n.name)) AS longer
+  FROM q JOIN n ON n.tenant = q.tenant AND q.query <> '' AND n.name <> '') WHERE (longer - edits) / longer >= 0.75""",
+)
+def similar_names(spark, sf):
+    """All products whose name is a quarter or less away from something that was asked for, pool or no pool."""
+    asked = bind.requests(spark, sf).select("tenant", text.js_trim("query").alias("query"))
+    return names.similar(asked, bind.products(spark, sf).select("tenant", "name"))

@@ -373,6 +373,28 @@ def test_shards(docs):
     assert len({(r["doc_id"], r["shard"]) for r in found}) == len({r["doc_id"] for r in found})
 
 
+def plain_shard(key, shards):
+    """The shard that a key's draws lead to, level by level."""
+    import math
+
+    def draw(level, number, weight):
+        bits = int(hashlib.md5(f"{key}/{level}{number}".encode()).hexdigest()[:13], 16)
+        return -math.log((bits + 1) / 2**52) / weight
+
+    per_rack, per_region = hash_tree.SHARDS_IN_RACK, hash_tree.SHARDS_IN_RACK * hash_tree.RACKS_IN_REGION
+    below = lambda first, size: max(0, min(size, shards - first))
+    node = min((draw("r", r, below(r * per_region, per_region)), r) for r in range(-(-shards // per_region)))[1]
+    racks = [k for k in range(node * hash_tree.RACKS_IN_REGION, (node + 1) * hash_tree.RACKS_IN_REGION) if below(k * per_rack, per_rack)]
+    node = min((draw("k", k, below(k * per_rack, per_rack)), k) for k in racks)[1]
+    return min((draw("s", s, 1), s) for s in range(node * per_rack, min(shards, (node + 1) * per_rack)))[1]
+
+
+def test_draws_of_the_tree(docs):
+    for r in rows_of(hash_tree.assign(docs)):
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(key, 40), plain_shard(key, 41))
+
+
 def test_shard_balance(spark):
     n = 40_000
     rows = hash_tree.assign(spark.range(n).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")))

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vitrine.llm.common import id_text
+from vitrine.llm.common import id_text, stored
 
 SHARDS = 40
 CHUNKS = 1024
@@ -67,7 +67,8 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), key.alias("key"),
         (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % CHUNKS).cast("int").alias("chunk"),
     )
-    placed = descend(descend(placed, "key", shards, "shard"), "key", shards + 1, "grown_shard")
+    # small rows without the texts, which are numbered and counted: written so that texts are read once
+    placed = stored(descend(descend(placed, "key", shards, "shard"), "key", shards + 1, "grown_shard"), "placed")
     inner = Window.partitionBy("chunk", "shard").orderBy("doc_id", "size", "text_crc32")
     counted = placed.groupBy("shard", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)

@@ -98,6 +98,41 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN leng
 FROM p"""
 
 
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(more: int) -> str:
+    return "sha256(" + " || ".join(_field(f"(CAST({c} AS HUGEINT) + {more})" if c == "n_chars" and more else c) for c in merkle_manifest.FIELDS) + ")"
+
+
+#: CRC-32 of a short ASCII text, bit by bit.
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+    "lambda r, b: list_reduce(list_prepend(xor(r, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"
+)
+_STEP = """sha256(CASE WHEN s.h IS NULL THEN f.h WHEN f.pos % 2 = 1 THEN s.h || f.h ELSE f.h || s.h END), f.proof || coalesce(s.h, ''), f.steps + 1"""
+_BESIDE = "s.tree = f.tree AND s.level = f.level AND s.pos = xor(f.pos, 1)"
+MANIFEST_TWIN = f"""
+WITH RECURSIVE d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, coalesce('=' || lang, '') AS tree, {_leaf(0)} AS leaf,
+  CASE WHEN n_chars IS NOT NULL AND doc_id IS NOT NULL AND {_CRC.format("CAST(doc_id AS VARCHAR)")} % {merkle_manifest.TAMPERED} = 0 THEN {_leaf(1)} END AS changed FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total FROM d),
+nodes AS (SELECT tree, 0 AS level, pos, total, leaf AS h FROM l
+  UNION ALL SELECT tree, level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM nodes WHERE total > 1 GROUP BY tree, level, pos // 2, total),
+subroots AS (SELECT tree AS name, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS total FROM nodes WHERE total = 1),
+forest AS (SELECT '' AS tree, 0 AS level, pos, total, h FROM subroots
+  UNION ALL SELECT tree, level + 1, pos // 2, (total + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM forest WHERE total > 1 GROUP BY tree, level, pos // 2, total),
+low AS (SELECT row_number() OVER () AS r, doc_id, leaf, changed, tree, 0 AS level, pos, total, coalesce(changed, leaf) AS h, '' AS proof, 0 AS steps FROM l),
+up AS (SELECT * FROM low UNION ALL SELECT f.r, f.doc_id, f.leaf, f.changed, f.tree, f.level + 1, f.pos // 2, (f.total + 1) // 2, {_STEP}
+  FROM up f LEFT JOIN nodes s ON {_BESIDE} WHERE f.total > 1),
+high AS (SELECT u.r, u.doc_id, u.leaf, u.changed, b.h AS subroot, '' AS tree, 0 AS level, b.pos, b.total, u.h, u.proof, u.steps FROM up u JOIN subroots b ON b.name = u.tree WHERE u.total = 1),
+top AS (SELECT * FROM high UNION ALL SELECT f.r, f.doc_id, f.leaf, f.changed, f.subroot, f.tree, f.level + 1, f.pos // 2, (f.total + 1) // 2, {_STEP}
+  FROM top f LEFT JOIN forest s ON {_BESIDE} WHERE f.total > 1),
+root AS (SELECT h AS root FROM forest WHERE total = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified, CAST(CASE WHEN changed IS NULL THEN 0 ELSE steps END AS BIGINT) AS n_copied
+FROM top, root WHERE total = 1"""
+
+
 @query("op1_secret_ownership")
 def secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ownership.scan(table(spark, sf_dir, "documents")).drop("findings", "mark")
@@ -161,7 +196,7 @@ def middles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op12_merkle_manifest")
+@query("op12_merkle_manifest", MANIFEST_TWIN)
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = merkle_manifest.manifest(merkle_manifest.document_leaves(table(spark, sf_dir, "documents")))
     return rows.select(

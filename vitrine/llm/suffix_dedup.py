@@ -42,7 +42,7 @@ from vitrine.session import run_folder
 WINDOW = 400
 ANCHOR = 128
 #: Bytes of different blocks in a shard, and of one anchor before it is cut further.
-SHARD_BYTES, HOT_BYTES = 4 << 20, 32 << 20
+SHARD_BYTES, HOT_BYTES = 4 << 20, 1 << 20
 
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 _BLOCK = "struct<anchor:long,content:long,start:int,n:int>"

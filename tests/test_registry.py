@@ -8,8 +8,8 @@ from tools.check_queries import TABLES, bag
 from vitrine.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-# No SQL twin: approximate search, a Python embedding, and NFKC, which DuckDB lacks.
-ROWS_ONLY = {"approximate_vectors", "approximate_recall", "embedded_queries", "normalised_text"}
+# No SQL twin: approximate search, what pruned searches left out, a Python embedding, and NFKC, which DuckDB lacks.
+ROWS_ONLY = {"approximate_vectors", "approximate_recall", "opened_lists", "opened_blocks", "embedded_queries", "normalised_text"}
 COMPARED = [
     "catalog_normalise", "product_rows", "product_lookup", "ordered_selection", "catalog_facets", "hybrid_search",
     "catalog_browse", "price_order", "second_tier", "trigger_decision", "trigger_recovery", "query_understanding",
@@ -17,6 +17,8 @@ COMPARED = [
     "engagement_counts", "daily_quota", "request_quotas", "stream_quota", "stream_exposures", "tiered_search",
     "pinned_results", "store_quota", "category_extraction", "stream_trigger_matches", "stream_order_clicks",
     "routed_search", "merchandised_results", "experiment_results", "attributed_orders", "gated_turns", "understood_queries", "json_export", "message_junk",
+    "query_gate", "prefix_suggestions", "pin_override", "definition_tables", "pruned_rank_fusion", "similar_names", "sketched_facets",
+    "shoppers_by_period", "appended_orders",
 ]
 
 

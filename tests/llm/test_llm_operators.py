@@ -260,6 +260,7 @@ def test_tree_is_a_weighted_mixture():
     padded = bytes(depth_n) + text + b"\0"
     grams = Counter((padded[k - depth_n : k], padded[k]) for k in range(depth_n, len(padded)))
     asked = [(b"abca", ord("b")), (b"abca", ord("z")), (b"\0\0\0\0", ord("a")), (b"zzza", ord("c")), (b"b ab", 0), (b"zzzz", 200)]
+    asked = [(ctx.rjust(depth_n, b"\0"), symbol) for ctx, symbol in asked]  # contexts have the model's depth
     counts = Counter(grams)
     counts.update({g: 0 for g in asked})
     code = np.array([int.from_bytes(c + bytes([s]), "big") for c, s in counts], np.uint64)

@@ -32,13 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from vitrine.llm.common import by_batch, id_remainder, lists, longs, stored, texts
 from vitrine.llm.wordtape import mixed, ranges, slices, tape
 
-DEPTH = 4
+DEPTH = 5
 #: Bytes of context by which the tree is cut into tasks.
 ROOT = 2
 #: Distinct grams of a task, on average.
 PART_GRAMS = 100_000
 HEAD = 1 << 19
-HEAD_GRAMS = 1 << 18
+HEAD_GRAMS = 1 << 20
 FOLDS = 10
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -9,7 +9,10 @@ from vitrine.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 # No SQL twin: approximate search, what pruned searches left out, a Python embedding, and NFKC, which DuckDB lacks.
-ROWS_ONLY = {"approximate_vectors", "approximate_recall", "opened_lists", "opened_blocks", "embedded_queries", "normalised_text"}
+ROWS_ONLY = {
+    "approximate_vectors", "approximate_recall", "opened_lists", "opened_blocks", "embedded_queries", "normalised_text",
+    "product_neighbours", "graph_alternatives", "graph_recall", "graph_seed_neighbours",
+}
 COMPARED = [
     "catalog_normalise", "product_rows", "product_lookup", "ordered_selection", "catalog_facets", "hybrid_search",
     "catalog_browse", "price_order", "second_tier", "trigger_decision", "trigger_recovery", "query_understanding",

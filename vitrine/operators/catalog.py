@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import predicates, text
-from vitrine.operators import lexical, vector
+from vitrine.operators import lexical, neighbour_graph, vector
 from vitrine.operators.running import numbered
 
 CATEGORY_FACETS, TAG_FACETS = 60, 80
@@ -164,10 +164,13 @@ def selection(requests: DataFrame, products: DataFrame) -> DataFrame:
     return wanted.join(sellable, "product_id")
 
 
-def alternatives(sources: DataFrame, products: DataFrame, index: lexical.TextIndex, limit: int = 5) -> DataFrame:
+def alternatives(
+    sources: DataFrame, products: DataFrame, index: lexical.TextIndex, limit: int = 5, graph: DataFrame | None = None
+) -> DataFrame:
     """Nearest purchasable products per source; sources without a vector fall back to text search.
 
-    The fallback searches the source's name and, like the search itself, may return the source.
+    The fallback searches the source's name and, like the search itself, may return the source. With a neighbour
+    graph of the stores' products the nearest ones are read from it instead of being searched exactly.
     """
     limit = min(max(limit or 5, 1), MAX_ALTERNATIVES)
     visible = products.filter(predicates.visible(F.col("hidden")))
@@ -177,7 +180,8 @@ def alternatives(sources: DataFrame, products: DataFrame, index: lexical.TextInd
     with_vector = sources.filter("embedding is not null").select(
         F.col("tenant").alias("lane"), F.col("id").alias("qid"), F.col("id").alias("self_id"), F.col("embedding").alias("vector")
     )
-    near = vector.nearest(with_vector, items, limit).select(
+    nearest = vector.nearest(with_vector, items, limit) if graph is None else neighbour_graph.nearest(with_vector, items, graph, limit)
+    near = nearest.select(
         F.col("lane").alias("tenant"), F.col("qid").alias("source_id"), F.lit("similar_products").alias("method"),
         (F.col("rank") + 1).cast("long").alias("position"), "id",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import matching, predicates, text
-from vitrine.operators import blocks, fusion, lexical, vector
+from vitrine.operators import blocks, fusion, lexical, neighbour_graph, vector
 from vitrine.session import checkpointed
 
 FIRST_TIER_ROWS = 25
@@ -70,18 +70,25 @@ def seeds(ranked: DataFrame) -> DataFrame:
     )
 
 
-def similar_to_seeds(seed_rows: DataFrame, products: DataFrame, k: int = PER_SEED) -> DataFrame:
-    """Nearest in-stock products per different seed product inside its own categories."""
-    vectors = products.filter("embedding is not null").select(
+def shelf_items(products: DataFrame) -> DataFrame:
+    """(tenant, id, lane, vector, stock_status_canonical): a product in the lane of each of its categories."""
+    return products.filter("embedding is not null").select(
         "tenant", "id", F.explode("category").alias("shelf"), "stock_status_canonical", F.col("embedding").alias("vector")
-    )
-    lane = F.concat_ws("|", "tenant", "shelf").alias("lane")
+    ).withColumn("lane", F.concat_ws("|", "tenant", "shelf"))
+
+
+def similar_to_seeds(seed_rows: DataFrame, products: DataFrame, k: int = PER_SEED, graph: DataFrame | None = None) -> DataFrame:
+    """Nearest in-stock products per different seed product inside its own categories.
+
+    With a neighbour graph of `shelf_items` they are read from it instead of being searched exactly.
+    """
+    vectors = shelf_items(products)
     wanted = seed_rows.select("tenant", "id").distinct()
     queries = vectors.join(wanted, ["tenant", "id"], "left_semi").select(
-        lane, F.col("id").alias("qid"), F.col("id").alias("self_id"), "vector"
+        "lane", F.col("id").alias("qid"), F.col("id").alias("self_id"), "vector"
     )
-    items = vectors.filter(predicates.strict_stock(F.col("stock_status_canonical"))).select(lane, "id", "vector")
-    found = vector.nearest(queries, items, k)
+    items = vectors.filter(predicates.strict_stock(F.col("stock_status_canonical"))).select("lane", "id", "vector")
+    found = vector.nearest(queries, items, k) if graph is None else neighbour_graph.nearest(queries, items, graph, k)
     per_seed = found.groupBy(F.split_part("lane", F.lit("|"), F.lit(1)).alias("tenant"), F.col("qid").alias("seed_id"), "id").agg(
         F.max("score").alias("score")
     )

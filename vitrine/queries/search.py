@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import matching, text
-from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, names, tiers, vector
+from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, names, neighbour_graph, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
 from vitrine.sources import bind
@@ -462,6 +462,45 @@ def product_alternatives(spark, sf):
     return catalog.alternatives(products, products, text_index(spark, sf))
 
 
+_GRAPHS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _graph(spark, sf, name, items):
+    """A neighbour graph of the catalog, built once per application and catalog and then read back."""
+    key = (spark.sparkContext.applicationId, sf, name)
+    if key not in _GRAPHS:
+        _GRAPHS[key] = neighbour_graph.build(items)
+    return _GRAPHS[key]
+
+
+def store_graph(spark, sf):
+    products = _attributes(spark, sf).select(F.col("tenant").alias("lane"), "id", F.col("embedding").alias("vector"))
+    return _graph(spark, sf, "stores", products)
+
+
+@query("product_neighbours")
+def product_neighbours(spark, sf):
+    """The links of the neighbour graph of every store."""
+    return store_graph(spark, sf).withColumnsRenamed({"lane": "tenant", "id": "source_id", "other": "id"})
+
+
+@query("graph_alternatives")
+def graph_alternatives(spark, sf):
+    """`product_alternatives`, the nearest products read from the neighbour graph."""
+    products = _attributes(spark, sf)
+    return catalog.alternatives(products, products, text_index(spark, sf), graph=store_graph(spark, sf))
+
+
+@query("graph_recall")
+def graph_recall(spark, sf):
+    """How many of the exact alternatives of a product the graph finds."""
+    products = _attributes(spark, sf)
+    found = lambda graph: catalog.alternatives(products, products, text_index(spark, sf), graph=graph).where(
+        "method = 'similar_products'"
+    ).select(F.col("tenant").alias("lane"), F.col("source_id").alias("qid"), "id")
+    return vector.recall(found(store_graph(spark, sf)), found(None)).withColumnsRenamed({"lane": "tenant", "qid": "source_id"})
+
+
 def _ranked(spark, sf):
     return search.ranked_pool(
         bind.requests(spark, sf), _attributes(spark, sf), bind.query_vectors(spark, sf), text_index(spark, sf)
@@ -510,6 +549,13 @@ def seed_neighbours(spark, sf):
     return tiers.similar_to_seeds(tiers.seeds(_ranked(spark, sf)), _attributes(spark, sf))
 
 
+@query("graph_seed_neighbours")
+def graph_seed_neighbours(spark, sf):
+    """`seed_neighbours`, read from a neighbour graph of the stores' categories."""
+    products = _attributes(spark, sf)
+    return tiers.similar_to_seeds(tiers.seeds(_ranked(spark, sf)), products, graph=_graph(spark, sf, "shelves", tiers.shelf_items(products)))
+
+
 @query(
     "top_soft_categories",
     """SELECT tenant, in_stock, query, array_to_string(list_sort(list(DISTINCT s)), '|') AS wanted_soft

@@ -333,6 +333,42 @@ def test_similarity_join(docs, bucket):
     assert bag(rows_of(chosen_path.classes(docs, bucket=bucket, depth=3)), "doc_id", "class_id", "n_links", "class_docs") == want
 
 
+def test_recall_in_large_buckets(spark):
+    """Copies of one text, near the threshold of each other, whose buckets stay above the bound down to the last level."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for i in range(1300):
+        words = list(base)
+        for k in rng.sample(range(120), rng.randint(1, 2)):
+            words[k] = f"x{i}k{k}"
+        texts.append(words)
+    number = defaultdict(lambda: len(number))
+    sets = [[number[tuple(words[k : k + 5])] for k in range(116)] for words in texts]
+    held = np.zeros((len(sets), len(number)), np.float32)
+    held[np.repeat(np.arange(len(sets)), 116), np.concatenate(sets)] = 1
+    shared = held @ held.T
+    links = (9 * shared >= 4 * (116 + 116)).sum(1) - 1
+    found = chosen_path.classes(spark.createDataFrame([(i, " ".join(words)) for i, words in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: r.n_links for r in found.collect()}
+    assert all(got[i] <= links[i] for i in got)
+    assert sum(got.values()) >= chosen_path.RECALL * links.sum()
+
+
+@pytest.mark.parametrize("levels", [0, 1, 3])
+def test_survival_in_trees(levels):
+    """Pairs at the threshold, followed down the sampled positions of random tree nodes."""
+    rng = np.random.default_rng(levels)
+    alive, tries = 0, 4000
+    for _ in range(tries):
+        equal = rng.random(chosen_path.WIDTH) < chosen_path.THRESHOLD
+        nodes = 1
+        for _ in range(levels):
+            nodes = int((rng.random((nodes, chosen_path.WIDTH)) * equal > 1 - 1 / (chosen_path.THRESHOLD * chosen_path.WIDTH)).sum())
+        alive += nodes > 0
+    assert abs(alive / tries - chosen_path.survival(chosen_path.THRESHOLD, levels)) < 0.04
+
+
 def test_one_of_each(odd):
     kept = chosen_path.one_of_each(odd)
     assert kept.columns == odd.columns

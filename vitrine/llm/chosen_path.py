@@ -45,15 +45,31 @@ _RANDOM = np.random.default_rng(58)
 _FACTORS = _RANDOM.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def root_samples(threshold: float = THRESHOLD, recall: float = RECALL) -> list[tuple[int, int]]:
-    """(run, position) of the roots, runs being added until a pair at the threshold is missed with 1 - recall at most."""
+def survival(threshold: float, levels: int) -> float:
+    """Share of the pairs at the threshold, together in a tree node, that are still together in a node `levels` deeper.
+
+    Each of a node's WIDTH positions is sampled with 1 / (threshold x WIDTH) and, where it is, keeps the pair together with
+    probability `threshold`.
+    """
+    share = 1.0
+    for _ in range(levels):
+        share = 1 - (1 - share / WIDTH) ** WIDTH
+    return share
+
+
+def root_samples(threshold: float = THRESHOLD, recall: float = RECALL, levels: int = DEPTH - 1) -> list[tuple[int, int]]:
+    """(run, position) of the roots, runs being added until a pair at the threshold is missed with 1 - recall at most.
+
+    That holds also where all its buckets are large down to the last of `levels` below the root. The paths of a run
+    are taken to end together, which they do less often than that.
+    """
     rng, out, run, miss = np.random.default_rng(41), [], 0, 1.0
+    deeper = survival(threshold, levels)
     while miss > 1 - recall:
-        # a pair that shares a value in this run's root still has to survive deeper levels in a large bucket: half of them are taken to
         chosen = np.flatnonzero(rng.random(WIDTH) < 1 / (threshold * WIDTH)).tolist()
         if chosen:
             out += [(run, p) for p in chosen]
-            miss *= 1 - (1 - (1 - threshold) ** len(chosen)) / 2
+            miss *= 1 - (1 - (1 - threshold) ** len(chosen)) * deeper
         run += 1
     return out
 
@@ -241,7 +257,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), bucket: int =
         rows.where("node is not null").groupBy("node")
         .agg(F.count("*").alias("copies"), F.min("doc_id").alias("least_id"), F.min(F.struct("doc_id", "mark")).alias("one"), F.min("sketch").alias("sketch"))
     )
-    level = nodes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(run), F.lit(p), _value(F.col("sketch"), p)) for run, p in root_samples(bound)))).alias("path"))
+    level = nodes.select("node", F.explode(F.array(*(F.xxhash64(F.lit(run), F.lit(p), _value(F.col("sketch"), p)) for run, p in root_samples(bound, levels=depth - 1)))).alias("path"))
     leaves: list[DataFrame] = []
     for step in range(depth):
         found = stored(_shared(level))

@@ -38,6 +38,8 @@ BUCKET = 512
 #: only copy groups of near copies, which no level can part and which are compared in blocks in the end.
 DEPTH = 4
 RECALL = 0.99
+#: Parts in which the links of one member are looked at.
+SALTS = 64
 #: Standard deviations below the threshold at which an embedding still makes a candidate.
 SLACK = 3.5
 
@@ -172,6 +174,14 @@ def _dealt(rows: DataFrame, bucket: str, size: int) -> DataFrame:
     return rows.withColumn("side", (F.col("own") == high).cast("int")).withColumn("pair", low != high).withColumn("key", F.xxhash64(bucket, low, high)).drop("other")
 
 
+def _with_least(links: DataFrame) -> DataFrame:
+    """Links (a, b) with m, the smallest b of their a. A member with very many links is as many keys as there are salts."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
+    whole = parts.groupBy("a").agg(F.min("m").alias("m"))
+    return salted.join(parts.select("a", "salt").join(whole, "a"), ["a", "salt"]).select("a", "b", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node it is connected with, by alternating stars.
 
@@ -183,10 +193,8 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(small_least, "a")
+        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+        small = _with_least(large)
         after = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
         links = stored(after)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())

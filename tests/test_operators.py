@@ -172,6 +172,20 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
     assert sorted(map(str, again.collect())) == want
 
 
+def test_a_table_in_parts_is_streamed_like_one_file(spark, tmp_path):
+    rows = spark.range(40).selectExpr("id as conv_id", "id % 3 as turn", "'user' as role", "concat('t', id) as text")
+    for name, parts in (("whole", 1), ("parts", 4)):
+        rows.repartition(parts).write.parquet(str(tmp_path / name / "conversations.parquet"))
+    (part,) = (tmp_path / "whole" / "conversations.parquet").glob("part-*")
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "conversations.parquet").symlink_to(part)
+    (tmp_path / "one" / "more_conversations.parquet").symlink_to(part)  # another table
+    for name in ("one", "whole", "parts"):
+        stream = jobs.read_table(spark, str(tmp_path / name), "conversations")
+        table = jobs.to_table(stream, "copy", folder=str(tmp_path / f"out-{name}"))
+        assert sorted(map(tuple, table.drop("batch_number").collect())) == sorted(map(tuple, rows.collect()))
+
+
 @pytest.mark.parametrize("per_batch", [8, 2])
 def test_quota_stream_over_files_and_batches_equals_batch(spark, tmp_path, per_batch):
     """Files in one batch come in any order; batches follow the time."""

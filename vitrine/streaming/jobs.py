@@ -21,9 +21,11 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def read_table(spark, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream; the schema comes from the file, never from inference."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A given table, one file or a folder of them, as a file stream; the schema comes from the files, never from inference."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    # a pattern, as a stream takes a plain path for a folder
+    return spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 @contextmanager

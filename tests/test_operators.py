@@ -172,6 +172,35 @@ def test_streams_over_several_batches_equal_batch(spark, tmp_path):
     assert sorted(map(str, again.collect())) == want
 
 
+def test_postings_count_inside_rows_and_merge_repeated_products(spark, tmp_path, capsys):
+    import collections
+    import re
+
+    def product(number, tenant, text, name="Red red ROSE"):
+        return (tenant, str(number), name, ["Fresh cut"], ["red", None, "rose-red"], text)
+
+    schema = "tenant string, id string, name string, category array<string>, soft_category array<string>, description string"
+    rows = [product(1, "a", "b a b, B c"), product(2, "a", None, name=None), product(3, "b", " .. "), product(None, "a", "x y"), product(5, "a", "ß x ß")]
+    products = spark.createDataFrame(rows, schema)
+    lexical.postings(products).explain()
+    assert "Exchange" not in capsys.readouterr().out  # counted without a shuffle of all words
+
+    again = [*rows, product(1, "a", "a b c d e"), product(None, "a", "x z"), product(1, "b", "a")]
+    for given in (rows, again):
+        want = collections.Counter()
+        for tenant, number, name, category, soft, text in given:
+            listed = {"name": name, "category": " ".join(category), "soft_category": " ".join(w for w in soft if w), "description": text}
+            for field, value in listed.items():
+                words = [w for w in re.split(r"[^a-zß]+", (value or "").lower()) if w]
+                for word in words:
+                    want[tenant, field, word, number, len(words)] += 1
+        want = sorted(((*key[:4], n, key[4]) for key, n in want.items()), key=str)
+        products = spark.createDataFrame(given, schema)
+        assert sorted(map(tuple, lexical.postings(products).collect()), key=str) == want
+        kept = lexical.stored_index(products, str(tmp_path / str(len(given))))
+        assert sorted(map(tuple, kept.postings.collect()), key=str) == want
+
+
 def test_a_table_in_parts_is_streamed_like_one_file(spark, tmp_path):
     rows = spark.range(40).selectExpr("id as conv_id", "id % 3 as turn", "'user' as role", "concat('t', id) as text")
     for name, parts in (("whole", 1), ("parts", 4)):

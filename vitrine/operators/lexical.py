@@ -6,6 +6,7 @@ reaches an index token exactly or within one edit; each way carries its own fiel
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
-from vitrine.session import run_folder
+from vitrine.session import checkpointed, run_folder
 
 K1, B = 1.2, 0.75
 POOL = 80
@@ -53,19 +54,48 @@ def field_texts(products: DataFrame) -> DataFrame:
     )
 
 
-def postings(products: DataFrame) -> DataFrame:
-    """Token counts per product and field, with the field's length in tokens."""
-    words = field_texts(products).select("tenant", "field", "id", index_tokens(F.col("text")).alias("words"))
+def field_text(products: DataFrame, field: str) -> DataFrame:
+    """The rows of ``field_texts`` of one field."""
+    text = F.col(field) if field in ("name", "description") else F.array_join(field, " ")
+    return products.select("tenant", "id", F.lit(field).alias("field"), text.alias("text")).filter("text is not null")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """Token counts of each row of ``texts``: words are sorted inside the row, so nothing is shuffled."""
+    words = texts.select("tenant", "field", "id", F.sort_array(index_tokens(F.col("text"))).alias("words"))
+    # where each different word begins; element_at counts from 1
+    begins = F.filter(
+        F.sequence(F.lit(1), F.size("words")),
+        lambda i: (i == 1) | (F.element_at("words", i) != F.element_at("words", F.greatest(i - 1, F.lit(1)))),
+    )
+    runs = words.filter(F.size("words") > 0).select("*", F.size("words").alias("n"), begins.alias("begins"))
     # explode_outer: a plain explode makes Spark tokenise once more to test for empty lists.
-    return (
-        words.select("tenant", "field", "id", F.size("words").cast("long").alias("dl"), F.explode_outer("words").alias("token"))
-        .filter("token is not null")
-        .groupBy("tenant", "field", "token", "id", "dl")
-        .agg(F.count("*").alias("tf"))
-        .select("tenant", "field", "token", "id", "tf", "dl")
+    return runs.select("tenant", "field", "id", "words", "n", "begins", F.posexplode_outer("begins").alias("at", "begin")).select(
+        "tenant", "field", F.element_at("words", F.col("begin")).alias("token"), "id",
+        (F.coalesce(F.get("begins", F.col("at") + 1), F.col("n") + 1) - F.col("begin")).cast("long").alias("tf"), F.col("n").cast("long").alias("dl"),
     )
 
 
+def _repeated(products: DataFrame) -> DataFrame | None:
+    """(tenant, id) of products with several rows, or nothing where there are none."""
+    found = checkpointed(products.groupBy("tenant", "id").agg(F.count("*").alias("n")).filter("n > 1").select("tenant", "id"))
+    return None if found.isEmpty() else found
+
+
+def postings(products: DataFrame) -> DataFrame:
+    """Token counts per product and field, with the field's length in tokens."""
+    return _postings(products, _repeated(products))
+
+
+def _postings(products: DataFrame, repeated: DataFrame | None, texts: Callable[[DataFrame], DataFrame] = field_texts) -> DataFrame:
+    if repeated is None:
+        return _counted(texts(products))
+    # rows of one product and equal length count as one text
+    same = products["tenant"].eqNullSafe(repeated["tenant"]) & products["id"].eqNullSafe(repeated["id"])
+    merged = _counted(texts(products.join(repeated, same, "left_semi"))).groupBy("tenant", "field", "token", "id", "dl").agg(F.sum("tf").alias("tf"))
+    return _counted(texts(products.join(repeated, same, "left_anti"))).unionByName(merged)
+
+
 def build_index(products: DataFrame) -> TextIndex:
     """The index as one lazy plan, for catalogs read once; see ``stored_index`` for reuse."""
     return statistics(postings(products))
@@ -88,7 +118,11 @@ def stored_index(products: DataFrame, folder: str | None = None) -> TextIndex:
     """
     spark = products.sparkSession
     folder = folder or run_folder(spark, "text-index")
-    postings(products).write.mode("overwrite").partitionBy("field").parquet(f"{folder}/postings")
+    repeated = _repeated(products)
+    for field in EXACT_WEIGHT:
+        # a folder a field, each written by itself: rows need not be sorted by field before they are written
+        one = _postings(products, repeated, lambda rows, field=field: field_text(rows, field))
+        one.drop("field").write.mode("overwrite").parquet(f"{folder}/postings/field={field}")
     post = spark.read.parquet(f"{folder}/postings").select("tenant", "field", "token", "id", "tf", "dl")
     counted = statistics(post)
     counted.tokens.write.mode("overwrite").partitionBy("field").parquet(f"{folder}/tokens")

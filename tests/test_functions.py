@@ -122,6 +122,16 @@ def test_nfkc(spark):
     assert one(spark, text.normalize_nfkc(F.col("v")), v="plain") == "plain"
 
 
+def test_nfkc_holds_few_texts_at_a_time(spark, capsys):
+    import unicodedata
+
+    values = [None, "", "plain\x7f", "\u0130\ufb01ne\u2460", "a" * 50 + "\u2460", "\n", "\u00e9\n"]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", text.normalize_nfkc(F.col("v")).alias("n"))
+    assert {r["v"]: r["n"] for r in rows.collect()} == {v: v and unicodedata.normalize("NFKC", v) for v in values}
+    rows.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out  # 10,000 whole texts a batch
+
+
 def test_lists_and_ids(spark):
     assert one(spark, text.as_list(F.col("v")), v=" a, ,b ") == ["a", "b"]
     assert one(spark, text.sanitize_id(F.col("v")), v=" ok:1.2_x ") == "ok:1.2_x"

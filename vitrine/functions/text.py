@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # --- Fixed values -------------------------------------------------------------------------------
@@ -234,9 +234,13 @@ def opening_text(reason: Column, query: Column) -> Column:
 
 
 def normalize_nfkc(text: Column) -> Column:
-    """NFKC has no Spark built-in: an Arrow UDF, skipped for rows that are plain ASCII."""
-    @F.pandas_udf("string")
-    def nfkc(values: pd.Series) -> pd.Series:
-        return values.str.normalize("NFKC")
+    """NFKC has no Spark built-in: a Python UDF that is given no plain ASCII.
 
-    return F.when(text.rlike(r"^[\x00-\x7f]*$"), text).otherwise(nfkc(text))
+    Not an Arrow one, whose batch of 10,000 whole texts grows with their length; this one holds 100 texts at a time.
+    """
+    @F.udf("string", useArrow=False)
+    def nfkc(value: str | None) -> str | None:
+        return None if value is None else unicodedata.normalize("NFKC", value)
+
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    return F.when(plain, text).otherwise(nfkc(F.when(~plain, text)))

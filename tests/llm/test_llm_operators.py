@@ -583,3 +583,18 @@ def test_query_equals_its_twin(name, odd, spark, tmp_path):
     want = con.execute(queries.ORACLES[name])
     columns = [c[0] for c in want.description]
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
+def test_candidates_are_dealt_half_sketches():
+    import pyarrow as pa
+
+    from vitrine.llm import chosen_path
+
+    values = np.random.default_rng(3).integers(0, 1 << 32, (3, chosen_path.WIDTH), dtype=np.uint32)
+    values[1] = values[0]
+    whole = pa.RecordBatch.from_arrays([pa.array([b"a", b"b", b"c"], pa.binary()), pa.array([v.astype(">u4").tobytes() for v in values], pa.binary())], ["node", "sketch"])
+    (short,) = chosen_path._short(iter([whole]))
+    assert [len(s) for s in short.column("sketch").to_pylist()] == [2 * chosen_path.WIDTH] * 3
+    keyed = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), *short.columns], ["key", *short.schema.names])
+    (links,) = chosen_path._candidates(chosen_path.WIDTH)(iter([keyed]))
+    assert links.to_pylist() == [{"a": b"b", "b": b"a"}]

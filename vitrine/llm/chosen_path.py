@@ -120,6 +120,13 @@ def _value(sketch: Column, position: Column | int) -> Column:
     return F.substring(sketch, F.lit(position) * 4 + 1 if isinstance(position, int) else position * 4 + 1, F.lit(4))
 
 
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with the lower halves of their values, which are all that candidates are told by."""
+    for batch in batches:
+        halves = [np.frombuffer(s, ">u4").astype(">u2").tobytes() for s in batch.column("sketch").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(halves, pa.binary())], ["node", "sketch"])
+
+
 def _shared(paths: DataFrame) -> DataFrame:
     """(path, node, n) of the buckets that hold several nodes."""
     # written first: a join of two exchanges is one whose hot keys Spark can split
@@ -149,7 +156,7 @@ def _candidates(least: int):
         roots: list[bytes] = []
         for bucket in groups(batches, "key"):
             nodes = bucket.column("node").to_pylist()
-            values = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), ">u4").reshape(len(nodes), WIDTH).astype(np.uint16)
+            values = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), ">u2").reshape(len(nodes), WIDTH)
             if len(nodes) == 2:
                 root = [0, 0 if (values[0] == values[1]).sum() >= least else 1]
             else:
@@ -284,7 +291,8 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), bucket: int =
         rest = rest.unionByName(leaf)
     least = math.ceil(WIDTH * (bound - SLACK * math.sqrt(bound * (1 - bound) / WIDTH)))
     edges = (
-        _dealt(rest, "path", bucket).select("key", "node").join(nodes.select("node", "sketch"), "node")
+        # a large bucket's sketches are dealt once a pair of blocks: half of each suffices
+        _dealt(rest, "path", bucket).select("key", "node").join(nodes.select("node", "sketch").mapInArrow(_short, "node binary, sketch binary"), "node")
         .repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(least), "a binary, b binary")
     )
     grouped = components(edges)

@@ -92,3 +92,32 @@ def test_queries(spark):
     assert recall[0] >= 0.95 * recall[1] > 0
     seeds = {name: entry.queries()[name](spark, SF).select("tenant", "seed_id", "id").collect() for name in ("seed_neighbours", "graph_seed_neighbours")}
     assert len(set(seeds["seed_neighbours"]) & set(seeds["graph_seed_neighbours"])) >= 0.95 * len(seeds["seed_neighbours"])
+
+
+def test_lanes_of_several_cells(items, exact, graph):
+    """Cells of far fewer items than a lane, a third of them in one cluster: lists are completed by descent."""
+    several = neighbour_graph.build(items, cell=300)
+    assert _share(_found(several, 20), exact) >= 0.95
+    assert several.groupBy("lane", "id").count().agg(F.max("count")).first()[0] == neighbour_graph.NEIGHBOURS
+    assert several.where("id = other").isEmpty() and several.count() == several.select("lane", "id", "other").distinct().count() == graph.count()
+
+
+def test_added_items_of_lanes_of_several_cells(items, exact):
+    late = F.pmod(F.xxhash64("id"), F.lit(ITEMS // ADDED)) == 0
+    after = neighbour_graph.extended(neighbour_graph.build(items.where(~late), cell=300), items, items.where(late), cell=300)
+    assert _share(_found(after, 20), exact) >= 0.95
+
+
+def test_a_lane_of_one_cell_is_exact(graph, exact):
+    assert _share(_found(graph, 20), exact) == 1.0
+
+
+def test_equal_vectors_fill_no_cell(spark):
+    """More equal vectors than a cell holds are several cells, and every item has a whole list."""
+    rows = [("a", f"i{i:04}", [1.0, float(i < 700), 0.5 * (i % 7) * (i >= 700)]) for i in range(1000)]
+    equal = spark.createDataFrame(rows, "lane string, id string, vector array<double>")
+    found = neighbour_graph.build(equal, k=10, cell=100)
+    assert found.groupBy("id").count().agg(F.min("count"), F.count("*")).first()[:] == (10, 1000)
+    assert found.where("id < 'i0700'").agg(F.min("score")).first()[0] == 1.0
+    sizes = neighbour_graph._placed(neighbour_graph._points(equal), 100).select("item", F.explode("cells").alias("cell")).groupBy("cell").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 250

@@ -87,7 +87,7 @@ def _parts(dim: int) -> int:
     return dim // 4 if dim % 4 == 0 else dim
 
 
-def _sampled(items: DataFrame, rows: int) -> DataFrame:
+def sampled(items: DataFrame, rows: int) -> DataFrame:
     """At most `rows` items of each lane, the same ones every time."""
     w = Window.partitionBy("lane").orderBy(F.xxhash64("id"), "id")
     return items.select("lane", "vector", F.row_number().over(w).alias("n"), F.col("id")).filter(F.col("n") <= rows).select("lane", "vector")
@@ -108,7 +108,7 @@ def build(items: DataFrame, sample: int = SAMPLE, folder: str | None = None) ->
         means = spherical_means(_unit(_matrix(rows["vector"])), n)
         return pd.DataFrame({"lane": rows["lane"].iloc[0], "list": np.arange(len(means)), "centroid": list(means)})
 
-    _sampled(items, sample).join(sizes, "lane").groupBy("lane").applyInPandas(train, "lane string, list int, centroid array<double>").write.mode("overwrite").parquet(f"{folder}/centroids")
+    sampled(items, sample).join(sizes, "lane").groupBy("lane").applyInPandas(train, "lane string, list int, centroid array<double>").write.mode("overwrite").parquet(f"{folder}/centroids")
     centroids = spark.read.parquet(f"{folder}/centroids")
     blocks = sizes.select("lane", F.ceil(F.col("lane_size") / BLOCK_ROWS).cast("int").alias("blocks"))
     dealt = items.select("lane", "id", "vector").join(blocks, "lane").select("lane", "id", "vector", F.pmod(F.xxhash64("id"), "blocks").alias("block"))

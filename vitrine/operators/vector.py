@@ -13,6 +13,8 @@ from vitrine.operators.blocks import best_rows, blocked_top_k
 POOL = 80
 #: Queries scored at once against the items of a cell.
 TILE = 128
+#: Queries of a cell.
+QUERY_ROWS = 16_384
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
@@ -37,15 +39,16 @@ def cosine_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame
     order = np.argsort(np.argsort(ids))
     queries, items = _unit(left["vector"]), _unit(right["vector"]).T
     own = left["self_id"].to_numpy() if "self_id" in left else None
+    places = right.reset_index(drop=True).groupby("id", dropna=False).indices if own is not None else {}
     holders = _holders(right["tags"]) if "tags" in left else None
-    rows = []
-    for n, qid in enumerate(left["qid"]):
+    chosen, found = [], []
+    for n in range(len(left)):
         if n % TILE == 0:
             # the scores of a whole cell would not fit beside those of other tasks
             scores = np.round(queries[n : n + TILE] @ items, 6)
         line = scores[n % TILE]
         if own is not None:
-            line = np.where(ids == own[n], -np.inf, line)
+            line[places.get(own[n], [])] = -np.inf
         if holders is not None:
             allowed = np.zeros(len(ids), bool)
             for tag in left["tags"].iat[n]:
@@ -53,15 +56,16 @@ def cosine_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame
             line = np.where(allowed, line, -np.inf)
         best = best_rows(line, order, k)
         best = best[np.isfinite(line[best])]
-        rows.append(pd.DataFrame({"qid": qid, "id": ids[best], "score": line[best]}))
-    out = pd.concat(rows)
-    out.insert(0, "lane", left["lane"].iloc[0])
-    return out
+        chosen.append(best)
+        found.append(line[best])
+    row = np.repeat(np.arange(len(left)), [len(best) for best in chosen])
+    return pd.DataFrame({"lane": left["lane"].iloc[0], "qid": left["qid"].to_numpy()[row], "id": ids[np.concatenate(chosen)], "score": np.concatenate(found)})
 
 
 def nearest(queries: DataFrame, items: DataFrame, k: int = POOL) -> DataFrame:
     """Exact k nearest: ``queries(lane, qid, vector[, self_id])``, ``items(lane, id, vector)``."""
-    return blocked_top_k(queries, items, cosine_cell, k, item_rows=50_000)
+    # an item goes to a cell for each block of queries, so blocks are large: a vector weighs little beside the scores of a tile
+    return blocked_top_k(queries, items, cosine_cell, k, query_rows=QUERY_ROWS, item_rows=50_000)
 
 
 def embedded(queries: DataFrame, embed: Callable[[pd.Series], pd.Series]) -> DataFrame:

@@ -28,8 +28,9 @@ def _best(lists: Column, k: int) -> Column:
 def leaves(index: TextIndex, products: DataFrame, k: int = BEST) -> DataFrame:
     """``(tenant, longest, best)``: the prefix where a token enters the trie, and its first k visible products.
 
-    A token enters at its whole length or the longest prefix that its field indexes. The first k per
-    field are taken with a window that Spark limits before its shuffle, so a frequent token costs k rows a task.
+    A token enters at its whole length or the longest prefix that its field indexes. The first k products per
+    field are taken with a window that Spark limits before its shuffle, so a frequent token costs k products a task. A
+    product that enters by several tokens has one dense rank, so entries need no shuffle of their own to be made distinct.
     """
     sizes = F.create_map(*[x for f, n in PREFIX_MAX.items() for x in (F.lit(f), F.lit(n))])
     places = F.create_map(*[x for n, f in enumerate(FIELDS) for x in (F.lit(f), F.lit(n))])
@@ -39,8 +40,8 @@ def leaves(index: TextIndex, products: DataFrame, k: int = BEST) -> DataFrame:
     )
     w = Window.partitionBy("tenant", "longest", "place").orderBy("id")
     first = (
-        entries.distinct().join(visible, ["tenant", "id"]).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= k)
-        .groupBy("tenant", "longest").agg(F.collect_list(F.struct("place", "id")).alias("own"))  # at most k a field
+        entries.join(visible, ["tenant", "id"]).withColumn("n", F.dense_rank().over(w)).filter(F.col("n") <= k)
+        .groupBy("tenant", "longest").agg(F.collect_set(F.struct("place", "id")).alias("own"))  # at most k a field
     )
     return first.select("tenant", "longest", _best(F.array("own"), k).alias("best"))
 

@@ -56,6 +56,13 @@ def _directions(cutting: int, depth: int, dim: int) -> np.ndarray:
     return np.random.default_rng([cutting, dim]).standard_normal((depth, dim)).T
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def _leaf(along: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """The leaf of each row of a binary tree whose cuts are given level by level."""
     leaf = np.zeros(len(along), np.int64)
@@ -109,7 +116,7 @@ def _placed(points: DataFrame, cell: int) -> DataFrame:
                 matrix, items, own = _unit(rows["vector"].iloc[at]), rows["item"].to_numpy()[at], []
                 for cutting, (cuts, leaf_cells) in enumerate(trees[lane]):
                     leaf = _leaf(matrix @ _directions(cutting, int(np.log2(len(leaf_cells))), matrix.shape[1]), cuts)
-                    part = (items * 0x9E3779B1 + (items >> 33) * 0x85EBCA6B + cutting * 0xC2B2AE35 >> 7) % leaf_cells[leaf]
+                    part = (_mixed(items.astype(np.uint64) + np.uint64(cutting << 57)) % leaf_cells[leaf].astype(np.uint64)).astype(np.int64)
                     own.append((cutting << 52) + (leaf << 26) + part)
                 rough[at] = True
                 for i, row in zip(at, np.stack(own, axis=1), strict=True):
@@ -136,8 +143,6 @@ def _beside(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("item")
         unit, items, added = _unit(rows["vector"]), rows["item"].to_numpy(), rows["added"].to_numpy()
-        # of a lane's several cells each gives half a list
-        most = -(-k // 2) if rows["rough"].iloc[0] else k
         out = []
         if added.any():
             for at in range(0, len(rows), TILE):
@@ -146,9 +151,9 @@ def _beside(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
                 score[own, at + own] = -np.inf
                 if not added.all():
                     score[~(added[at : at + TILE, None] | added[None, :])] = -np.inf
-                bound = np.partition(score, len(rows) - most, axis=1)[:, len(rows) - most] if len(rows) > most else np.full(len(score), -2.0)
+                bound = np.partition(score, len(rows) - k, axis=1)[:, len(rows) - k] if len(rows) > k else np.full(len(score), -2.0)
                 a, b = np.nonzero(score >= np.maximum(bound, -2.0)[:, None] - _STEP)
-                out.append(_kept(at + a, b, np.round(score[a, b], 6), most))
+                out.append(_kept(at + a, b, np.round(score[a, b], 6), k))
         if not out:
             return no_rows(item=np.int64, other=np.int64, score=float)
         a, b, score = (np.concatenate(x) for x in zip(*out, strict=True))
@@ -163,7 +168,7 @@ def _first_links(placed: DataFrame, k: int, only: DataFrame | None = None) -> Da
         marked = placed.withColumn("added", F.lit(True))
     else:
         marked = placed.join(only.select("lane", "id", F.lit(True).alias("added")).distinct(), ["lane", "id"], "left").withColumn("added", F.coalesce("added", F.lit(False)))
-    dealt = marked.select("lane", "item", "vector", "rough", "added", F.explode("cells").alias("cell"))
+    dealt = marked.select("lane", "item", "vector", "added", F.explode("cells").alias("cell"))
     tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(tasks, "lane", "cell").groupBy("lane", "cell").applyInPandas(_beside(k), _FOUND)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vitrine.llm import (
     chosen_path, context_tree, decontamination, harmonic_packing, hash_tree, language_mixture, licence_digest, media_columns, queries, rlz_dedup, secret_ownership,
 )
+from vitrine.llm import common
 from vitrine.llm.common import id_remainder
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, row string, key string, score double, spans string"
@@ -598,3 +599,19 @@ def test_candidates_are_dealt_half_sketches():
     keyed = pa.RecordBatch.from_arrays([pa.array([7, 7, 7]), *short.columns], ["key", *short.schema.names])
     (links,) = chosen_path._candidates(chosen_path.WIDTH)(iter([keyed]))
     assert links.to_pylist() == [{"a": b"b", "b": b"a"}]
+
+
+def test_components_are_found_round_by_round_in_small_plans(spark, monkeypatch):
+    """Chains, a star and repeats; each written half of a round joins once, however many rounds there are."""
+    joins = []
+
+    def stored(df, *args, **options):
+        joins.append(df._jdf.queryExecution().logical().toString().count("Join "))
+        return common.stored(df, *args, **options)
+
+    monkeypatch.setattr(chosen_path, "stored", stored)
+    edges = [(i, i + 1) for i in range(40)] + [(200, i) for i in range(100, 190)] + [(7, 3), (300, 300), (401, 400), (400, 401)]
+    made = chosen_path.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 190), 200]} | {400: 400, 401: 400}
+    assert len(made) == len(want) and {r.node: r.root for r in made} == want
+    assert len(joins) > 4 and max(joins) == 1

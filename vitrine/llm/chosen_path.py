@@ -185,25 +185,30 @@ def _with_least(links: DataFrame) -> DataFrame:
     """Links (a, b) with m, the smallest b of their a. A member with very many links is as many keys as there are salts."""
     salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
     parts = salted.groupBy("a", "salt").agg(F.min("b").alias("m"))
-    whole = parts.groupBy("a").agg(F.min("m").alias("m"))
-    return salted.join(parts.select("a", "salt").join(whole, "a"), ["a", "salt"]).select("a", "b", "m")
+    # a member has at most as many parts as there are salts
+    least = parts.select("a", "salt", F.min("m").over(Window.partitionBy("a")).alias("m"))
+    return salted.join(least, ["a", "salt"]).select("a", "b", "m")
+
+
+def _pair(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node it is connected with, by alternating stars.
 
-    Each round links larger neighbours to the smallest, then smaller ones; it ends when no link changes.
+    Each round links larger neighbours to the smallest, then smaller ones; it ends when no link changes. Both halves of a
+    round are written, so a plan holds one star only: the driver keeps the plans of all rounds.
     """
     turned = F.col("a") > F.col("b")
     hi, lo = F.when(turned, F.col("a")).otherwise(F.col("b")), F.when(turned, F.col("b")).otherwise(F.col("a"))
     links = stored(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
     state = None
     while True:
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
-        small = _with_least(large)
-        after = small.select("a", F.col("m").alias("b")).unionByName(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))).distinct()
-        links = stored(after)
+        both = links.select(F.inline(F.array(_pair("a", "b"), _pair("b", "a"))))
+        large = stored(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
+        after = _with_least(large).select(F.inline(F.array_compact(F.array(_pair("a", "m"), F.when(F.col("b") != F.col("m"), _pair("b", "m"))))))
+        links = stored(after.distinct())
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == state:
             break

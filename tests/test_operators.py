@@ -353,3 +353,15 @@ def test_category_of_five_words(spark):
     asked = spark.createDataFrame([("t", "a dry white wine from galilee please"), ("t", "nothing here")], "tenant string, query string")
     got = [tuple(r) for r in triggers.longest_category(asked, products).collect()]
     assert got == [("t", "a dry white wine from galilee please", "dry white wine from galilee")]
+
+
+def test_quota_times_with_the_one_before(spark):
+    """Across empty chunks, at negative and null times, and apart by window."""
+    times = [0, 1, 39, 40, 41, 400, -7, -90, None]
+    rows = [(key, window, at) for key, window in (("a", 10), ("a", 3), ("b", 10)) for at in times] + [("c", 10, 5)]
+    made = quota._with_previous(spark.createDataFrame(rows, "key string, window_us long, at long"))
+    ordered = sorted(t for t in times if t is not None)
+    one = [(None, None), *zip(ordered, [None, *ordered], strict=False)]
+    want = [(key, window, at, last) for key, window in (("a", 10), ("a", 3), ("b", 10)) for at, last in one] + [("c", 10, 5, None)]
+    assert sorted(map(str, (tuple(r) for r in made.collect()))) == sorted(map(str, want))
+    assert made._jdf.queryExecution().logical().toString().count("Union") == 0

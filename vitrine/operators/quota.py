@@ -7,7 +7,7 @@ matched to openings and numbered in parallel.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.operators.running import as_of, with_running
 from vitrine.session import checkpointed
@@ -28,6 +28,16 @@ def _chunk(at: Column) -> Column:
     return F.floor(at / (4 * F.col("window_us")))
 
 
+def _with_previous(times: DataFrame) -> DataFrame:
+    """Different ``times(key, window_us, at)`` with the time before of their key, ``last_at``: each is read and sorted once in its chunk."""
+    chunked = times.withColumn("_chunk", _chunk(F.col("at")))
+    ends = chunked.groupBy(*KEY, "_chunk").agg(F.max("at").alias("_end"))
+    carried = ends.select(*KEY, "_chunk", F.lag("_end").over(Window.partitionBy(*KEY).orderBy("_chunk")).alias("_before"))
+    local = chunked.withColumn("_last", F.lag("at").over(Window.partitionBy(*KEY, "_chunk").orderBy("at")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*KEY, "_chunk"]]
+    return local.alias("l").join(carried.alias("c"), same).select(*[F.col(f"l.{c}") for c in times.columns], F.coalesce("_last", "_before").alias("last_at"))
+
+
 def openings(hits: DataFrame) -> DataFrame:
     """(key, window_us, opened) in epoch microseconds for ``hits(key, window_us, at)``.
 
@@ -38,10 +48,8 @@ def openings(hits: DataFrame) -> DataFrame:
     one job, and quotas of different windows go through the same ones.
     """
     times = checkpointed(hits.select(*KEY, "at").distinct())
-    earlier = as_of(
-        times.withColumn("just_before", F.col("at") - 1), times.select(*KEY, F.col("at").alias("last_at")),
-        KEY, "just_before", "last_at", "last_at", ["last_at"], chunk=_chunk,
-    )
+    # written: both sides of the as-of join below read it
+    earlier = checkpointed(_with_previous(times))
     opens_run = F.col("last_at").isNull() | (F.col("at") - F.col("last_at") >= F.col("window_us"))
     # As-of looks back, so the next hit a window later is looked for on the negated time line.
     mirrored = earlier.select(*KEY, "at", opens_run.alias("opens_run"), (-F.col("at")).alias("from"))

@@ -615,3 +615,59 @@ def test_components_are_found_round_by_round_in_small_plans(spark, monkeypatch):
     want = {i: 0 for i in range(41)} | {i: 100 for i in [*range(100, 190), 200]} | {400: 400, 401: 400}
     assert len(made) == len(want) and {r.node: r.root for r in made} == want
     assert len(joins) > 4 and max(joins) == 1
+
+
+def test_candidate_links_grow_with_a_group_not_with_its_square():
+    """A group in k blocks: a star in each block, and one link a pair of blocks; they connect it."""
+    import pyarrow as pa
+
+    size, blocks = 20, 6
+    names = [[f"{b}-{i:02}".encode() for i in range(size)] for b in range(blocks)]
+    sketch = bytes(2 * chosen_path.WIDTH)
+    links = []
+    for low in range(blocks):
+        for high in range(low, blocks):
+            nodes = sorted((n, int(b == high)) for b in {low, high} for n in names[b])
+            batch = pa.RecordBatch.from_pydict({"key": [7] * len(nodes), "node": [n for n, _ in nodes], "side": pa.array([s for _, s in nodes], pa.int32()), "sketch": [sketch] * len(nodes)})
+            for out in chosen_path._candidates(chosen_path.WIDTH)(iter([batch])):
+                links += [(r["a"], r["b"]) for r in out.to_pylist()]
+    assert len(links) == blocks * (size - 1) + blocks * (blocks - 1) // 2
+    number = {n: i for i, n in enumerate(n for b in names for n in b)}
+    near = [[] for _ in number]
+    for a, b in links:
+        near[number[a]].append(number[b])
+        near[number[b]].append(number[a])
+    assert not chosen_path._forest([np.array(n) for n in near]).any()
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.03, 0.2])
+def test_stars_of_blocks_and_pairs_connect_what_the_links_connect(share):
+    rng = np.random.default_rng(int(share * 100))
+    n = 90
+    linked = rng.random((n, n)) < share
+    linked = linked | linked.T
+    np.fill_diagonal(linked, True)
+    block = rng.integers(0, 3, n)
+    found = np.eye(n, dtype=bool)
+    for low in range(3):
+        for high in range(low, 3):
+            own = np.flatnonzero((block == low) | (block == high))
+            for i, r in chosen_path._stars(linked[np.ix_(own, own)], (block[own] == high).astype(np.int32)):
+                assert r < i
+                found[own[i], own[r]] = found[own[r], own[i]] = True
+    parts = [chosen_path._forest([np.flatnonzero(row) for row in m]).tolist() for m in (found, linked)]
+    assert parts[0] == parts[1]
+
+
+def test_components_begin_with_one_link_a_node(spark, monkeypatch):
+    """Nodes that are each linked to many roots come into the rounds with about one link."""
+    made = []
+
+    def stored(df, *args, **options):
+        made.append(common.stored(df, *args, **options))
+        return made[-1]
+
+    monkeypatch.setattr(chosen_path, "stored", stored)
+    found = chosen_path.components(spark.createDataFrame([(100 + i, r) for i in range(60) for r in range(10)], "a long, b long")).collect()
+    assert {r.node: r.root for r in found} == dict.fromkeys([*range(10), *range(100, 160)], 0)
+    assert made[0].count() == 600 and made[1].count() == 69

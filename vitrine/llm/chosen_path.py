@@ -148,8 +148,22 @@ def _forest(linked: list[np.ndarray]) -> np.ndarray:
     return root
 
 
+def _stars(linked: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
+    """(member, root) of a few links that connect what `linked` connects: to the first member of each connected part.
+
+    Of a pair of blocks, only what joins a part of one block to a part of the other: either block's own links are found
+    where it meets itself, so a group of many blocks has a link a member and one a pair of blocks.
+    """
+    root = _forest([np.flatnonzero(row) for row in linked])
+    heads = np.arange(len(root))
+    if side.any() and not side.all():
+        own = _forest([np.flatnonzero(row & (side == s)) for row, s in zip(linked, side, strict=True)])
+        heads = np.flatnonzero(own == heads)
+    return [(i, r) for i, r in zip(heads.tolist(), root[heads].tolist(), strict=True) if r != i]
+
+
 def _candidates(least: int):
-    """Links inside buckets, as stars around the first member of each connected part."""
+    """Links inside buckets, as stars around the first member of each connected part. Of a pair of blocks, see `_stars`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names: list[bytes] = []
@@ -157,12 +171,13 @@ def _candidates(least: int):
         for bucket in groups(batches, "key"):
             nodes = bucket.column("node").to_pylist()
             values = np.frombuffer(b"".join(bucket.column("sketch").to_pylist()), ">u2").reshape(len(nodes), WIDTH)
+            side = bucket.column("side").to_numpy() if "side" in bucket.column_names else np.zeros(len(nodes), np.int32)
             if len(nodes) == 2:
-                root = [0, 0 if (values[0] == values[1]).sum() >= least else 1]
+                links = [(1, 0)] if (values[0] == values[1]).sum() >= least else []
             else:
-                root = _forest([np.flatnonzero((values == v).sum(1) >= least) for v in values]).tolist()
-            for i, r in enumerate(root):
-                if r != i and nodes[i] != nodes[r]:
+                links = _stars(np.stack([(values == v).sum(1) >= least for v in values]), side)
+            for i, r in links:
+                if nodes[i] != nodes[r]:
                     names.append(nodes[i])
                     roots.append(nodes[r])
             if len(names) > 10_000:
@@ -194,21 +209,27 @@ def _pair(a: str, b: str) -> Column:
     return F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
 
 
+def _small_star(links: DataFrame) -> DataFrame:
+    """Links (a, b), b < a, turned to the smallest b of their a."""
+    after = _with_least(links).select(F.inline(F.array_compact(F.array(_pair("a", "m"), F.when(F.col("b") != F.col("m"), _pair("b", "m"))))))
+    return stored(after.distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node it is connected with, by alternating stars.
 
     Each round links larger neighbours to the smallest, then smaller ones; it ends when no link changes. Both halves of a
-    round are written, so a plan holds one star only: the driver keeps the plans of all rounds.
+    round are written, so a plan holds one star only: the driver keeps the plans of all rounds. Smaller ones are linked once
+    beforehand: a node with links to many roots comes into the rounds with one of its own.
     """
     turned = F.col("a") > F.col("b")
     hi, lo = F.when(turned, F.col("a")).otherwise(F.col("b")), F.when(turned, F.col("b")).otherwise(F.col("a"))
-    links = stored(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct())
+    links = _small_star(stored(edges.where("a <> b").select(hi.alias("a"), lo.alias("b")).distinct()))
     state = None
     while True:
         both = links.select(F.inline(F.array(_pair("a", "b"), _pair("b", "a"))))
         large = stored(_with_least(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct())
-        after = _with_least(large).select(F.inline(F.array_compact(F.array(_pair("a", "m"), F.when(F.col("b") != F.col("m"), _pair("b", "m"))))))
-        links = stored(after.distinct())
+        links = _small_star(large)
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
         if now == state:
             break
@@ -297,8 +318,9 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = (4, 5), bucket: int =
     least = math.ceil(WIDTH * (bound - SLACK * math.sqrt(bound * (1 - bound) / WIDTH)))
     edges = (
         # a large bucket's sketches are dealt once a pair of blocks: half of each suffices
-        _dealt(rest, "path", bucket).select("key", "node").join(nodes.select("node", "sketch").mapInArrow(_short, "node binary, sketch binary"), "node")
-        .repartition("key").sortWithinPartitions("key").mapInArrow(_candidates(least), "a binary, b binary")
+        _dealt(rest, "path", bucket).select("key", "node", "side").join(nodes.select("node", "sketch").mapInArrow(_short, "node binary, sketch binary"), "node")
+        # in order of nodes, so that a group's first member is the same in many buckets and its links repeat
+        .repartition("key").sortWithinPartitions("key", "node").mapInArrow(_candidates(least), "a binary, b binary")
     )
     grouped = components(edges)
     sizes = grouped.groupBy("root").agg(F.count("*").alias("n"))

@@ -671,3 +671,24 @@ def test_components_begin_with_one_link_a_node(spark, monkeypatch):
     found = chosen_path.components(spark.createDataFrame([(100 + i, r) for i in range(60) for r in range(10)], "a long, b long")).collect()
     assert {r.node: r.root for r in found} == dict.fromkeys([*range(10), *range(100, 160)], 0)
     assert made[0].count() == 600 and made[1].count() == 69
+
+
+def test_grams_of_a_text_column_take_bounded_memory():
+    """What the scoring of a slice holds at once, traced, over a column of several MB."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    column = pa.array(["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(2000)])
+    code = context_tree._grams(*next(context_tree.slices(column, context_tree.SLICE))[2:])[0]
+    some = context_tree.Table(np.unique(code)[::2], np.zeros(len(np.unique(code)[::2])))
+    tracemalloc.start()
+    done = 0
+    for lo, hi, data, offsets in context_tree.slices(column, context_tree.SLICE):
+        assert lo == done and offsets[-1] <= context_tree.SLICE
+        some.find(context_tree._grams(data, offsets)[0])
+        done = hi
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert done == len(column) and peak < 20e6, peak

@@ -40,6 +40,10 @@ PART_GRAMS = 100_000
 HEAD = 1 << 19
 HEAD_GRAMS = 1 << 20
 FOLDS = 10
+#: Bytes of texts handled at once: a byte takes 44 in the arrays of its gram and in looking it up alone.
+SLICE = 1 << 18
+#: Distinct keys that a task has met since it last summed them, and those that it holds at most after that.
+FRESH, HELD = 1 << 20, 1 << 21
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -129,17 +133,17 @@ def counts(docs: DataFrame) -> DataFrame:
         fresh = {True: 0, False: 0}
         for batch in batches:
             out = batch.column("held_out").to_numpy(zero_copy_only=False).astype(np.uint64)
-            for lo, hi, data, offsets in slices(batch.column("text")):
+            for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
                 words, first = _word_keys(data, offsets)
                 learned = words[np.repeat(out[lo:hi], np.diff(first)) == 0]
                 code = (_grams(data, offsets)[0] << np.uint64(1)) | np.repeat(out[lo:hi], np.diff(offsets) + 1)
                 for of_words, keys in ((True, learned), (False, code)):
                     held[of_words].append(np.unique(keys, return_counts=True))
                     fresh[of_words] += len(held[of_words][-1][0])
-                    if fresh[of_words] > 1 << 21:
+                    if fresh[of_words] > FRESH:
                         held[of_words] = [_summed(held[of_words])]
                         fresh[of_words] = 0
-                        if len(held[of_words][0][0]) > 1 << 21:
+                        if len(held[of_words][0][0]) > HELD:
                             yield from emit(of_words)
         yield from emit(True)
         yield from emit(False)
@@ -307,7 +311,7 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, head_grams: int
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         common_grams, common = shared.value
         scores, sizes, n_words, n_known, logs, rare, times, n_rare = ([] for _ in range(8))
-        for lo, hi, data, offsets in slices(batch.column("text")):
+        for lo, hi, data, offsets in slices(batch.column("text"), SLICE):
             code, _ = _grams(data, offsets)
             of_gram = np.repeat(np.arange(hi - lo), np.diff(offsets) + 1)
             slot = common_grams.find(code)
@@ -347,6 +351,7 @@ def score(docs: DataFrame, folds: int = FOLDS, head: int = HEAD, head_grams: int
             "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, n_bytes long, rare array<struct<key:long,times:long>>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
+    shared.unpersist()
     # words have keys from zero on, grams below
     looked_up = words.where(F.col("n") < frequent).select("key", F.log10(F.col("n") + F.lit(0.1)).alias("log")).unionByName(
         grams.where(F.col("n") < frequent_grams).select("key", "log")

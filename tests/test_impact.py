@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window, functions as F
 
 from vitrine.operators import impact, lexical, names, running
@@ -29,6 +31,35 @@ def test_blocks_left_out_change_nothing(spark):
     assert opened < 0.6 * blocks
 
 
+def test_a_product_of_several_rows_stands_in_one_block(spark):
+    """Rows of one product far apart in the order of names: it is found once, as by the plain search."""
+    rows = [("s0", f"p{i:02}", f"{chr(97 + i)}aa green" if i % 2 else f"{chr(97 + i)}aa brown", ["t"], ["u"], None) for i in range(20)]
+    rows += [("s0", "p01", "zzz green", ["t"], ["u"], None), ("s0", "p03", "yyy green", ["t"], ["u"], None), ("s0", None, "green", ["t"], ["u"], None), (None, "p99", "green", ["t"], ["u"], None)]
+    products = spark.createDataFrame(rows, "tenant string, id string, name string, category array<string>, soft_category array<string>, description string")
+    index = lexical.stored_index(products)
+    lanes = products.select(F.concat("tenant", F.lit("|all")).alias("lane"), "tenant", "id").distinct()
+    queries = spark.createDataFrame([("s0|all", q, "s0", q) for q in ("green", "zzz", "brown green")], "lane string, qid string, tenant string, query string")
+    found, _ = impact.retrieve(queries, lanes, impact.build(products, index, block_rows=2), k=12)
+    bag = lambda df: sorted(tuple(r) for r in df.select("lane", "qid", "id", "score", "rank").collect())
+    assert bag(found) == bag(lexical.retrieve(queries, lanes, index, k=12))
+
+
+def test_one_posting_of_a_term_and_block_is_its_largest(spark):
+    rows = [("s0", f"p{i:02}", f"w{i % 5} w{i % 3} green", ["t"], ["u"], "green " * (i % 4) + "red") for i in range(30)]
+    products = spark.createDataFrame(rows, "tenant string, id string, name string, category array<string>, soft_category array<string>, description string")
+    postings = impact.build(products, lexical.stored_index(products), block_rows=8).postings
+    key = ["tenant", "block", "field", "term"]
+    want = postings.groupBy(*key).agg(F.max("part"))
+    assert sorted(map(tuple, want.collect())) == sorted(map(tuple, postings.filter("most").select(*key, "part").collect()))
+
+
+def test_of_a_block_only_what_can_enter_leaves_it():
+    left = pd.DataFrame({"lane": "a#1", "qid": ["q", "r", "s"], "field": "name", "term": "x", "weight": 1.0, "kth": [2.0, 2.0, np.nan], "last": ["p2", "p9", None]})
+    right = pd.DataFrame({"lane": "a#1", "id": ["p1", "p2", "p3", "p4"], "field": "name", "term": "x", "part": [2.0, 2.0, 3.0, 1.0]})
+    found = impact._entering(left, right, 4)
+    assert sorted(zip(found["qid"], found["id"], strict=True)) == [("q", "p1"), ("q", "p3"), ("r", "p1"), ("r", "p2"), ("r", "p3"), *[("s", f"p{i}") for i in (1, 2, 3, 4)]]
+
+
 def test_numbers_of_a_hot_key(spark):
     rows = [("hot" if i % 3 else None, i * 7919 % 1000, i) for i in range(2000)]
     df = spark.createDataFrame(rows, "key string, value long, id long").repartition(5)

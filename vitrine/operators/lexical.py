@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions.text import index_tokens
 from vitrine.operators.blocks import best_rows, blocked_top_k
-from vitrine.session import checkpointed, run_folder
+from vitrine.session import checkpointed, run_folder, written
 
 K1, B = 1.2, 0.75
 POOL = 80
@@ -224,28 +224,31 @@ def bm25_cell(left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
     demands = (left["field"] == TAG).to_numpy()
     terms = right["field"] + "|" + right["term"]
     where = {t: (doc[p], right["part"].to_numpy()[p]) for t, p in terms.groupby(terms).indices.items()}
-    out = []
-    wanted = left["field"] + "|" + left["term"]
+    asked, chosen, found_scores = [], [], []
+    wanted = (left["field"] + "|" + left["term"]).to_numpy()
     weights = left["weight"].to_numpy()
     for qid, rows in left.groupby("qid").indices.items():
         scores = np.zeros(len(ids))
         for r in rows[~demands[rows]]:
-            hit = where.get(wanted.iat[r])
+            hit = where.get(wanted[r])
             if hit is not None:
                 scores[hit[0]] += weights[r] * hit[1]
         if demands[rows].any():
             allowed = np.zeros(len(ids), bool)
-            for t in wanted.iloc[rows[demands[rows]]]:
+            for t in wanted[rows[demands[rows]]]:
                 if t in where:
                     allowed[where[t][0]] = True
             scores[~allowed] = 0.0
         found = np.flatnonzero(scores)
         rounded = np.round(scores[found], 6)
         best = best_rows(rounded, ranks[found], k)
-        out.append(pd.DataFrame({"qid": qid, "id": ids[found[best]], "score": rounded[best]}))
-    result = pd.concat(out)
-    result.insert(0, "lane", left["lane"].iloc[0])
-    return result
+        asked.append(qid)
+        chosen.append(found[best])
+        found_scores.append(rounded[best])
+    # one frame a cell: a frame a query would cost more than its scores
+    row = np.repeat(np.arange(len(asked)), [len(best) for best in chosen])
+    qids = np.array(asked, object)[row]
+    return pd.DataFrame({"lane": left["lane"].iloc[0], "qid": qids, "id": ids[np.concatenate(chosen)], "score": np.concatenate(found_scores)})
 
 
 def _words(queries: DataFrame) -> DataFrame:
@@ -256,10 +259,16 @@ def _weighted(words: DataFrame, reach: DataFrame, index: TextIndex) -> DataFrame
     return words.join(term_weights(reach, index), ["tenant", "token"]).groupBy("lane", "qid", "field", "term").agg(F.sum("weight").alias("weight"))
 
 
+def _reached(queries: DataFrame, index: TextIndex) -> tuple[DataFrame, DataFrame]:
+    """The words of the queries and the terms they reach, both written: read by several joins, and far fewer than postings."""
+    words = written(_words(queries), "query-words")
+    return words, written(reachable_terms(words, index), "reached-terms")
+
+
 def query_weights(queries: DataFrame, index: TextIndex) -> DataFrame:
     """(lane, qid, field, term, weight): all index terms that a query reaches."""
-    words = _words(queries)
-    return _weighted(words, reachable_terms(words, index), index)
+    words, reach = _reached(queries, index)
+    return _weighted(words, reach, index)
 
 
 def term_part(tf: Column, dl: Column, avg_dl: Column) -> Column:
@@ -277,8 +286,7 @@ def retrieve(
     then finds only products that share a tag with it. Tags are one more posting list of a cell, so
     the filter holds before the best k are taken.
     """
-    words = _words(queries)
-    reach = reachable_terms(words, index)
+    words, reach = _reached(queries, index)
     q = _weighted(words, reach, index)
     needed = reach.select("tenant", F.col("term").alias("token")).distinct()
     part = term_part(F.col("tf"), F.col("dl"), F.col("avg_dl"))

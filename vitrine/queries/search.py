@@ -8,6 +8,7 @@ from vitrine.functions import matching, text
 from vitrine.operators import catalog, completion, fusion, impact, inverted_lists, lexical, names, neighbour_graph, tiers, vector
 from vitrine.plans import search
 from vitrine.queries.registry import VIEWS, query
+from vitrine.session import written
 from vitrine.sources import bind
 
 TOKENS = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+', ' ', 'g'), ' '), lambda w: w <> '')"
@@ -136,6 +137,7 @@ FROM (SELECT *, len(list_filter(soft_category, lambda s: list_contains(w, lower(
 def _searches(spark, sf):
     log = bind.requests(spark, sf)
     keyed = log.select("tenant", text.js_trim("query").alias("query"), F.coalesce("in_stock", F.lit(True)).alias("in_stock")).distinct()
+    keyed = written(keyed, "searches")  # several branches of a retrieval read them: reduced from the log once
     return keyed.withColumn("lane", fusion.lane(F.col("tenant"), F.col("in_stock")))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from vitrine.operators import neighbour_graph, vector
+from vitrine.operators import neighbour_graph, tiers, vector
 
 SF = "/root/testdata/sf0.001"
 DIM, ITEMS, ADDED = 16, 3000, 150
@@ -121,3 +121,24 @@ def test_equal_vectors_fill_no_cell(spark):
     assert found.where("id < 'i0700'").agg(F.min("score")).first()[0] == 1.0
     sizes = neighbour_graph._placed(neighbour_graph._points(equal), 100).select("item", F.explode("cells").alias("cell")).groupBy("cell").count()
     assert sizes.agg(F.max("count")).first()[0] <= 250
+
+
+def test_seeds_are_computed_once(spark):
+    """What finds the seeds is a whole retrieval; reading their neighbours must not repeat it."""
+    rng = np.random.default_rng(5)
+    rows = [("s0", f"p{i}", ["t" if i % 2 else "u"], "instock" if i % 3 else None, rng.standard_normal(4).tolist()) for i in range(60)]
+    products = spark.createDataFrame(rows, "tenant string, id string, category array<string>, stock_status_canonical string, embedding array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    seeds = spark.createDataFrame([("s0", f"p{i}") for i in range(0, 60, 4)], "tenant string, id string")
+    counting = seeds.mapInPandas(counted, seeds.schema)
+    rows = lambda df: sorted(tuple(r) for r in df.select("tenant", "seed_id", "id", "score").collect())
+    graph = neighbour_graph.build(tiers.shelf_items(products))
+    found = rows(tiers.similar_to_seeds(counting, products, 5, graph))
+    assert seen.value == seeds.count()
+    assert found == rows(tiers.similar_to_seeds(seeds, products, 5))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import matching, predicates, text
 from vitrine.operators import blocks, fusion, lexical, neighbour_graph, vector
-from vitrine.session import checkpointed
+from vitrine.session import checkpointed, written
 
 FIRST_TIER_ROWS = 25
 SEEDS, PER_SEED = 3, 20
@@ -83,7 +83,8 @@ def similar_to_seeds(seed_rows: DataFrame, products: DataFrame, k: int = PER_SEE
     With a neighbour graph of `shelf_items` they are read from it instead of being searched exactly.
     """
     vectors = shelf_items(products)
-    wanted = seed_rows.select("tenant", "id").distinct()
+    # a few products of a whole retrieval, read by every branch of the search below
+    wanted = written(seed_rows.select("tenant", "id").distinct(), "seeds")
     queries = vectors.join(wanted, ["tenant", "id"], "left_semi").select(
         "lane", F.col("id").alias("qid"), F.col("id").alias("self_id"), "vector"
     )

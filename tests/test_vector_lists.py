@@ -50,3 +50,16 @@ def test_pruned_search_is_exact(data):
     assert mine == want
     rows = report.filter("lane = 'big'").agg(F.sum("opened"), F.sum("lists")).first()
     assert rows[0] < 0.5 * rows[1]  # lists that cannot hold a better item are not read
+
+
+def test_queries_of_a_pruned_search_are_computed_once(spark, data):
+    q, _, index, _ = data
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    found, _ = inverted_lists.nearest_pruned(q.mapInPandas(counted, q.schema), index, 20)
+    assert not found.isEmpty() and seen.value == q.count()

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.operators import vector
 from vitrine.operators.blocks import best_rows, blocked_top_k, no_rows, ranked
-from vitrine.session import checkpointed, run_folder
+from vitrine.session import checkpointed, run_folder, written
 
 POOL = 80
 #: Vectors of a lane, and of all lanes for the codes, that training looks at; every item is indexed.
@@ -253,6 +253,7 @@ def nearest_pruned(queries: DataFrame, index: VectorLists, k: int = POOL) -> tup
     The cosine with an item of a list is at most that of the angle to its centroid less its radius. The
     nearest lists that hold k items give a first k-th score; of the others only those whose bound reaches it are opened.
     """
+    queries = written(queries, "vector-queries")  # they meet centroids and items twice each
     held = index.items.select(_cell(F.col("lane"), F.col("list")).alias("lane"), "id", "vector")
 
     def first(near, radius, size, row):

@@ -39,11 +39,10 @@ def build(products: DataFrame, index: lexical.TextIndex, block_rows: int = BLOCK
     """
     spark = products.sparkSession
     folder = folder or run_folder(spark, "impact-index")
-    # a product of several rows has one place
-    names = products.filter("tenant is not null and id is not null").groupBy("tenant", "id").agg(F.min(F.coalesce("name", F.lit(""))).alias("name"))
-    rows = numbered(names, ["tenant"], ["name", "id"], "place", "total")
+    rows = numbered(products.select("tenant", "id", F.coalesce("name", F.lit("")).alias("name")), ["tenant"], ["name", "id"], "place", "total")
     size = F.greatest(F.lit(block_rows), F.ceil(F.col("total") / MAX_BLOCKS))
-    places = rows.select("tenant", "id", F.floor((F.col("place") - 1) / size).cast("int").alias("block"))
+    # a product of several rows stands in one block
+    places = rows.groupBy("tenant", "id").agg(F.min(F.floor((F.col("place") - 1) / size).cast("int")).alias("block"))
     part = lexical.term_part(F.col("tf"), F.col("dl"), F.col("avg_dl"))
     impacts = (
         # places are few beside postings, which a hash join does not have to sort
